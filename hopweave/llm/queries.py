@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hopweave.llm import minhash_dedup, quality_classifier, quality_rules
+from hopweave.llm import minhash_dedup, packing, quality_classifier, quality_rules, repair_files
 from hopweave.llm.scratch import Scratch
 
 
@@ -22,9 +22,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = repair_files.write_shards(table(spark, sf_dir, "documents"), Scratch(spark, "op3"), tokenizer_file("byte_bpe_50k.json"))
+    return repair_files.read_shards(shards)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_quality_classifier)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), tokenizer_file("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op5_quality_classifier, op8_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
