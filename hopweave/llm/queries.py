@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hopweave.llm import minhash_dedup, packing, quality_classifier, quality_rules, repair_files
+from hopweave.llm import decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, repair_files
 from hopweave.llm.scratch import Scratch
 
 
@@ -41,5 +41,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op5_quality_classifier, op8_best_fit_packing)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op10"))
+    return decontaminate.report(found)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op5_quality_classifier, op8_best_fit_packing, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

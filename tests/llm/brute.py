@@ -38,3 +38,31 @@ def near_duplicates(docs: list[tuple[int, str | None]], percent: int = 85) -> di
             x, y = sorted((top(a), top(b)))
             parent[y] = x
     return {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
+
+
+def plain_words(text: str | None) -> list[str]:
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def contamination(docs, items, width=10):
+    import hashlib
+
+    windows = {}
+    for item, text in items:
+        w = plain_words(text)
+        n = min(width, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    sizes = sorted({len(w) for w in windows})
+    out = {}
+    for d, text in docs:
+        w, hit, found = plain_words(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[i : i + n]))):
+                    hit.update(range(i, i + n))
+                    found |= own
+        out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
