@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hopweave.llm import decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, repair_files
+from hopweave.llm import byte_shards, decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, repair_files, secrets_scan
 from hopweave.llm.scratch import Scratch
 
 
@@ -33,10 +33,20 @@ def op3_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_files.read_shards(shards)
 
 
+def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_crc32", F.expr("crc32(cast(coalesce(text, '') AS binary))"))
+    placed = byte_shards.assign(docs, Scratch(spark, "op4"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op5"))
 
 
+def op6_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.report(secrets_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), tokenizer_file("word_bpe_49k.json"))
 
@@ -46,5 +56,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op5_quality_classifier, op8_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op8_best_fit_packing, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -66,3 +66,57 @@ def contamination(docs, items, width=10):
                     found |= own
         out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out
+
+
+def secrets(text):
+    """Base spans as (start, kind, end)."""
+    import re
+
+    out = []
+    for kind, pattern, least, group in (
+        (0, r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1),
+        (1, r"AKIA[A-Z0-9]+", 16, 0), (2, r"[0-9a-f]+", 32, 0),
+    ):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text or "") if len(m.group(group)) >= least]
+    return sorted(out)
+
+
+def entropy_ranges(s, alphabet, threshold, w=20):
+    import math
+    from collections import Counter
+
+    out = []
+    for i in range(len(s) - w + 1):
+        n = Counter(s[i : i + w])
+        if -sum(c / w * math.log2(c / w) for c in n.values()) >= threshold - 1e-9:
+            if out and out[-1][1] >= i:
+                out[-1][1] = i + w
+            else:
+                out.append([i, i + w])
+    return out
+
+
+def shards(rows, n=24, fraction=0.05):
+    """rows: (doc_id, text); returns doc_id -> (size, crc32, shard, slot)."""
+    import hashlib
+    import zlib
+    from collections import Counter
+
+    data = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        data.append((int(hashlib.md5(raw).hexdigest()[:15], 16), d, len(raw) + 8, zlib.crc32(raw)))
+    total, groups = sum(r[2] for r in data), Counter()
+    for r in data:
+        groups[r[0]] += r[2]
+    copies = Counter(r[0] for r in data)
+    keyed = sorted((k, d if groups[k] > fraction * total / n and copies[k] > 1 else 0, d, size, crc) for k, d, size, crc in data)
+    out, before, slots, seen, last = {}, 0, Counter(), 0, None
+    for k, inner, d, size, crc in keyed:
+        if (k, inner) != last:
+            before, last = seen, (k, inner)
+        seen += size
+        shard = before * n // total
+        out[d] = (size, crc, shard, slots[shard])
+        slots[shard] += 1
+    return out

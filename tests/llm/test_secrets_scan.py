@@ -1,0 +1,57 @@
+import hashlib
+import random
+
+from hopweave.llm import queries, secrets_scan as s
+from tests.llm import brute
+
+KEY = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8x"
+
+
+def scan(spark, rows):
+    out = s.find(spark.createDataFrame(rows, "doc_id long, text string, spans int"))
+    return {r.doc_id: [tuple(x) for x in r.secret_spans] for r in out.collect()}
+
+
+def test_base_spans_match_brute_force(spark):
+    dir = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{dir}/documents.parquet").collect()}
+    found = 0
+    for r in queries.op6_secrets_scan(spark, dir).collect():
+        want = brute.secrets(docs[r.doc_id])
+        base = [f"{s.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if not x.startswith("entropy") and x] == base
+        found += len(base)
+    assert found
+
+
+def test_random_strings(spark):
+    rng = random.Random(8)
+    parts = ["token", "API_KEY", "api-key", "secret", ":", "=", " ", '"', "'", "a1b2c3d4", "abcdefg", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "日", "\n", "passwd", "password="]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(25)), 1) for i in range(300)]
+    out = scan(spark, rows)
+    for i, text, _ in rows:
+        assert [x for x in out[i] if x[1] < 3] == brute.secrets(text), text
+
+
+def test_entropy_spans(spark):
+    rng = random.Random(9)
+    texts = [KEY, f"é {KEY} end", "a" * 30 + "1", "550e8400-e29b-41d4-a716-446655440000", "my-example-" + KEY, "ABCDEF0123456789ABCDEF012345", "reading_and_writing_files_2024", "aaaaaaaaaaaaaaaaaaaaaaaaa" + KEY + "b" * 40 + KEY[::-1]]
+    texts += ["".join(rng.choice("abAB12_/") for _ in range(60)) for _ in range(40)]
+    out = scan(spark, [(i, t, 1) for i, t in enumerate(texts)])
+    assert out[0] == [(0, 3, len(KEY))] and out[1] == [(2, 3, 2 + len(KEY))]
+    assert out[2] == out[3] == out[4] == out[6] == []
+    assert out[5] == [(0, 3, 28)]
+    for i in range(7, len(texts)):
+        if not brute.secrets(texts[i]):
+            assert [(a, b) for a, _, b in out[i]] == [tuple(x) for x in brute.entropy_ranges(texts[i], "", s.THRESHOLDS["mixed"])]
+
+
+def test_edge_rows_and_redaction(spark):
+    rows = [(1, None, 1), (2, "", 1), (3, "x " * 100000 + "token=" + KEY, 1), (4, f"a token={KEY} b {KEY}", 1), (4, "plain", 1), (None, "secret: abcdefgh", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    found = s.find(frame)
+    assert found.count() == 6 and s.find(frame.limit(0)).count() == 0
+    texts = {r.text for r in s.redact(found).collect()}
+    assert texts == {None, "", "x " * 100000 + "[secret]", "a [secret] b [secret]", "plain", "[secret]"}
