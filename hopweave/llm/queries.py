@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hopweave.llm import byte_shards, decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, repair_files, secrets_scan
+from hopweave.llm import byte_shards, decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, repair_files, secrets_scan, substring_dedup
 from hopweave.llm.scratch import Scratch
 
 
@@ -51,10 +51,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op10"))
     return decontaminate.report(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op8_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op8_best_fit_packing, op9_substring_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

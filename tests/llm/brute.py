@@ -120,3 +120,22 @@ def shards(rows, n=24, fraction=0.05):
         out[d] = (size, crc, shard, slots[shard])
         slots[shard] += 1
     return out
+
+
+def repeats(docs, width=50):
+    import hashlib
+
+    split = {d: (t or "").encode().split() for d, t in docs}
+    least = {}
+    for d, w in sorted(split.items()):
+        for i in range(len(w) - width + 1):
+            least.setdefault(tuple(w[i : i + width]), d)
+    out = {}
+    for d, w in split.items():
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if least[tuple(w[i : i + width])] < d:
+                gone.update(range(i, i + width))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out[d] = (len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest())
+    return out
