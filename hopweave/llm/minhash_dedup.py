@@ -7,8 +7,9 @@ unions are maxima. Four registers make a band, 32 bands a sketch: at similarity
 probability 6e-11, at 0.8 with 4e-8.
 
 Within a band's bucket each member is compared with the least one; components follow from the confirmed links. Then,
-in buckets that still hold several components, members outside the largest meet all others (in blocks, estimates only)
-and the best candidate for each other component goes to exact confirmation, until no candidate is left.
+in buckets that still hold several components, pairs across components are tried: all of them in small buckets; in large
+ones members outside the largest component meet all others (in blocks, estimates only) and the best candidate for each
+other component goes to exact confirmation, until no candidate is left.
 
 Nulls and empty texts have empty sets and no links. A row with a null doc_id is returned with a null component_id and
 kept. Repeated rows are linked as equal texts; each row is returned. An empty table gives an empty one.
@@ -32,7 +33,8 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A candidate whose estimate is this much below the threshold is dropped: over five standard deviations (0.032 at 0.85).
 MARGIN = 0.17
-BLOCK = 2048  # members of an open bucket that meet its outsiders in one task
+SMALL = 64  # open buckets up to this size try all pairs of different components once; larger ones go by outsiders
+BLOCK = 2048  # members of a large open bucket that meet its outsiders in one task
 
 _seeds = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
 _A, _B = _seeds[:REGISTERS] | np.uint32(1), _seeds[REGISTERS:]
@@ -199,7 +201,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
         joined = pairs.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b")
         return joined.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
 
-    checked = scratch.keep(confirm(pairs))
+    checked, first_round = scratch.keep(confirm(pairs)), True
     while True:
         found = scratch.keep(components(checked.where("linked").select("a", "b"), scratch))
         # Buckets in which several components meet.
@@ -207,15 +209,18 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
         counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
             F.max_by("component", "n").alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")
         )
-        opened = scratch.keep(counts.where("parts > 1").select("key", "main", F.expr(f"int(1 + size div {BLOCK})").alias("blocks")))
-        if opened.isEmpty():
-            break
-        inside = scratch.keep(placed.join(opened, "key").join(small, "rep"))
-        dealt = inside.select("key", F.expr("pmod(xxhash64(rep), blocks)").cast("int").alias("block"), "rep", "component", "n", "regs", F.lit(False).alias("outside")).unionByName(
-            inside.where("component <> main").select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", "component", "n", "regs", F.lit(True).alias("outside"))
+        opened = scratch.keep(counts.where("parts > 1").select("key", "main", "size"))
+        inside = scratch.keep(placed.join(opened, "key"))
+        large = inside.where(f"size > {SMALL}").withColumn("blocks", F.expr(f"int(1 + size div {BLOCK})")).join(small, "rep")
+        dealt = large.select("key", F.expr("pmod(xxhash64(rep), blocks)").cast("int").alias("block"), "rep", "component", "n", "regs", F.lit(False).alias("outside")).unionByName(
+            large.where("component <> main").select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", "component", "n", "regs", F.lit(True).alias("outside"))
         )
-        new = dealt.groupBy("key", "block").applyInPandas(_outsiders(least), "a long, b long").distinct()
-        fresh = scratch.keep(new.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        new = dealt.groupBy("key", "block").applyInPandas(_outsiders(least), "a long, b long")
+        if first_round:  # later rounds only join components, so these buckets need no second look
+            one, two = (inside.where(f"size <= {SMALL}").select("key", F.col("rep").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b"))
+            new = new.unionByName(likely(one.join(two, "key").where("a < b AND c_a <> c_b").select("a", "b").distinct()))
+            first_round = False
+        fresh = scratch.keep(new.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         checked = scratch.keep(checked.unionByName(confirm(fresh)))

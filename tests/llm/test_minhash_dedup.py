@@ -53,3 +53,9 @@ def test_estimate_follows_similarity():
             e = m.estimate(m.registers(m.mix(a))[None], m.registers(m.mix(b))[None], np.array([1000.0]), np.array([1000.0]))[0]
             errors.append(e - len(both) / (2 * n - len(both)))
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_large_buckets_go_by_outsiders(spark, monkeypatch):
+    monkeypatch.setattr(m, "SMALL", 2)
+    monkeypatch.setattr(m, "BLOCK", 16)
+    test_chained_copies_and_edge_cases(spark)
