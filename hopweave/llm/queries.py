@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hopweave.llm import byte_shards, decontaminate, minhash_dedup, packing, quality_classifier, quality_rules, repair_files, secrets_scan, substring_dedup
+from hopweave.llm import byte_shards, decontaminate, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, repair_files, secrets_scan, substring_dedup
 from hopweave.llm.scratch import Scratch
 
 
@@ -47,6 +47,10 @@ def op6_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.report(secrets_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), tokenizer_file("word_bpe_49k.json"))
 
@@ -60,5 +64,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op8_best_fit_packing, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op7_license_scan, op8_best_fit_packing, op9_substring_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -139,3 +139,12 @@ def repeats(docs, width=50):
         kept = [x for i, x in enumerate(w) if i not in gone]
         out[d] = (len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest())
     return out
+
+
+def license_base(text):
+    words, places, labels = plain_words(text), [], set()
+    for phrase, label in ((["cc", "by"], "cc-by"), (["general", "public", "license"], "gpl"), (["all", "rights", "reserved"], "reserved")):
+        own = [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
+        places += own
+        labels |= {label} if own else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
