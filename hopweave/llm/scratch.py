@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.write(df))
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished plans now rather than at the driver's next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df_or_path: DataFrame | str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = df_or_path if isinstance(df_or_path, str) else df_or_path.inputFiles()[0].rsplit("/", 1)[0]

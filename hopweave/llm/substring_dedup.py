@@ -304,9 +304,16 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", bucket
     first = scratch.write(docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_first_visit(buckets), _BLOBS), "kind")
     anchors = read(first, HASHES).select("bucket", "chunk", "payload").groupBy("bucket").applyInArrow(_shared(1, False), "chunk long, answer binary")
     answers = scratch.keep(anchors)
+    scratch.drop(f"{first}/kind={HASHES}")
+    scratch.release()
     texts = read(first, TEXTS).select("chunk", "payload")
     second = scratch.write(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_second_visit(buckets), _BLOBS), "kind")
+    scratch.drop(f"{first}/kind={TEXTS}")
+    scratch.release()
     windows = read(second, HASHES).select("bucket", "chunk", "payload").groupBy("bucket").applyInArrow(_shared(2, True), "chunk long, answer binary")
-    last = read(second, TEXTS).select("chunk", "payload").groupBy("chunk").cogroup(windows.groupBy("chunk")).applyInArrow(_third_visit, "payload binary")
+    found = scratch.keep(windows)
+    scratch.drop(f"{second}/kind={HASHES}")
+    scratch.release()
+    last = read(second, TEXTS).select("chunk", "payload").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_third_visit, "payload binary")
     done = read(first, DONE).select("payload").unionByName(read(second, DONE).select("payload")).unionByName(last)
     return done.mapInArrow(_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
