@@ -163,12 +163,12 @@ def named_spans(c: Column) -> Column:
 
 def subject_members(c: Column) -> Column:
     """Members of a coordinated subject."""
-    return F.filter(F.transform(F.split(c, r"(?i)\s*,\s*|\s+(?:and|or|&|as well as)\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?i)\s*,\s*|\s+(?:and|or|&|as well as)\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def section(response: Column, field: str) -> Column:
     """The block under [[ ## field ## ]] of a sectioned response."""
-    return F.trim(F.regexp_extract(response, rf"(?s)\[\[ ## {field} ## \]\](.*?)(\[\[ ##|$)", 1))
+    return F.regexp_extract(response, rf"(?s)\[\[ ## {field} ## \]\]\s*(.*?)\s*(\[\[ ##|$)", 1)
 
 
 def sentences(c: Column) -> Column:
@@ -203,6 +203,6 @@ def json_object(c: Column) -> Column:
 
 def valid_triples(triples: Column) -> Column:
     """Lists of exactly three parts with a letter or digit each and no mere coordinator as predicate; stripped, first of equals kept."""
-    stripped = F.transform(triples, lambda t: F.transform(t, F.trim))
+    stripped = F.transform(triples, lambda t: F.transform(t, lambda f: F.trim(f)))
     good = F.filter(stripped, lambda t: (F.size(t) == 3) & F.forall(t, lambda f: F.coalesce(f.rlike(r"[\p{L}\p{N}]"), F.lit(False))) & ~F.lower(F.get(t, F.lit(1))).isin(*COORDINATORS))
     return F.array_distinct(good)
