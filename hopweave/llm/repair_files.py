@@ -26,6 +26,7 @@ from hopweave.llm.tokens import encoder
 MAGIC = b"HWRP"
 SHARD_TOKENS = 2_000_000
 ROUNDS, MIN_USES, HASH_BITS = 8, 24, 20
+LEAST_GAIN = 0.005  # a round that shortens the symbols by less is the last
 
 
 def grammar(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,9 @@ def grammar(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         rules.append(np.stack([pairs[kept] >> 16, pairs[kept] & 0xFFFF], axis=1))
         seq[where] = first + used + which
         used += len(kept)
-        seq = np.delete(seq, where + 1)
+        before, seq = len(seq), np.delete(seq, where + 1)
+        if before - len(seq) < LEAST_GAIN * before:
+            break
     return seq.astype(np.uint16), np.concatenate(rules).astype(np.uint16) if rules else np.zeros((0, 2), np.uint16)
 
 

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO = 900_000  # chunks remembered by a worker
+MEMO = 1_300_000  # chunks remembered by a worker
 GROUP = 100  # new chunks encoded in one call
 
 
@@ -26,8 +26,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.byte_level = self.tokenizer.normalizer is None
-        self.pattern = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z" if self.byte_level else r"[^ \n]+")
-        self.odd = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+        # A word and the punctuation after it are chunks of their own where the vocabulary's pattern cuts there anyway:
+        # after letters, before marks of sentences that a space or the end follows.
+        word, marks = r"[^\W\d_]+(?=[.,;:!?]|[ \n]|\Z)", r"[.,;:!?]+(?=[ \n]|\Z)"
+        self.pattern = re.compile(rf"[ \n]*{word}|{marks}|[ \n]*[^ \n]+|[ \n]+\Z" if self.byte_level else rf"{word}|{marks}|[^ \n]+")
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -53,32 +55,35 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null as empty."""
         split: list[list[str] | None] = []
-        missing: set[str] = set()
         for text in texts:
             if not text:
                 split.append([])
-            elif self.odd.search(text):
+            elif any(c in text for c in _ODD):
                 split.append(None)
             else:
-                if not self.byte_level:
-                    text = text.translate(_LOWER) if not text.islower() else text
-                chunks = self.pattern.findall(text)
-                split.append(chunks)
-                missing.update(chunks)
-        missing.difference_update(self.memo)
+                split.append(self.pattern.findall(text if self.byte_level else _ascii_lower(text)))
+        whole = iter(self._whole([t for t, s in zip(texts, split) if s is None]))
+        memo = self.memo
+        missing = {c for s in split if s for c in s if c not in memo}
         if missing:
-            if len(self.memo) + len(missing) > MEMO:
-                # The older half goes, but nothing that this call needs is lost: it is learned anew.
-                needed = {c for chunks in split if chunks for c in chunks}
-                for old in list(self.memo)[: len(self.memo) // 2]:
-                    del self.memo[old]
-                missing = needed.difference(self.memo)
+            if len(memo) + len(missing) > MEMO:
+                # The older half goes; what this call needs of it is learned anew.
+                for old in list(memo)[: len(memo) // 2]:
+                    del memo[old]
+                missing = {c for s in split if s for c in s if c not in memo}
             self._learn(missing)
-        get = self.memo.__getitem__
-        whole = iter(self._whole([t for t, s in zip(texts, split) if s is None]))
+        get = memo.__getitem__
         return [next(whole) if s is None else b"".join(map(get, s)) for s in split]
 
 
+# White space other than space and newline, and characters that only some libraries count as such.
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _ascii_lower(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
