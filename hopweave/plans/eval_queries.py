@@ -59,14 +59,14 @@ def historical_difficulty(spark, sf_dir):
     return _recalls(spark, sf_dir).groupBy(E.difficulty().alias("difficulty")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ANSWERS = "answers AS (SELECT a.doc_id AS query_id, b.text AS gold, a.text AS predicted FROM documents a JOIN documents b ON b.doc_id IN (a.doc_id + 1, a.doc_id - 3) UNION ALL SELECT doc_id, text || ' !', 'the ' || text FROM documents WHERE doc_id % 4 = 0)"
+_ANSWERS = "answers AS (SELECT a.doc_id AS query_id, b.text AS gold, a.text AS predicted FROM documents a JOIN documents b ON b.doc_id IN (a.doc_id + 1, a.doc_id - 3) UNION ALL SELECT doc_id, text || ' !', 'the ' || text FROM documents WHERE lang = 'en')"
 
 
 def _answers(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     pairs = d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("predicted"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") - 3)).alias("other"))
     near = pairs.join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("gold")), "other").select("query_id", "gold", "predicted")
-    return near.unionByName(d.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" !")).alias("gold"), F.concat(F.lit("the "), "text").alias("predicted")))
+    return near.unionByName(d.where("lang = 'en'").select(F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" !")).alias("gold"), F.concat(F.lit("the "), "text").alias("predicted")))
 
 
 @query(f"WITH {_ANSWERS} SELECT query_id, max(CASE WHEN {ANSWER.format('gold')} = {ANSWER.format('predicted')} THEN 1 ELSE 0 END)::INT AS em FROM answers GROUP BY 1")
@@ -92,12 +92,12 @@ def stratified_grouping_sets(spark, sf_dir):
     return E.stratified(_recalls(spark, sf_dir).withColumn("hops", 1 + F.col("query_id") % 4), ["recall_1", "recall_5"])
 
 
-_POP = "pop AS (SELECT c_custkey, c_mktsegment AS s, c_acctbal FROM customer), smp AS (SELECT * FROM pop WHERE c_custkey % 7 = 0 OR (s = 'BUILDING' AND c_custkey % 3 = 0)), w AS (SELECT s, p.size, m.n, p.size::DOUBLE / (SELECT count(*) FROM pop) / m.n AS weight FROM (SELECT s, count(*)::BIGINT AS size FROM pop GROUP BY 1) p JOIN (SELECT s, count(*)::BIGINT AS n FROM smp GROUP BY 1) m USING (s))"
+_POP = "pop AS (SELECT c_custkey, c_mktsegment AS s, c_acctbal FROM customer), smp AS (SELECT * FROM pop WHERE c_acctbal > 8000 OR (s = 'BUILDING' AND c_acctbal > 4000)), w AS (SELECT s, p.size, m.n, p.size::DOUBLE / (SELECT count(*) FROM pop) / m.n AS weight FROM (SELECT s, count(*)::BIGINT AS size FROM pop GROUP BY 1) p JOIN (SELECT s, count(*)::BIGINT AS n FROM smp GROUP BY 1) m USING (s))"
 
 
 def _pop(spark, sf_dir):
     pop = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("s"), "c_acctbal")
-    return pop, pop.where("c_custkey % 7 = 0 OR (s = 'BUILDING' AND c_custkey % 3 = 0)")
+    return pop, pop.where("c_acctbal > 8000 OR (s = 'BUILDING' AND c_acctbal > 4000)")
 
 
 @query(f"WITH {_POP} SELECT s, size, n, round(weight, 9) AS weight FROM w")

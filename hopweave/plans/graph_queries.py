@@ -9,6 +9,7 @@ from hopweave.functions import text as X
 from hopweave.operators import graph as G
 from hopweave.operators import ranking as R
 from hopweave.plans.registry import query
+from hopweave.sources.shared import keep
 from hopweave.sources.tables import star_triples, table, with_ids
 
 TRIPLES = """triples AS (
@@ -119,7 +120,7 @@ def _tracks(spark, sf_dir):
     base = ranked.where("rank <= 200").select("query_id", F.col("vec_id").alias("passage"), F.col("raw").alias("score"))
     labels = ranked.where("rank <= 100").join(v.select("vec_id", "label"), "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
     static = labels.select("query_id", F.col("vec_id").alias("passage"), ((F.col("label") == F.col("q_label")).cast("double") + (F.col("vec_id") % 7) / 7.0).alias("score"))
-    return base, static, base.where("passage % 3 = 0")
+    return base, static, base.where("score >= 0.1")
 
 
 @query(f"WITH {DENSE}, a AS ({_TRACK.format(k=200)}), b AS ({_LABELS}) SELECT query_id, passage, round(sum(s), 6) AS score FROM (SELECT query_id, passage, 0.7 * {_MM} AS s FROM a UNION ALL SELECT query_id, passage, 0.3 * {_MM} FROM b) GROUP BY ALL")
@@ -129,7 +130,7 @@ def two_way_fusion(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DENSE}, a AS ({_TRACK.format(k=200)}), b AS ({_LABELS}), c AS (SELECT * FROM a WHERE passage % 3 = 0)
+    f"""WITH {DENSE}, a AS ({_TRACK.format(k=200)}), b AS ({_LABELS}), c AS (SELECT * FROM a WHERE score >= 0.1)
     SELECT query_id, passage, round(sum(s), 6) AS score FROM (SELECT query_id, passage, 0.4 * {_MM} AS s FROM a UNION ALL SELECT query_id, passage, 0.2 * {_MM} FROM b UNION ALL SELECT query_id, passage, 0.4 * {_MM} FROM c) GROUP BY ALL"""
 )
 def three_way_fusion(spark, sf_dir):
@@ -137,13 +138,13 @@ def three_way_fusion(spark, sf_dir):
     return R.fuse([(base, 0.4), (static, 0.2), (path, 0.4)])
 
 
-@query(f"WITH {DENSE}, a AS ({_TRACK.format(k=200)}), m AS (SELECT query_id, passage, {_MM} AS b FROM a) SELECT query_id, passage, round(CASE WHEN passage % 3 = 0 THEN 0.7 * b + 0.3 * 0.5 ELSE b END, 6) AS score FROM m")
+@query(f"WITH {DENSE}, a AS ({_TRACK.format(k=200)}), m AS (SELECT query_id, passage, score AS raw, {_MM} AS b FROM a) SELECT query_id, passage, round(CASE WHEN raw >= 0.1 THEN 0.7 * b + 0.3 * 0.5 ELSE b END, 6) AS score FROM m")
 def path_write_back(spark, sf_dir):
     base, _, path = _tracks(spark, sf_dir)
     return R.write_back(base, path.withColumn("score", F.lit(0.5)))
 
 
-@query(f"WITH {DENSE}, a AS ({_TRACK.format(k=200)}), m AS (SELECT query_id, passage, score, {_MM} AS b FROM a) SELECT query_id, passage, round(score * (1 + least(0.2, 0.25 * CASE WHEN passage % 3 = 0 THEN 0.8 ELSE 0 END * (0.5 + 0.5 * b))), 6) AS score FROM m")
+@query(f"WITH {DENSE}, a AS ({_TRACK.format(k=200)}), m AS (SELECT query_id, passage, score, {_MM} AS b FROM a) SELECT query_id, passage, round(score * (1 + least(0.2, 0.25 * CASE WHEN score >= 0.1 THEN 0.8 ELSE 0 END * (0.5 + 0.5 * b))), 6) AS score FROM m")
 def consensus_boost(spark, sf_dir):
     base, _, path = _tracks(spark, sf_dir)
     return R.consensus_boost(base, path.select("query_id", "passage", F.lit(0.8).alias("consensus")))
@@ -173,7 +174,7 @@ def ppr_topk(spark, sf_dir):
     passages = G.passage_edges(t).withColumn("src", F.concat(F.lit("p "), "src"))
     edges = G.fact_edges(t).withColumn("weight", F.col("weight").cast("double")).unionByName(passages)
     reset = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.lower("n_name").alias("node"), F.lit(1.0).alias("weight"))
-    ranked = G.personalised_pagerank(edges, reset, 0.5, STEPS).where("node LIKE 'p %'").withColumn("score", F.round("score", 6))
+    ranked = G.personalised_pagerank(edges, reset, 0.5, STEPS, keep).where("node LIKE 'p %'").withColumn("score", F.round("score", 6))
     return R.top_k(ranked, 10, "query_id", "score", "node")
 
 

@@ -86,32 +86,30 @@ def anchor_rewrite(spark, sf_dir):
 def phrase_containment(spark, sf_dir):
     """Which documents hold the first line of an item, token by token. Items are the stated query set; only pairs that
     share a run of four words meet."""
-    def grams(c):
-        w = F.split(c, " ")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 3)), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " "))
-
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.surface_norm(X.first_line(F.col("text"))).alias("phrase")).where("phrase <> ''")
-    long = items.where("size(split(phrase, ' ')) >= 4").withColumn("g", F.get(grams(F.col("phrase")), F.lit(0)))
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.surface_norm(X.first_line(F.col("text"))).alias("phrase")).where("phrase <> ''").withColumn("w", F.split("phrase", " "))
+    keys = items.select("item_id", F.when(F.size("w") >= 4, F.array_join(F.slice("w", 1, 4), " ")).otherwise(F.get("w", F.lit(0))).alias("g"))
     body = docs(spark, sf_dir).select("doc_id", X.surface_norm(F.col("text")).alias("body"))
-    met = body.select("doc_id", "body", F.explode(F.array_distinct(grams(F.col("body")))).alias("g")).join(F.broadcast(long), "g")
-    short = body.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("g")).join(F.broadcast(items.where("size(split(phrase, ' ')) < 4").withColumn("g", F.get(F.split("phrase", " "), F.lit(0)))), "g")
-    return met.unionByName(short).where(X.contains_phrase(F.col("phrase"), F.col("body"))).select("item_id", "doc_id")
+    # The words are a column of their own: inside a lambda an expression would run again for each element.
+    grams = F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 3)), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))
+    parts = body.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(F.array_union(grams, F.col("w"))).alias("g"))
+    met = parts.join(keys, "g").select("doc_id", "item_id").distinct()  # only rows of keys go on, without texts
+    return met.join(body, "doc_id").join(items.select("item_id", "phrase"), "item_id").where(X.contains_phrase(F.col("phrase"), F.col("body"))).select("item_id", "doc_id")
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split({SURFACE.format('left(text, 300)')}, ' '), lambda x: x <> '')) AS w, source FROM documents)
+    f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split({SURFACE.format('text')}, ' '), lambda x: x <> '')) AS w, source FROM documents)
     SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / greatest(1, len(list_distinct(list_concat(a.w, b.w)))), 6) AS jaccard FROM t a JOIN t b ON a.source = b.source AND b.doc_id = a.doc_id + 20"""
 )
 def jaccard_docs(spark, sf_dir):
-    """Token Jaccard of neighbouring documents of a source, on their lead of 300 characters (a feature, as in snippets)."""
-    t = docs(spark, sf_dir).select("doc_id", "source", F.array_distinct(X.tokens(X.surface_norm(F.substring("text", 1, 300)))).alias("w"))
+    """Token Jaccard of neighbouring documents of a source."""
+    t = docs(spark, sf_dir).select("doc_id", "source", F.array_distinct(X.tokens(X.surface_norm(F.col("text")))).alias("w"))
     other = t.select((F.col("doc_id") - 20).alias("doc_id"), "source", F.col("doc_id").alias("other"), F.col("w").alias("v"))
     return t.join(other, ["doc_id", "source"]).select("doc_id", "other", F.round(X.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
 @query(
-    f"""WITH h AS (SELECT doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000000 ELSE 0 END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'unknown' WHEN doc_id % 7 = 2 THEN 'zzz' ELSE split_part(trim(substring(text, 1, 60)), ' ', 2) END AS answer,
-      CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 7) WHEN doc_id % 5 = 1 THEN 'unknown ' || text ELSE substring(text, 1, 60) END AS evidence, CASE WHEN doc_id % 13 = 0 THEN 'nan' WHEN doc_id % 13 = 1 THEN '0.1' ELSE '0.9' END AS confidence FROM documents),
+    f"""WITH h AS (SELECT doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000000 ELSE 0 END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'unknown' WHEN doc_id % 7 = 2 THEN 'zzz' ELSE split_part(trim(string_split(text, chr(10))[1]), ' ', 2) END AS answer,
+      CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 7) WHEN doc_id % 5 = 1 THEN 'unknown ' || text ELSE string_split(text, chr(10))[1] END AS evidence, CASE WHEN doc_id % 13 = 0 THEN 'nan' WHEN doc_id % 13 = 1 THEN '0.1' ELSE '0.9' END AS confidence FROM documents),
     c AS (SELECT h.*, d.text, CASE WHEN confidence = 'nan' THEN 0.0 ELSE confidence::DOUBLE END AS claimed, trim(answer) AS a, trim(evidence) AS q FROM h LEFT JOIN documents d USING (doc_id))
     SELECT doc_id, answer, claimed, CASE WHEN text IS NULL THEN 'unknown_document_reference' WHEN length(a) = 0 OR length(a) > 200 THEN 'invalid_answer_or_hash' WHEN length(q) < 8 OR length(q) > 1500 OR NOT contains(text, q) THEN 'evidence_not_exact_substring'
       WHEN NOT contains({EVIDENCE.format('q')}, {EVIDENCE.format('a')}) THEN 'answer_not_supported_in_quote' WHEN {EVIDENCE.format('a')} IN ('unknown', 'none', 'not known', 'not stated', 'no answer') THEN 'missing_answer' WHEN claimed < 0.25 THEN 'low_claimed_confidence' END AS reason FROM c"""
@@ -121,8 +119,8 @@ def quote_grounding_reasons(spark, sf_dir):
     d = docs(spark, sf_dir)
     h = d.select(
         (F.col("doc_id") + F.when(m(11) == 0, 1000000).otherwise(0)).alias("doc_id"),
-        F.when(m(7) == 0, "").when(m(7) == 1, "unknown").when(m(7) == 2, "zzz").otherwise(F.split_part(F.trim(F.substring("text", 1, 60)), F.lit(" "), F.lit(2))).alias("answer"),
-        F.when(m(5) == 0, F.substring("text", 1, 7)).when(m(5) == 1, F.concat(F.lit("unknown "), "text")).otherwise(F.substring("text", 1, 60)).alias("evidence"),
+        F.when(m(7) == 0, "").when(m(7) == 1, "unknown").when(m(7) == 2, "zzz").otherwise(F.split_part(F.trim(F.get(F.split("text", "\n"), F.lit(0))), F.lit(" "), F.lit(2))).alias("answer"),
+        F.when(m(5) == 0, F.substring("text", 1, 7)).when(m(5) == 1, F.concat(F.lit("unknown "), "text")).otherwise(F.get(F.split("text", "\n"), F.lit(0))).alias("evidence"),
         F.when(m(13) == 0, "nan").when(m(13) == 1, "0.1").otherwise("0.9").alias("confidence"),
     )
     return V.hypothesis_reasons(h, d).select("doc_id", "answer", "claimed", "reason")
@@ -188,7 +186,8 @@ def source_units(spark, sf_dir):
 
 @query("SELECT item_id, list_distinct(list_concat(w, list_concat(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END, CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END))).len()::INT AS n_grams FROM (SELECT item_id, list_filter(string_split(" + SURFACE.format("text") + ", ' '), lambda x: x <> '') AS w FROM benchmark)")
 def token_ngrams(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(X.ngrams(X.tokens(X.surface_norm(F.col("text"))), 3)).alias("n_grams"))
+    words = table(spark, sf_dir, "benchmark").select("item_id", X.tokens(X.surface_norm(F.col("text"))).alias("w"))
+    return words.select("item_id", F.size(X.ngrams(F.col("w"), 3)).alias("n_grams"))
 
 
 @query("SELECT c_custkey, lower(c_mktsegment) IN ('yes', 'true', 't', 'y', '1') AS flag, CASE WHEN c_custkey % 3 = 0 THEN 0.5 WHEN c_custkey % 3 = 1 THEN 0.5 ELSE c_acctbal END AS value FROM customer")
