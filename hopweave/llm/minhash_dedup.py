@@ -8,8 +8,8 @@ probability 6e-11, at 0.8 with 4e-8.
 
 Within a band's bucket each member is compared with the least one; components follow from the confirmed links. Then,
 in buckets that still hold several components, pairs across components are tried: all of them in small buckets; in large
-ones members outside the largest component meet all others (in blocks, estimates only) and the best candidate for each
-other component goes to exact confirmation, until no candidate is left.
+ones members outside the largest component meet all others (in blocks, estimates only) and the likeliest
+candidates that have not been compared yet go to exact confirmation, until none is left.
 
 Nulls and empty texts have empty sets and no links. A row with a null doc_id is returned with a null component_id and
 kept. Repeated rows are linked as equal texts; each row is returned. An empty table gives an empty one.
@@ -33,6 +33,7 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A candidate whose estimate is this much below the threshold is dropped: over five standard deviations (0.032 at 0.85).
 MARGIN = 0.17
+BEST_OF = 32  # candidates of an outsider in each other component in the first round; four times as many in each later one
 SMALL = 64  # open buckets up to this size try all pairs of different components once; larger ones go by outsiders
 BLOCK = 2048  # members of a large open bucket that meet its outsiders in one task
 
@@ -149,22 +150,26 @@ def _confirm(percent: int):
     return run
 
 
-def _outsiders(least: float):
+def _outsiders(least: float, best_of: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Best likely partner of each outsider in each other component, among one block of a bucket's members."""
+        """Likeliest partners of each outsider in each other component, among one block of a bucket's members, without
+        those it has been compared with."""
         out, members = group[group["outside"]], group[~group["outside"]]
         regs = np.frombuffer(b"".join(members["regs"]), np.uint16).reshape(-1, REGISTERS)
         n_all, comps, ids = members["n"].to_numpy(float), members["component"].to_numpy(), members["rep"].to_numpy()
         found = []
-        for rep, comp, n, r in zip(out["rep"], out["component"], out["n"], out["regs"]):
+        for rep, comp, n, r, tried in zip(out["rep"], out["component"], out["n"], out["regs"], out["tried"]):
             other = (comps != comp) & (np.minimum(n_all, n) >= least * np.maximum(n_all, n))
+            if tried is not None and len(tried):
+                other &= ~np.isin(ids, tried)
             if not other.any():
                 continue
             own = np.frombuffer(r, np.uint16)
             more, less = (regs[other] > own).sum(axis=1), (regs[other] < own).sum(axis=1)
             e = likeliest(more, less, n_all[other], np.full(other.sum(), float(n)))
             best = pd.DataFrame({"a": ids[other], "c": comps[other], "e": e})
-            best = best[best["e"] >= least].sort_values("e").drop_duplicates("c", keep="last")
+            best = best[best["e"] >= least].sort_values("e", ascending=False, kind="stable")
+            best = best[best.groupby("c").cumcount() < best_of]
             found += [(min(rep, a), max(rep, a)) for a in best["a"]]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
 
@@ -201,7 +206,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
         joined = pairs.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b")
         return joined.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
 
-    checked, first_round = scratch.keep(confirm(pairs)), True
+    checked, first_round, best_of = scratch.keep(confirm(pairs)), True, BEST_OF
     while True:
         found = scratch.keep(components(checked.where("linked").select("a", "b"), scratch))
         # Buckets in which several components meet.
@@ -212,10 +217,15 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
         opened = scratch.keep(counts.where("parts > 1").select("key", "main", "size"))
         inside = scratch.keep(placed.join(opened, "key"))
         large = inside.where(f"size > {SMALL}").withColumn("blocks", F.expr(f"int(1 + size div {BLOCK})")).join(small, "rep")
-        dealt = large.select("key", F.expr("pmod(xxhash64(rep), blocks)").cast("int").alias("block"), "rep", "component", "n", "regs", F.lit(False).alias("outside")).unionByName(
-            large.where("component <> main").select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", "component", "n", "regs", F.lit(True).alias("outside"))
+        failed = checked.where("NOT linked").select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("o")), F.struct(F.col("b").alias("rep"), F.col("a").alias("o")))).alias("p")).select("p.*")
+        strangers = large.where("component <> main")
+        tried = failed.join(strangers.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.collect_list("o").alias("tried"))
+        outside = strangers.join(tried, "rep", "left")
+        dealt = large.select("key", F.expr("pmod(xxhash64(rep), blocks)").cast("int").alias("block"), "rep", "component", "n", "regs", F.lit(None).cast("array<long>").alias("tried"), F.lit(False).alias("outside")).unionByName(
+            outside.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", "component", "n", "regs", "tried", F.lit(True).alias("outside"))
         )
-        new = dealt.groupBy("key", "block").applyInPandas(_outsiders(least), "a long, b long")
+        new = dealt.groupBy("key", "block").applyInPandas(_outsiders(least, best_of), "a long, b long")
+        best_of *= 4
         if first_round:  # later rounds only join components, so these buckets need no second look
             one, two = (inside.where(f"size <= {SMALL}").select("key", F.col("rep").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b"))
             new = new.unionByName(likely(one.join(two, "key").where("a < b AND c_a <> c_b").select("a", "b").distinct()))

@@ -59,3 +59,8 @@ def test_large_buckets_go_by_outsiders(spark, monkeypatch):
     monkeypatch.setattr(m, "SMALL", 2)
     monkeypatch.setattr(m, "BLOCK", 16)
     test_chained_copies_and_edge_cases(spark)
+
+
+def test_outsiders_try_beyond_the_likeliest(spark, monkeypatch):
+    monkeypatch.setattr(m, "BEST_OF", 1)
+    test_large_buckets_go_by_outsiders(spark, monkeypatch)
