@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from hopweave.llm.scratch import Scratch
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs from one centre that hangs from none: then nothing is left to do."""
+    if not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -17,9 +20,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     A node's neighbours are never gathered: each round takes minima by partial aggregation and joins them back.
     """
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (now := _mark(edges)) != before:
-        before = now
+    while not _is_forest_of_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = scratch.keep(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
@@ -32,6 +33,4 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             if old.inputFiles():
                 scratch.drop(old)
         edges = new
-    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -214,7 +214,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
         counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
             F.max_by("component", "n").alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")
         )
-        opened = scratch.keep(counts.where("parts > 1").select("key", "main", "size"))
+        opened = counts.where("parts > 1").select("key", "main", "size")
         inside = scratch.keep(placed.join(opened, "key"))
         large = inside.where(f"size > {SMALL}").withColumn("blocks", F.expr(f"int(1 + size div {BLOCK})")).join(small, "rep")
         failed = checked.where("NOT linked").select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("o")), F.struct(F.col("b").alias("rep"), F.col("a").alias("o")))).alias("p")).select("p.*")
