@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hopweave.llm import byte_shards, decontaminate, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, repair_files, secrets_scan, substring_dedup
+from hopweave.llm import byte_shards, decontaminate, license_scan, minhash_dedup, oracles, packing, quality_classifier, quality_rules, repair_files, secrets_scan, substring_dedup
 from hopweave.llm.scratch import Scratch
 
 
@@ -65,4 +65,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op7_license_scan, op8_best_fit_packing, op9_substring_dedup, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL
