@@ -34,7 +34,8 @@ WIDTH = 50
 ROUNDS = ("pairs", "pairs", "runs", "pairs", "pairs")
 RUN_WORDS = 4
 LOSS = 1 + 2 + RUN_WORDS + 4 + 8  # words at either end of a window that the rounds can disturb
-CHUNK_BYTES = 8_000_000
+ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+CHUNK_BYTES = 4_000_000
 
 TEXTS, HASHES, DONE = 0, 1, 2
 _BLOBS = "kind int, bucket int, chunk long, payload binary"
@@ -91,7 +92,7 @@ class Chunk:
         span = WIDTH - LOSS
         starts = symbol_starts(self.hashes, self.document)
         starts = starts[starts + span <= self.ends[starts]]
-        return starts, window_hashes(self.hashes, span)[starts]
+        return starts, window_hashes(self.hashes, span)[starts] & ANCHOR_BITS  # a false match only costs a comparison
 
     def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and 128-bit hashes (two columns) of the windows that hold one of the anchors from its LOSS-th word on."""
@@ -106,8 +107,10 @@ class Chunk:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Compressed arrays; 8-byte values go plane by plane, so that equal high or low bytes cost nothing."""
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    planes = [np.ascontiguousarray(a).reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(head + b"".join(planes), 1)
 
 
 def _unpack(data: bytes, *types) -> list[np.ndarray]:
@@ -115,8 +118,10 @@ def _unpack(data: bytes, *types) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes, at, out = np.frombuffer(raw, np.int64, n, 8), 8 * (n + 1), []
     for size, (kind, columns) in zip(sizes.tolist(), types):
-        a = np.frombuffer(raw, kind, size * columns, at)
-        at += a.nbytes
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * columns * width, at).reshape(width, -1)
+        at += planes.size
+        a = np.ascontiguousarray(planes.T).view(kind).ravel()
         out.append(a.reshape(-1, columns) if columns > 1 else a)
     return out
 
