@@ -173,8 +173,12 @@ def ppr_topk(spark, sf_dir):
     t = star_triples(spark, sf_dir)
     passages = G.passage_edges(t).withColumn("src", F.concat(F.lit("p "), "src"))
     edges = G.fact_edges(t).withColumn("weight", F.col("weight").cast("double")).unionByName(passages)
-    reset = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.lower("n_name").alias("node"), F.lit(1.0).alias("weight"))
-    ranked = G.personalised_pagerank(edges, reset, 0.5, STEPS, keep).where("node LIKE 'p %'").withColumn("score", F.round("score", 6))
+    # The iteration runs on 64-bit hashes of labels; only ranked passages get their labels back.
+    short = edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), "weight")
+    reset = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.xxhash64(F.lower("n_name")).alias("node"), F.lit(1.0).alias("weight"))
+    names = passages.select(F.col("src").alias("label")).distinct().select(F.xxhash64("label").alias("node"), "label")
+    scores = G.personalised_pagerank(short, reset, 0.5, STEPS, keep)
+    ranked = scores.join(names, "node").select("query_id", F.col("label").alias("node"), F.round("score", 6).alias("score"))
     return R.top_k(ranked, 10, "query_id", "score", "node")
 
 
