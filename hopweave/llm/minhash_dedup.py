@@ -224,7 +224,8 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
         dealt = large.select("key", F.expr("pmod(xxhash64(rep), blocks)").cast("int").alias("block"), "rep", "component", "n", "regs", F.lit(None).cast("array<long>").alias("tried"), F.lit(False).alias("outside")).unionByName(
             outside.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", "component", "n", "regs", "tried", F.lit(True).alias("outside"))
         )
-        new = dealt.groupBy("key", "block").applyInPandas(_outsiders(least, best_of), "a long, b long")
+        # A number of partitions of our own: these blocks are few bytes and much work, which Spark would put into one task.
+        new = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "block").groupBy("key", "block").applyInPandas(_outsiders(least, best_of), "a long, b long")
         best_of *= 4
         if first_round:  # later rounds only join components, so these buckets need no second look
             one, two = (inside.where(f"size <= {SMALL}").select("key", F.col("rep").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b"))
