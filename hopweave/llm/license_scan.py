@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Text is lower-cased (A-Z) and read as words, runs of letters, digits and characters from U+0080; rules are regular
-expressions over the words joined by single spaces. A rule runs only if all its keywords are words of the text. Rules
-have a priority: of overlapping detections the one of higher priority, then the longer one, wins, and a detection that
+expressions over the words joined by single spaces. A rule runs only if for each of its keywords the text has one of the
+words that the pattern can show in its place. Rules have a priority: of overlapping detections the one of higher priority, then the longer one, wins, and a detection that
 lies inside one already taken is suppressed.
 
 The base places (fixed phrases) are counted apart and never suppressed. A null text is empty: no words, no labels,
@@ -25,22 +25,20 @@ from hopweave.llm.hashing import byte_list
 BASE = ((b"cc by", "cc-by"), (b"general public license", "gpl"), (b"all rights reserved", "reserved"))
 
 V = r"(?: version| v)?"
-# Label, keyword, how the licence is named. Longer names first where one begins another.
+# Label, keyword (words that may stand for it are parted by |), how the licence is named. Longer names first where one begins another.
 LICENSES = (
     ("AGPL-3.0", "affero", rf"(?:gnu )?affero general public licen[sc]e{V}(?: 3(?: 0)?)?"),
-    ("AGPL-3.0", "agpl", rf"agpl(?:v| v| )?3(?: 0)?"),
+    ("AGPL-3.0", "agpl|agplv3|agpl3", rf"agpl(?:v| v| )?3(?: 0)?"),
     ("LGPL-2.1", "lesser", rf"(?:gnu )?lesser general public licen[sc]e{V} 2 1"),
     ("LGPL-3.0", "lesser", rf"(?:gnu )?lesser general public licen[sc]e{V} 3(?: 0)?"),
     ("LGPL-2.0", "library", rf"(?:gnu )?library general public licen[sc]e(?:{V} 2(?: 0)?)?"),
-    ("LGPL-2.1", "lgpl", r"lgpl(?:v| v| )?2 1"),
-    ("LGPL-3.0", "lgpl", r"lgpl(?:v| v| )?3(?: 0)?"),
+    ("LGPL-2.1", "lgpl|lgplv2|lgpl2", r"lgpl(?:v| v| )?2 1"),
+    ("LGPL-3.0", "lgpl|lgplv3|lgpl3", r"lgpl(?:v| v| )?3(?: 0)?"),
     ("GPL-2.0", "general", rf"(?:gnu )?general public licen[sc]e{V} 2(?: 0)?"),
     ("GPL-3.0", "general", rf"(?:gnu )?general public licen[sc]e{V} 3(?: 0)?"),
     ("GPL", "general", r"(?:gnu )?general public licen[sc]e"),
-    ("GPL-2.0", "gpl", r"(?:gnu )?gpl(?:v| v| )?2(?: 0)?"),
-    ("GPL-3.0", "gpl", r"(?:gnu )?gpl(?:v| v| )?3(?: 0)?"),
-    ("GPL-2.0", "gplv2", r"(?:gnu )?gplv2"),
-    ("GPL-3.0", "gplv3", r"(?:gnu )?gplv3"),
+    ("GPL-2.0", "gpl|gplv2|gpl2", r"(?:gnu )?gpl(?:v| v| )?2(?: 0)?"),
+    ("GPL-3.0", "gpl|gplv3|gpl3", r"(?:gnu )?gpl(?:v| v| )?3(?: 0)?"),
     ("GFDL-1.3", "documentation", rf"(?:gnu )?free documentation licen[sc]e(?:{V} 1 3)?"),
     ("Apache-2.0", "apache", rf"apache (?:software )?licen[sc]e{V} 2(?: 0)?"),
     ("Apache-1.1", "apache", rf"apache (?:software )?licen[sc]e{V} 1 1"),
@@ -52,7 +50,7 @@ LICENSES = (
     ("ISC", "isc", r"isc licen[sc]e"),
     ("BSD-4-Clause", "bsd", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd)(?: licen[sc]e)?"),
     ("BSD-3-Clause", "bsd", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?"),
-    ("BSD-2-Clause", "bsd", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
+    ("BSD-2-Clause", "bsd|freebsd", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
     ("0BSD", "0bsd", r"0bsd(?: licen[sc]e)?"),
     ("0BSD", "bsd", r"(?:zero|0) clause bsd(?: licen[sc]e)?"),
     ("BSD", "bsd", r"bsd (?:style )?licen[sc]e"),
@@ -104,13 +102,33 @@ CONDITIONS = (
     ("BY", "by", "attribution"),
 )
 VERSIONS = ("4.0", "3.0", "2.5", "2.0", "1.0", "")
+# Labels whose names mean a licence only in so many words, and those that are also names of software.
+NO_IDENTIFIER = ("Public-Domain", "Proprietary")
+SOFTWARE = ("X11", "Python-2.0", "PHP-3.01", "Ruby", "PostgreSQL", "OpenSSL")
+
+
+def identifiers() -> list[tuple[str, str, str]]:
+    """Label, keyword and pattern of identifiers (MIT, Apache-2.0) that no name above covers; they count only after words of licensing."""
+    out = []
+    for label in dict.fromkeys(x[0] for x in LICENSES if x[0] not in NO_IDENTIFIER):
+        words = re.sub("[^a-z0-9]+", " ", label.lower())
+        if any(known == label and re.fullmatch(pattern, words) for known, _, pattern in LICENSES):
+            continue
+        name, number = re.fullmatch(r"(.*?)((?: \d+)+)?", words).groups()
+        pattern = ("(?:gnu )?" if "gpl" in name or name == "gfdl" else "") + name
+        if label != "MIT-0" and number:
+            pattern += "(?: version)? v?" + re.sub(" 0$", "(?: 0)?", number[1:])
+        else:
+            pattern += number or ""
+        out.append((label, name.split()[0], pattern))
+    return out
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     priority: int
-    keywords: frozenset[bytes]
+    keywords: tuple[frozenset[bytes], ...]  # of each, one word must be there
     pattern: re.Pattern
     weight: float
 
@@ -120,7 +138,7 @@ def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first. A name with words of licensing around it outranks the bare name."""
     frames = (
         (4, 0.99, r"spdx licen[sc]e identifier {}", "spdx"),
-        (3, 0.95, r"(?:re)?licensed (?:\w+ ){{0,3}}?under (?:the )?(?:terms of the )?{}", "licensed"),
+        (3, 0.95, r"(?:re)?licensed (?:\w+ ){{0,3}}?under (?:the )?(?:terms of the )?{}", "licensed|relicensed"),
         (3, 0.95, r"(?:released|distributed|available|published|provided|shared) (?:\w+ ){{0,3}}?under (?:the )?(?:terms of the )?{}", "under"),
         (1, 0.8, "{}", ""),
     )
@@ -131,10 +149,11 @@ def rules() -> tuple[Rule, ...]:
             label = "-".join(filter(None, ("CC", short, version)))
             names.append((label, ("cc",), rf"cc {letters}{number}"))
             names.append((label, ("creative", "commons"), rf"creative commons {long}(?: licen[sc]e)?(?: version)?{number}(?: international| unported)?"))
+    bare = [(label, (keyword,), pattern) for label, keyword, pattern in identifiers()]
     out = []
     for priority, weight, frame, extra in frames:
-        for label, keywords, pattern in names:
-            need = frozenset(k.encode() for k in (*keywords, extra) if k)
+        for label, keywords, pattern in names + [x for x in bare if extra and not (extra == "under" and x[0] in SOFTWARE)]:
+            need = tuple(frozenset(k.encode().split(b"|")) for k in (*keywords, extra) if k)
             out.append(Rule(label, priority, need, re.compile((r"(?<= )" + frame.format(f"(?:{pattern})") + r"(?= )").encode()), weight))
     return tuple(out)
 
@@ -142,9 +161,20 @@ def rules() -> tuple[Rule, ...]:
 _TO_SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+@lru_cache(maxsize=1)
+def _by_word() -> dict[bytes, list[Rule]]:
+    """Rules by the words of their first keyword."""
+    out: dict[bytes, list[Rule]] = {}
+    for r in rules():
+        for word in r.keywords[0]:
+            out.setdefault(word, []).append(r)
+    return out
+
+
 def detections(joined: bytes, present: set[bytes]) -> list[tuple[int, int, Rule]]:
     """What is left after suppression, in order of place; ``joined`` has a space at either end."""
-    found = [(m.start(), m.end(), r) for r in rules() if r.keywords <= present for m in r.pattern.finditer(joined)]
+    near = {id(r): r for word in present for r in _by_word().get(word, ())}.values()
+    found = [(m.start(), m.end(), r) for r in near if not any(k.isdisjoint(present) for k in r.keywords) for m in r.pattern.finditer(joined)]
     taken, cover = [], bytearray(len(joined))
     for start, end, rule in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
         if 1 not in cover[start:end]:
@@ -174,7 +204,7 @@ def scan(text: bytes, keywords: frozenset[bytes]) -> tuple[int, int, int | None,
 @lru_cache(maxsize=1)
 def gate() -> frozenset[bytes]:
     """Words without one of which no rule and no base phrase can match."""
-    return frozenset(k for r in rules() for k in r.keywords) | {p.split()[0] for p, _ in BASE}
+    return frozenset(word for r in rules() for k in r.keywords for word in k) | {p.split()[0] for p, _ in BASE}
 
 
 _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
