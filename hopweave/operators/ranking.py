@@ -64,6 +64,12 @@ def path_passages(paths: DataFrame) -> DataFrame:
     return paths.groupBy("query_id", "passage").agg(F.max("total").alias("score"))
 
 
+def path_pool(paths: DataFrame, size: int = 80) -> DataFrame:
+    """All paths of the first passages of each query, by a passage's best path: paths of one passage crowd no other out."""
+    best = path_passages(paths)
+    return paths.join(top_k(best, size, "query_id", "score", "passage").select("query_id", "passage"), ["query_id", "passage"], "left_semi")
+
+
 def write_back(base: DataFrame, chosen: DataFrame) -> DataFrame:
     """0.7 * min-maxed base score + 0.3 * path score of chosen passages."""
     scaled = base.select("query_id", "passage", minmax(F.col("score"), "query_id").alias("b"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hopweave.functions import repair, text as X
 from hopweave.operators import evidence as V
 from hopweave.operators import providers as P
+from hopweave.operators import ranking as R
 from hopweave.plans.graph_queries import _paths
 from hopweave.plans.registry import query
 from hopweave.sources.tables import table
@@ -48,25 +49,24 @@ def response_cache(spark, sf_dir):
 
 @query()
 def greedy_path_set(spark, sf_dir):
-    paths = _paths(spark, sf_dir)
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "passage"))
-    pool = paths.withColumn("at", first).where("at <= 80").withColumn("targets", F.col("nodes"))  # the operator's pool size
+    pool = R.path_pool(_paths(spark, sf_dir)).withColumn("targets", F.col("nodes"))
     return V.greedy_paths(pool.select("query_id", "passage", "nodes", "total", "targets")).withColumn("objective", F.round("objective", 6))
 
 
 @query()
 def evidence_prefix(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """All documents of a source are scored; the pool is the best of them, and only its texts are read into tokens."""
     d = table(spark, sf_dir, "documents")
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    c = d.select(
-        F.expr("bigint(substring(source, 4))").alias("query_id"), F.col("doc_id").cast("string").alias("passage"), (F.lit(1.0) / (1 + F.col("doc_id") % 50)).alias("base"), (F.col("doc_id") % 7 / 7.0).alias("goal_score"),
-        F.array("lang").alias("goals"), F.array_distinct(X.tokens(X.surface_norm(F.col("text")))).alias("tokens"), at.alias("at"),
-    ).where("at <= 80")  # the operator's pool size
-    return V.evidence_prefix(c.drop("at")).withColumn("objective", F.round("objective", 6))
+    named = d.withColumns({"query_id": F.expr("bigint(substring(source, 4))"), "passage": F.col("doc_id").cast("string")})
+    scored = named.select(
+        "query_id", "passage", (F.lit(1.0) / (1 + F.col("doc_id") % 50)).alias("base"), (F.col("doc_id") % 7 / 7.0).alias("goal_score"), F.col("lang").alias("goal"), F.lit(False).alias("verified"),
+    )
+    pool = R.trim_pool(scored).select("query_id", "passage", "base", "goal_score")
+    texts = named.select("query_id", "passage", "lang", "text").join(pool, ["query_id", "passage"])
+    tokens = texts.select("query_id", "passage", "base", "goal_score", "lang", X.tokens(X.surface_norm(F.col("text"))).alias("tokens"))
+    # Repeated rows of a document are one candidate.
+    c = tokens.groupBy("query_id", "passage", "base", "goal_score").agg(F.collect_set("lang").alias("goals"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    return V.evidence_prefix(c).withColumn("objective", F.round("objective", 6))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -4,7 +4,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from hopweave.plans import graph_queries
+from pyspark.sql import functions as F
+
+from hopweave.functions import text as X
+from hopweave.operators import ranking as R
+from hopweave.plans import graph_queries, model_queries
 from hopweave.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -64,3 +68,54 @@ def test_pagerank_steps_match_their_sql_and_report_the_last_change(spark, duck):
     assert plain == sorted((q, k, n, round(s, 5)) for q, k, n, s in sql)
     graph_queries.nearest_passages(spark, DIR, graph_queries.SETTLED, changes.append)
     assert 1e-3 < changes[0] < 0.5 and changes[1] < 5e-7
+
+
+def greedy_evidence(rows, slots=5, size=80):
+    """rows: (passage, base, goal_score, goal, tokens) of one source; the pool and the selection in plain loops."""
+    rows = sorted(rows)
+    best = {}
+    for r in rows:
+        if r[3] not in best or r[2] > best[r[3]][2]:
+            best[r[3]] = r
+    reserved = {r[0] for r in best.values()}
+    pool = sorted(rows, key=lambda r: (r[0] not in reserved, -round(0.4 * r[1] + 0.6 * r[2], 6), r[0]))[:size]
+    goals, covered, picked, out = {r[3] for r in pool}, set(), [], []
+    for _ in range(slots):
+        top = None
+        for r in sorted(pool):
+            twin = max((len(r[4] & p) / max(1, len(r[4] | p)) for p in picked), default=0.0)
+            value = 0.4 * r[1] + 0.25 * r[2] + 0.45 * len({r[3]} - covered) / len(goals) - 0.15 * twin
+            if top is None or value > top[0] + 1e-12:
+                top = (value, r)
+        if top is None:
+            break
+        pool.remove(top[1])
+        covered.add(top[1][3])
+        picked.append(top[1][4])
+        out.append((top[1][0], pytest.approx(top[0], abs=1e-6)))
+    return out
+
+
+def test_evidence_comes_from_whole_sources(spark):
+    dir = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{dir}/documents.parquet").select("doc_id", "lang", "source", X.tokens(X.surface_norm(F.col("text"))).alias("t")).collect()
+    sources, got = {}, {}
+    for r in docs:
+        sources.setdefault(int(r.source[3:]), []).append((str(r.doc_id), 1.0 / (1 + r.doc_id % 50), r.doc_id % 7 / 7.0, r.lang, set(r.t)))
+    for r in model_queries.evidence_prefix(spark, dir).orderBy("step").collect():
+        got.setdefault(r.query_id, []).append((r.passage, r.objective))
+    assert got == {k: greedy_evidence(v) for k, v in sources.items()} and max(map(len, sources.values())) > 80
+
+
+def test_evidence_pool_takes_repeated_rows_once(spark, tmp_path):
+    rows = [(i, f"word{i} text", "en", "src1", 9) for i in range(300)] + [(299, "word299 text", "en", "src1", 9)] * 100
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = [(str(i), 1.0 / (1 + i % 50), i % 7 / 7.0, "en", {f"word{i}", "text"}) for i in range(300)]
+    got = model_queries.evidence_prefix(spark, str(tmp_path)).orderBy("step").collect()
+    assert [(r.passage, r.objective) for r in got] == greedy_evidence(plain)
+
+
+def test_path_pool_counts_passages(spark):
+    rows = [(1, "a", [f"n{i}"], 1 - i / 1000) for i in range(100)] + [(1, "b", ["m"], 0.5), (1, "c", ["m"], 0.4)]
+    pool = R.path_pool(spark.createDataFrame(rows, "query_id long, passage string, nodes array<string>, total double"), 2).collect()
+    assert {r.passage for r in pool} == {"a", "b"} and len(pool) == 101
