@@ -60,29 +60,39 @@ def knn(vectors: DataFrame, k: int, least: float | None = None, queries: DataFra
     import pandas as pd
 
     asked = (queries if queries is not None else vectors).select(F.col("vec_id").alias("src"), F.col("embedding").alias("q"))
-    block_q = asked.withColumn("qb", F.expr("pmod(xxhash64(src), 16)"))
-    block_v = vectors.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("v")).withColumn("vb", F.expr("pmod(xxhash64(dst), 16)"))
+    # Both sides need block numbers of one type: a long and an int of the same value hash to different partitions.
+    block_q = asked.withColumn("qb", F.expr("int(pmod(xxhash64(src), 16))"))
+    block_v = vectors.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("v")).withColumn("vb", F.expr("int(pmod(xxhash64(dst), 16))"))
     grid = lambda df, own, other: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(15))))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"src": [], "dst": [], "score": []})
         q, v = (np.stack(x.to_list()).astype(float) for x in (left["q"], right["v"]))
         q, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, v))
-        score = q @ v.T
-        score[left["src"].to_numpy()[:, None] == right["dst"].to_numpy()[None, :]] = -np.inf
-        score = np.round(score, 6)
         # Ties go to the smaller id: columns are sorted by it and the sort is stable.
         order = np.argsort(right["dst"].to_numpy(), kind="stable")
-        score, ids = score[:, order], right["dst"].to_numpy()[order]
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), top.shape[1])
-        out = pd.DataFrame({"src": left["src"].to_numpy()[rows], "dst": ids[top.ravel()], "score": score[rows, top.ravel()]})
-        out = out[np.isfinite(out["score"])]
-        return out if least is None else out[out["score"] >= least]
+        v, names, asker, out = v[order], right["dst"].to_numpy()[order], left["src"].to_numpy(), []
+        # So many askers at a time that the scores stay within a few MB, however large a block is.
+        for at in range(0, len(q), rows := max(1, 1_000_000 // len(v))):
+            own = asker[at : at + rows]
+            score = np.round(q[at : at + rows] @ v.T, 6)
+            score[own[:, None] == names[None, :]] = -np.inf
+            if least is None:
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                i, j = np.nonzero(np.isfinite(np.take_along_axis(score, top, 1)))
+                j = top[i, j]
+            else:  # few reach it, so only those are sorted
+                i, j = np.nonzero(score >= least)
+                best = np.lexsort((j, -score[i, j], i))
+                i, j = i[best], j[best]
+                near = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[near], j[near]
+            out.append(pd.DataFrame({"src": own[i], "dst": names[j], "score": score[i, j]}))
+        return pd.concat(out)
 
     part = grid(block_q, "qb", "vb").groupBy("qb", "vb").cogroup(grid(block_v.withColumnRenamed("vb", "_vb"), "_vb", "qb").withColumnRenamed("_vb", "vb").groupBy("qb", "vb"))
-    pairs = part.applyInPandas(best, "src long, dst long, score double")
+    pairs = part.applyInPandas(nearest, "src long, dst long, score double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopweave.functions import text as X
-from hopweave.operators import ranking as R
+from hopweave.operators import graph as G, ranking as R
 from hopweave.plans import graph_queries, model_queries
 from hopweave.plans.registry import ORACLE_SQL, QUERIES
 
@@ -119,3 +119,39 @@ def test_path_pool_counts_passages(spark):
     rows = [(1, "a", [f"n{i}"], 1 - i / 1000) for i in range(100)] + [(1, "b", ["m"], 0.5), (1, "c", ["m"], 0.4)]
     pool = R.path_pool(spark.createDataFrame(rows, "query_id long, passage string, nodes array<string>, total double"), 2).collect()
     assert {r.passage for r in pool} == {"a", "b"} and len(pool) == 101
+
+
+def synonyms(rows, least, at_most=101):
+    """All (src, dst, weight) from plain cosines."""
+    ids = [i for i, _ in rows]
+    m = np.array([list(v) for _, v in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    score, out = np.round(m @ m.T, 6).tolist(), set()
+    for i, s in zip(ids, score):
+        out |= {(i, j, round(x, 5)) for x, j in sorted((-x, j) for x, j in zip(s, ids) if j != i and x >= least)[:at_most] for x in [-x]}
+    return out
+
+
+def test_every_vector_asks_for_synonyms(spark, duck):
+    got = {(r.src, r.dst, round(r.weight, 5)) for r in graph_queries.synonym_edges(spark, DIR).collect()}
+    assert got == synonyms(duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall(), 0.3)
+    sql = {(a, b, round(w, 5)) for a, b, w in duck.sql(f"SELECT src, dst, weight FROM ({ORACLE_SQL['synonym_edges']})").fetchall()}
+    assert {r for r in got if r[0] % 100 == 0} == sql and len(got) > len(sql)
+
+
+def test_synonyms_keep_the_nearest_101_at_08(spark):
+    draw = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in [5, 0, 0] + draw.normal(size=3)]) for i in range(150)] + [(200, [0.0, 0.0, -1.0])]
+    got = {(r.src, r.dst, round(r.weight, 5)) for r in G.synonym_edges(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == synonyms(rows, 0.8) and max(sum(r[0] == i for r in got) for i, _ in rows) == 101
+
+
+def test_knn_loses_no_pair_between_partitions(spark):
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=8)]) for i in range(300)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = G.knn(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 300)
+        assert {r["count"] for r in out.groupBy("src").count().collect()} == {299} and out.count() == 300 * 299
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
