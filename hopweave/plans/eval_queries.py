@@ -121,7 +121,7 @@ def bootstrap_point(spark, sf_dir):
 @query()
 def bootstrap_interval(spark, sf_dir):
     r = _recalls(spark, sf_dir).select((F.col("query_id") % 4).alias("stratum"), (F.col("recall_10") - F.col("recall_5")).alias("d"), F.col("query_id").alias("row_id"))
-    return E.bootstrap_interval(r, 200)
+    return E.bootstrap_interval(r)
 
 
 @query("SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('1031:' || c_custkey), c_custkey) AS place, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE place <= greatest(least(2, n), floor(0.1 * n))")

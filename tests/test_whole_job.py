@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopweave.functions import text as X
-from hopweave.operators import graph as G, ranking as R
-from hopweave.plans import graph_queries, model_queries
+from hopweave.operators import evaluation as E, graph as G, ranking as R
+from hopweave.plans import eval_queries, graph_queries, model_queries
 from hopweave.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -155,3 +155,19 @@ def test_knn_loses_no_pair_between_partitions(spark):
         assert {r["count"] for r in out.groupBy("src").count().collect()} == {299} and out.count() == 300 * 299
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_bootstrap_takes_2000_repetitions(spark, monkeypatch):
+    seen, run = [], E.bootstrap_interval
+    monkeypatch.setattr(E, "bootstrap_interval", lambda rows, *more: seen.append(rows) or run(rows, *more))
+    assert eval_queries.bootstrap_interval(spark, DIR).first() == run(seen[0], 2000).first()
+
+
+def test_bootstrap_matches_a_plain_one(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i % 3, float(i % 3 + draw.normal()), i) for i in range(400)]
+    groups = [np.array([d for s, d, _ in rows if s == k]) for k in range(3)]
+    means = sorted(sum(draw.choice(g, len(g)).sum() for g in groups) / len(rows) for _ in range(2000))
+    low, high = means[int(0.025 * 1999)], means[int(0.975 * 1999)]
+    got = E.bootstrap_interval(spark.createDataFrame(rows, "stratum int, d double, row_id long")).first()
+    assert got.low == pytest.approx(low, abs=0.1 * (high - low)) and got.high == pytest.approx(high, abs=0.1 * (high - low))
