@@ -9,24 +9,39 @@ from hopweave.llm.queries import table, tokenizer_file
 from hopweave.llm.scratch import Scratch
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the verdicts."""
-    return docs.join(verdicts.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a key of each row, written once so that the key is the same in every reading. Verdicts go by it, not by
+    doc_id, which may be null or repeated."""
+    return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"))
-    return _kept(docs, scored.where("predicted = 1"))
+    """Rows carry their columns through the scoring: each is judged by its own text, whatever its doc_id."""
+    carry = tuple(c for c in docs.columns if c != "doc_id")
+    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"), carry=carry)
+    return scored.where("predicted = 1").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, minhash_dedup.near_duplicates(docs, Scratch(spark, "pipeline-near")).where("kept"))
+    """One row of each group, that of the least doc_id. Rows without a doc_id stay, as in op1; rows without words make a
+    group only with rows of the same doc_id and text."""
+    scratch = Scratch(spark, "pipeline-near")
+    keyed = _keyed(docs, scratch)
+    named = keyed.where("doc_id IS NOT NULL")
+    verdicts = minhash_dedup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), scratch)
+    own = named.select("_row", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content"))
+    rows = own.join(verdicts.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "_row")
+    linked = F.col("n_shingles") > 0
+    groups = rows.groupBy(linked.alias("linked"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("g"), F.when(~linked, F.col("content")).alias("content"))
+    first = groups.agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first._row")
+    return keyed.join(first, "_row", "left_semi").unionByName(keyed.where("doc_id IS NULL")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline-benchmark")
-    found = decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark"), scratch)
-    return _kept(docs, found.where("size(spans) = 0"))
+    keyed = _keyed(docs, scratch)
+    found = decontaminate.find_spans(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), scratch)
+    return keyed.join(found.where("size(spans) = 0").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,10 +38,10 @@ FEATURES = {
 }
 
 
-def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the features of each row."""
-    counted = with_text_stats(df.select("doc_id", F.col(text).alias("text")), COUNTS)
-    return counted.select("doc_id", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
+def features(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry and the features of each row."""
+    counted = with_text_stats(df.select("doc_id", F.col(text).alias("text"), *[c for c in carry if c != "text"]), COUNTS)
+    return counted.select("doc_id", *carry, *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
 
 
 @dataclass
@@ -103,9 +103,10 @@ def held_out() -> Column:
     return F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0")
 
 
-def classify(docs: DataFrame, labels: DataFrame, scratch, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row; learns only from labelled rows outside the held-out fifth."""
-    table = scratch.keep(features(docs))
+def classify(docs: DataFrame, labels: DataFrame, scratch, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns to carry of each row; learns only from labelled rows outside
+    the held-out fifth."""
+    table = scratch.keep(features(docs, carry=carry))
     truth = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     model = fit(table.where(~held_out()).join(truth, "doc_id"))
-    return score(table, model).select("doc_id", held_out().alias("held_out"), "score", F.expr(f"int(score >= {threshold}D)").alias("predicted"))
+    return score(table, model).select("doc_id", held_out().alias("held_out"), "score", F.expr(f"int(score >= {threshold}D)").alias("predicted"), *carry)
