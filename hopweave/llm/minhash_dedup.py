@@ -6,13 +6,17 @@ compared, so copies cost nothing. A register is the truncated, exponentially spa
 unions are maxima. Four registers make a band, 32 bands a sketch: at similarity 0.85 a pair shares no band with
 probability 6e-11, at 0.8 with 4e-8.
 
-Within a band's bucket each member is compared with the least one; components follow from the confirmed links. Then,
-in buckets that still hold several components, pairs across components are tried: all of them in small buckets; in large
-ones members outside the largest component meet all others (in blocks, estimates only) and the likeliest
-candidates that have not been compared yet go to exact confirmation, until none is left.
+Two passes find the links. In each band's bucket the member that shares the most buckets of all is compared with the
+others: by the likelihood of the similarity under both register vectors, then by exact sets. Components follow. Buckets
+that still hold several components go through the second pass, grouped by their largest component: members outside it
+meet the group's members of fitting set size, in cells of a bounded number of elements, where exact intersections of all
+pairs come from matrix products. A cell returns pairs of components that it links, never pairs of documents, so nothing
+grows with the square of a group but multiplications. After that every pair of a bucket has been decided: nothing is
+capped or left to a further round.
 
 Nulls and empty texts have empty sets and no links. A row with a null doc_id is returned with a null component_id and
-kept. Repeated rows are linked as equal texts; each row is returned. An empty table gives an empty one.
+kept. Repeated rows are linked as equal texts; each row is returned. Rows of one doc_id with different texts count as
+linked, and which of the texts stands for them is not defined. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,9 +36,8 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A candidate whose estimate is this much below the threshold is dropped: over five standard deviations (0.032 at 0.85).
 MARGIN = 0.17
-BEST_OF = 32  # candidates of an outsider in each other component in the first round; four times as many in each later one
-SMALL = 64  # open buckets up to this size try all pairs of different components once; larger ones go by outsiders
-BLOCK = 2048  # members of a large open bucket that meet its outsiders in one task
+CELL_ROWS, CELL_ITEMS = 1024, 1 << 19  # most sets on either side of a cell, and about so many elements in them
+SLICE_BYTES = 2 << 20  # texts that are split into words at once
 
 _seeds = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
 _A, _B = _seeds[:REGISTERS] | np.uint32(1), _seeds[REGISTERS:]
@@ -52,6 +54,18 @@ def shingle_sets(texts: list[bytes], width: int = WORDS) -> Iterator[np.ndarray]
         yield np.unique(window_hashes(own, min(width, len(own)))) if len(own) else own
 
 
+def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts, each of one text or of few bytes."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and held + len(t) > SLICE_BYTES:
+            yield begin, i
+            begin, held = i, 0
+        held += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def registers(elements: np.ndarray) -> np.ndarray:
     low = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     small = (elements >> np.uint64(32)).astype(np.uint32)
@@ -91,33 +105,44 @@ def likeliest(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = byte_list(batch.column(1))
-        known: dict[bytes, int] = {}
-        places = [known.setdefault(t, len(known)) for t in texts]  # copies in a batch are sketched once
-        sizes, digests, regs = [], [], []
-        for s in shingle_sets(list(known)):
-            sizes.append(len(s))
-            if len(s):
-                with np.errstate(over="ignore"):
-                    digests.append(np.array([mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s * np.uint64(3)))], np.uint64).tobytes())
-                regs.append(registers(s).tobytes())
-            else:
-                digests.append(None)
-                regs.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([sizes[p] for p in places], pa.int64()),
-                pa.array([digests[p] for p in places], pa.binary()),
-                pa.array([regs[p] for p in places], pa.binary()),
-            ],
-            names=["doc_id", "n", "digest", "regs"],
-        )
+        for begin, end in slices(texts):
+            known: dict[bytes, int] = {}
+            places = [known.setdefault(t, len(known)) for t in texts[begin:end]]  # copies side by side are sketched once
+            sizes, digests, regs = [], [], []
+            for s in shingle_sets(list(known)):
+                sizes.append(len(s))
+                if len(s):
+                    with np.errstate(over="ignore"):
+                        digests.append(np.array([mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s * np.uint64(3)))], np.uint64).tobytes())
+                    regs.append(registers(s).tobytes())
+                else:
+                    digests.append(None)
+                    regs.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(begin, end - begin),
+                    pa.array([sizes[p] for p in places], pa.int64()),
+                    pa.array([digests[p] for p in places], pa.binary()),
+                    pa.array([regs[p] for p in places], pa.binary()),
+                ],
+                names=["doc_id", "n", "digest", "regs"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(byte_list(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "items"])
+        texts = byte_list(batch.column(1))
+        for begin, end in slices(texts):
+            sets = [s.tobytes() for s in shingle_sets(texts[begin:end])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sets, pa.binary())], names=["rep", "items"])
+
+
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """Each value's 64-bit elements, without a copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset) // 8
+    items = np.frombuffer(data, np.uint64, int(at[-1])) if data is not None and len(column) else np.zeros(0, np.uint64)
+    return [items[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -138,47 +163,119 @@ def _likely(least: float):
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, last, one = [], None, None
-            for first, second in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if first is not last:
-                    last, one = first, np.frombuffer(first, np.uint64)
-                two = np.frombuffer(second, np.uint64)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
+            good = []
+            for one, two in zip(_views(batch.column(2)), _views(batch.column(3))):
+                if len(one) < len(two):
+                    one, two = two, one
+                shared = int((one[np.searchsorted(one, two).clip(max=len(one) - 1)] == two).sum())
                 good.append(100 * shared >= percent * (len(one) + len(two) - shared))
-            yield batch.select(["a", "b"]).append_column("linked", pa.array(good, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _outsiders(least: float, best_of: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Likeliest partners of each outsider in each other component, among one block of a bucket's members, without
-        those it has been compared with."""
-        out, members = group[group["outside"]], group[~group["outside"]]
-        regs = np.frombuffer(b"".join(members["regs"]), np.uint16).reshape(-1, REGISTERS)
-        n_all, comps, ids = members["n"].to_numpy(float), members["component"].to_numpy(), members["rep"].to_numpy()
-        found = []
-        for rep, comp, n, r, tried in zip(out["rep"], out["component"], out["n"], out["regs"], out["tried"]):
-            other = (comps != comp) & (np.minimum(n_all, n) >= least * np.maximum(n_all, n))
-            if tried is not None and len(tried):
-                other &= ~np.isin(ids, tried)
-            if not other.any():
-                continue
-            own = np.frombuffer(r, np.uint16)
-            more, less = (regs[other] > own).sum(axis=1), (regs[other] < own).sum(axis=1)
-            e = likeliest(more, less, n_all[other], np.full(other.sum(), float(n)))
-            best = pd.DataFrame({"a": ids[other], "c": comps[other], "e": e})
-            best = best[best["e"] >= least].sort_values("e", ascending=False, kind="stable")
-            best = best[best.groupby("c").cumcount() < best_of]
-            found += [(min(rep, a), max(rep, a)) for a in best["a"]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of every left set with every right one: elements that many right sets hold by products of 0/1
+    matrices, the others by their lists of holders."""
+    width = len(right)
+    items, place, holders = np.unique(np.concatenate(right), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(width), [len(r) for r in right])
+    order = np.argsort(place, kind="stable")
+    lists, begins = owner[order], np.cumsum(holders) - holders
+    common = holders > max(8, width // 16)
+    column = np.cumsum(common) - 1
+    right_common = common[place]
+    right_row, right_column = owner[right_common], column[place[right_common]]
+    out = np.zeros((len(left), width), np.float32)
+    for top in range(0, len(left), 128):
+        some = left[top : top + 128]
+        own, row = np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some])
+        at = np.searchsorted(items, own).clip(max=len(items) - 1)
+        hit = items[at] == own
+        at, row = at[hit], row[hit]
+        rare = ~common[at]
+        n, first = holders[at[rare]], begins[at[rare]]
+        if len(n):
+            flat = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cells = np.repeat(row[rare], n) * width + lists[flat]
+            out[top : top + len(some)] += np.bincount(cells, minlength=len(some) * width).reshape(len(some), width)
+        row, at = row[~rare], column[at[~rare]]
+        for begin in range(0, int(column[-1]) + 1, 4096):
+            a, b = np.zeros((len(some), 4096), np.float32), np.zeros((width, 4096), np.float32)
+            use = (at >= begin) & (at < begin + 4096)
+            a[row[use], at[use] - begin] = 1
+            use = (right_column >= begin) & (right_column < begin + 4096)
+            b[right_row[use], right_column[use] - begin] = 1
+            out[top : top + len(some)] += a @ b.T
+    return out
+
+
+def _linked(cell: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of components that a cell links: its outside sets against its other ones."""
+    out = cell.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+    comps = cell.column("component").to_numpy()
+    sets = [v for chunk in cell.column("items").chunks for v in _views(chunk)]
+    one, two = np.flatnonzero(out), np.flatnonzero(~out)
+    found = np.zeros((0, 2), np.int64)
+    if len(one) and len(two):
+        sizes = np.array([len(s) for s in sets], np.float64)
+        shared = shared_counts([sets[i] for i in one], [sets[i] for i in two])
+        good = 100 * shared >= percent * (sizes[one][:, None] + sizes[two][None, :] - shared)
+        good &= comps[one][:, None] != comps[two][None, :]
+        x, y = np.nonzero(good)
+        found = np.unique(np.stack([comps[one[x]], comps[two[y]]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
+
+
+def _cells(percent: int):
+    """The rows of a cell follow each other; one cell is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("g", "s", "i", "j"))))
+            begin = 0
+            for at in range(len(keys) + 1):
+                if at == len(keys) or keys[at] != last:
+                    if at > begin:
+                        held.append(batch.slice(begin, at - begin))
+                    if at < len(keys):
+                        if held:
+                            yield _linked(pa.Table.from_batches(held), percent)
+                        held, last, begin = [], keys[at], at
+        if held:
+            yield _linked(pa.Table.from_batches(held), percent)
 
     return run
 
 
+def _across(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """placed: (key, rep, component). Pairs of components that any link inside a bucket joins."""
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("g"), F.count(F.lit(1)).alias("parts"))
+    groups = placed.join(counts.where("parts > 1").select("key", "g"), "key").select("g", "rep", "component").distinct()
+    step = np.log(100 / percent) * 1.0001  # linked sets lie in the same or the next class of sizes
+    sized = groups.join(sketches.select("rep", F.expr(f"int(floor(ln(n) / {step}D))").alias("class")), "rep")
+    spread = sized.withColumn("outside", F.col("component") != F.col("g")).withColumn("s", F.expr("explode(array(class - 1, class, class + 1))"))
+    counted = spread.groupBy("g", "s").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.expr("outside AND s = class")).alias("outsiders")).where("outsiders > 0")
+    bound = f"greatest(16, least({CELL_ROWS}, int({CELL_ITEMS} / exp(s * {step}D))))"
+    dealt = counted.select("g", "s", F.expr(f"int(ceil(outsiders / {bound}))").alias("rows"), F.expr(f"int(ceil(members / {bound}))").alias("columns"))
+    with_sets = spread.join(dealt, ["g", "s"]).join(sets, "rep")
+    side = "named_struct('outside', {out}, 'i', {i}, 'j', {j})"
+    mine = side.format(out="false", i="x", j="int(pmod(xxhash64(rep), columns))")
+    theirs = side.format(out="true", i="int(pmod(xxhash64(rep, 1), rows))", j="x")
+    cells = with_sets.select(
+        "g", "s", "component", "items",
+        F.expr(f"explode(concat(transform(sequence(0, rows - 1), x -> {mine}), CASE WHEN outside AND s = class THEN transform(sequence(0, columns - 1), x -> {theirs}) ELSE array() END))").alias("side"),
+    ).select("g", "s", "side.i", "side.j", "side.outside", "component", "items")
+    # A number of partitions of our own: cells are few bytes and much work, which Spark would put into one task.
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["g", "s", "i", "j"]
+    return cells.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_cells(percent), "a long, b long")
+
+
 def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, digest) of each row and (digest, component) of each class of equal non-empty sets."""
-    spark = docs.sparkSession
     least = percent / 100 - MARGIN
     rows = scratch.keep(docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_sketch, "doc_id long, n long, digest binary, regs binary"))
     classes = scratch.keep(
@@ -186,57 +283,28 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
     )
     bands = REGISTERS // BAND
     keyed = classes.select("rep", F.expr(f"explode(transform(sequence(0, {bands - 1}), j -> xxhash64(j, substring(regs, {2 * BAND} * j + 1, {2 * BAND}))))").alias("key"))
-    buckets = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("key", "a"))
-    members = scratch.keep(keyed.join(buckets, "key").select("key", "a", F.col("rep").alias("b")))
-    sketches = scratch.keep(classes.join(members.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi"))
-    small = sketches.select("rep", "n", "regs")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        first, second = (small.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")) for c in ("a", "b"))
-        joined = pairs.join(second, "b").join(first, "a").where(f"least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)")
-        return joined.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(least), "a long, b long")
-
-    pairs = scratch.keep(likely(members.where("a <> b").select("a", "b").distinct()))
-    chosen = small.select("rep", F.lit(True).alias("chosen"))
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(chosen.select("rep"), "rep", "left_semi")
-    sets = scratch.keep(texts.select("rep", "text").mapInArrow(_sets, "rep long, items binary"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        first, second = (sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b"))
-        joined = pairs.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b")
-        return joined.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
-
-    checked, first_round, best_of = scratch.keep(confirm(pairs)), True, BEST_OF
-    while True:
-        found = scratch.keep(components(checked.where("linked").select("a", "b"), scratch))
-        # Buckets in which several components meet.
-        placed = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("key", F.col("b").alias("rep"), F.coalesce("component", "b").alias("component"))
-        counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.max_by("component", "n").alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")
-        )
-        opened = counts.where("parts > 1").select("key", "main", "size")
-        inside = scratch.keep(placed.join(opened, "key"))
-        large = inside.where(f"size > {SMALL}").withColumn("blocks", F.expr(f"int(1 + size div {BLOCK})")).join(small, "rep")
-        failed = checked.where("NOT linked").select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("o")), F.struct(F.col("b").alias("rep"), F.col("a").alias("o")))).alias("p")).select("p.*")
-        strangers = large.where("component <> main")
-        tried = failed.join(strangers.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.collect_list("o").alias("tried"))
-        outside = strangers.join(tried, "rep", "left")
-        dealt = large.select("key", F.expr("pmod(xxhash64(rep), blocks)").cast("int").alias("block"), "rep", "component", "n", "regs", F.lit(None).cast("array<long>").alias("tried"), F.lit(False).alias("outside")).unionByName(
-            outside.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", "component", "n", "regs", "tried", F.lit(True).alias("outside"))
-        )
-        # A number of partitions of our own: these blocks are few bytes and much work, which Spark would put into one task.
-        new = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "block").groupBy("key", "block").applyInPandas(_outsiders(least, best_of), "a long, b long")
-        best_of *= 4
-        if first_round:  # later rounds only join components, so these buckets need no second look
-            one, two = (inside.where(f"size <= {SMALL}").select("key", F.col("rep").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b"))
-            new = new.unionByName(likely(one.join(two, "key").where("a < b AND c_a <> c_b").select("a", "b").distinct()))
-            first_round = False
-        fresh = scratch.keep(new.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        checked = scratch.keep(checked.unionByName(confirm(fresh)))
-    result = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return rows.select("doc_id", "n", "digest"), scratch.keep(result)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = scratch.keep(keyed.join(sizes, "key"))
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    sketches = scratch.keep(classes.select("rep", "n", "regs").join(weights, "rep"))
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(sketches.select("rep"), "rep", "left_semi")
+    sets = scratch.keep(texts.groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets, "rep long, items binary"))
+
+    hubs = members.join(sketches.select("rep", "weight"), "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a"))
+    star = members.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    first, second = (sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")) for c in ("a", "b"))
+    sketched = star.join(second, "b").join(first, "a").where(f"least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)")
+    likely = scratch.keep(sketched.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(least), "a long, b long"))
+    first, second = (sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b"))
+    links = scratch.keep(likely.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"))
+
+    found = scratch.keep(components(links, scratch))
+    placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    joined = scratch.keep(_across(scratch.keep(placed), sketches, sets, percent))
+    merged = components(joined, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    result = scratch.keep(named.join(merged, "component", "left").select("digest", F.coalesce("top", "component").alias("component")))
+    return rows.select("doc_id", "n", "digest"), result
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str = "text") -> DataFrame:

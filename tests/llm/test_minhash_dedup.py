@@ -55,12 +55,32 @@ def test_estimate_follows_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-def test_large_buckets_go_by_outsiders(spark, monkeypatch):
-    monkeypatch.setattr(m, "SMALL", 2)
-    monkeypatch.setattr(m, "BLOCK", 16)
+def test_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(m, "CELL_ITEMS", 1)  # sixteen sets on either side
     test_chained_copies_and_edge_cases(spark)
 
 
-def test_outsiders_try_beyond_the_likeliest(spark, monkeypatch):
-    monkeypatch.setattr(m, "BEST_OF", 1)
-    test_large_buckets_go_by_outsiders(spark, monkeypatch)
+def test_loose_copies_without_a_centre(spark):
+    """Copies of a text that is not there: hardly any pair is linked, but all of them meet."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice((2, 3, 3, 4, 9))):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words[: 120 - rng.randrange(3)])))
+    assert run(spark, rows) == brute.near_duplicates(rows)
+
+
+def test_shared_counts_are_exact():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.zipf(1.3, rng.integers(1, 300)) % 5000).astype(np.uint64) for _ in range(n)] for n in (150, 40))
+    got = m.shared_counts(left, right)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(left) for j, b in enumerate(right))
+
+
+def test_texts_are_split_in_slices(spark, monkeypatch):
+    texts = [b"a" * 5, b"", b"b" * 20, b"c", b"d"]
+    monkeypatch.setattr(m, "SLICE_BYTES", 8)
+    assert list(m.slices(texts)) == [(0, 2), (2, 3), (3, 5)] and list(m.slices([])) == []
