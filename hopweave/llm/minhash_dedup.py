@@ -37,6 +37,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A candidate whose estimate is this much below the threshold is dropped: over five standard deviations (0.032 at 0.85).
 MARGIN = 0.17
 CELL_ROWS, CELL_ITEMS = 1024, 1 << 19  # most sets on either side of a cell, and about so many elements in them
+BROADCAST_IDS = 1 << 21  # up to so many ids of candidates go to every executor (under 100 MB); more are joined by exchange
 SLICE_BYTES = 2 << 20  # texts that are split into words at once
 
 _seeds = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
@@ -287,7 +288,10 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
     members = scratch.keep(keyed.join(sizes, "key"))
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     sketches = scratch.keep(classes.select("rep", "n", "regs").join(weights, "rep"))
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(sketches.select("rep"), "rep", "left_semi")
+    wanted = sketches.select("rep")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
     sets = scratch.keep(texts.groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets, "rep long, items binary"))
 
     hubs = members.join(sketches.select("rep", "weight"), "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a"))

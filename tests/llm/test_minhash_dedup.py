@@ -56,6 +56,7 @@ def test_estimate_follows_similarity():
 
 
 def test_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(m, "BROADCAST_IDS", 0)
     monkeypatch.setattr(m, "CELL_ITEMS", 1)  # sixteen sets on either side
     test_chained_copies_and_edge_cases(spark)
 
