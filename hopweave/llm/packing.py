@@ -116,20 +116,20 @@ def _pieces(path: str, size: int):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        names = [c.split()[0] for c in _PIECES.split(", ")]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = []
-            for at in range(0, len(texts), 500):
-                for doc_id, data in zip(batch.column(0)[at : at + 500].to_pylist(), encoder(path).encode(texts[at : at + 500])):
-                    data += b"\0\0\0\0"
-                    for piece, begin in enumerate(range(0, len(data), 4 * size)):
-                        own = data[begin : begin + 4 * size]
-                        length = len(own) // 4
-                        out.append((doc_id, piece, begin // 4, length, zlib.crc32(own), part, int(seen[length])))
+            for first, ids, counts in encoder(path).encode_column(batch.column(1)):
+                data, ends, out = memoryview(ids.tobytes()), np.cumsum(4 * counts).tolist(), []
+                for doc_id, begin, end in zip(batch.column(0).slice(first, len(ends)).to_pylist(), [0, *ends], ends):
+                    total = (end - begin) // 4 + 1  # with the end token
+                    for piece, start in enumerate(range(0, total, size)):
+                        length = min(size, total - start)
+                        last = start + length == total
+                        crc = zlib.crc32(data[begin + 4 * start : begin + 4 * (start + length - last)])
+                        out.append((doc_id, piece, start, length, zlib.crc32(b"\0\0\0\0", crc) if last else crc, part, int(seen[length])))
                         seen[length] += 1
-            names = [c.split()[0] for c in _PIECES.split(", ")]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return run
 
@@ -169,7 +169,8 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, size: int = SIZE, te
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # There are parts x lengths of these, so they are never sent to every executor.
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     columns = ranked.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "rank")
     return columns.mapInArrow(_place(plan(total, size), size), schema)

@@ -1,12 +1,14 @@
 """Token-id shards compressed by a Re-Pair grammar.
 
 A shard file holds the ids of consecutive documents. Rounds replace the most frequent adjacent id pairs by new symbols;
-each symbol is a rule of two earlier ones. Id 0 ends each document and is in no rule, so a document is a slice of the
-symbols and can be decoded alone; stored expansion lengths give its token count without decoding.
-
-Layout, little-endian: magic ``HWRP``, then u32 first nonterminal, u32 rules, u32 documents, u32 symbols; then rule
-pairs (rules x 2 u16), expansion lengths (rules x u32), document ends in symbols (documents x u32), symbols (u16), the
-last part compressed by zstandard. Symbols fit 16 bits since the rules of a shard end at 65535.
+each symbol is a rule of two earlier ones. A round takes all pairs used at least an eighth as often as the most frequent
+one, and rounds go on until no pair is used often enough to pay for its rule. Id 0 ends each document and is in no rule,
+so a document is a slice of the symbols and can be decoded alone; stored expansion lengths give its token count without
+decoding.
+
+Layout, little-endian: magic ``HWR2``, then u32 first nonterminal, u32 rules, u32 documents, u32 symbols; then one
+zstandard frame of u32 values: rule pairs, expansion lengths, document ends in symbols, symbols; each list is stored as
+four planes, of all lowest bytes, all second bytes and so on.
 """
 
 from __future__ import annotations
@@ -23,82 +25,89 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hopweave.llm.scratch import Scratch
 from hopweave.llm.tokens import encoder
 
-MAGIC = b"HWRP"
+MAGIC = b"HWR2"
+HEAD = "<4sIIII"
 SHARD_TOKENS = 2_000_000
-ROUNDS, MIN_USES, HASH_BITS = 8, 24, 20
-LEAST_GAIN = 0.005  # a round that shortens the symbols by less is the last
+MIN_USES = 12  # a rule takes about as many bytes as it saves at so many uses
+SHARE, HASH_BITS = 8, 20
+
+
+def frequent_pairs(code: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Pairs used at least a SHARE-th as often as the most frequent one (and MIN_USES times), the places of these pairs,
+    and which of them stands there. None if no pair is used MIN_USES times."""
+    cell = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+    uses = np.bincount(cell[~end], minlength=1 << HASH_BITS)
+    bound = max(MIN_USES, int(uses.max()) // SHARE)
+    while True:
+        heavy = np.flatnonzero((uses >= bound)[cell] & ~end)
+        own = code[heavy]
+        pairs, counts = np.unique(own, return_counts=True)  # exact counts of what may be frequent
+        pairs = pairs[counts >= bound]
+        if len(pairs):
+            at = np.searchsorted(pairs, own).clip(max=len(pairs) - 1)
+            hit = pairs[at] == own
+            return pairs, heavy[hit], at[hit]
+        if bound == MIN_USES:
+            return None
+        bound = max(MIN_USES, bound // SHARE)  # rare pairs shared a cell
 
 
 def grammar(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """The symbols after all rounds, and the rules (pairs of symbols) in order of creation."""
-    seq = seq.astype(np.int32)
+    seq = seq.astype(np.int64)
     rules: list[np.ndarray] = []
     used = 0
-    for _ in range(ROUNDS):
-        room = 65536 - first - used
-        if len(seq) < 2 or room <= 0:
+    while len(seq) > 1:
+        end = seq == 0
+        found = frequent_pairs((seq[:-1] << 32) | seq[1:], end[:-1] | end[1:])
+        if found is None:
             break
-        code = (seq[:-1].astype(np.int64) << 16) | seq[1:]
-        code[(seq[:-1] == 0) | (seq[1:] == 0)] = -1
-        cell = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-        cell[code < 0] = 0
-        heavy = np.flatnonzero((np.bincount(cell, minlength=1 << HASH_BITS) >= MIN_USES)[cell] & (code >= 0))
-        pairs, counts = np.unique(code[heavy], return_counts=True)  # exact counts of what may be frequent
-        good = counts >= MIN_USES
-        pairs, counts = pairs[good], counts[good]
-        if not len(pairs):
-            break
-        top = np.sort(np.argsort(-counts, kind="stable")[: min(room, 4096)])
-        pairs = pairs[top]
-        own = code[heavy]
-        at = np.searchsorted(pairs, own).clip(max=len(pairs) - 1)
-        hit = pairs[at] == own
-        where, which = heavy[hit], at[hit]
+        pairs, where, which = found
         # Of occurrences that overlap in a chain, every second one is replaced.
         fresh = np.concatenate(([True], np.diff(where) > 1))
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
         even = (np.arange(len(where)) - begin) % 2 == 0
         where, which = where[even], which[even]
         kept, which = np.unique(which, return_inverse=True)
-        rules.append(np.stack([pairs[kept] >> 16, pairs[kept] & 0xFFFF], axis=1))
+        rules.append(np.stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF], axis=1))
         seq[where] = first + used + which
         used += len(kept)
-        before, seq = len(seq), np.delete(seq, where + 1)
-        if before - len(seq) < LEAST_GAIN * before:
-            break
-    return seq.astype(np.uint16), np.concatenate(rules).astype(np.uint16) if rules else np.zeros((0, 2), np.uint16)
+        stays = np.ones(len(seq), bool)
+        stays[where + 1] = False
+        seq = seq[stays]
+    return seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").ravel().view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def pack(documents: list[np.ndarray], first: int) -> bytes:
-    """A shard file of documents' ids; each document ends with its only id 0 that counts as an end."""
-    ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
-    if len(ids) and int(ids.max()) >= first or first > 65536:
-        raise ValueError("ids must be below the first nonterminal, and that at most 65536")
-    # Ends are marked apart from equal ids inside a text: both are outside every rule.
+def pack(ids: np.ndarray, counts: np.ndarray, first: int) -> bytes:
+    """A shard file of documents' ids, of which each has as many as ``counts`` says."""
+    if len(ids) and int(ids.max()) >= first:
+        raise ValueError("ids must be below the first nonterminal")
+    # An end is told from an equal id inside a text by the stored ends: both are outside every rule.
     symbols, rules = grammar(ids, first)
     lengths = np.ones(first + len(rules), np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
         lengths[first + i] = lengths[a] + lengths[b]
-    ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum([len(d) for d in documents])) + 1
-    head = struct.pack("<4sIIII", MAGIC, first, len(rules), len(documents), len(symbols))
-    return head + rules.astype("<u2").tobytes() + lengths[first:].astype("<u4").tobytes() + np.asarray(ends).astype("<u4").tobytes() + zstandard.compress(symbols.astype("<u2").tobytes(), 1)
+    ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum(counts)) + 1
+    head = struct.pack(HEAD, MAGIC, first, len(rules), len(counts), len(symbols))
+    return head + zstandard.compress(b"".join(map(_planes, (rules, lengths[first:], ends, symbols))), 1)
 
 
 class Shard:
     """Random access to the documents of a shard file."""
 
     def __init__(self, data: bytes):
-        magic, self.first, rules, self.documents, symbols = struct.unpack_from("<4sIIII", data)
+        magic, self.first, rules, self.documents, symbols = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        at = struct.calcsize("<4sIIII")
-        self.rules = np.frombuffer(data, "<u2", 2 * rules, at).reshape(-1, 2)
-        at += 4 * rules
-        self.lengths = np.concatenate([np.ones(self.first, np.int64), np.frombuffer(data, "<u4", rules, at)])
-        at += 4 * rules
-        self.ends = np.frombuffer(data, "<u4", self.documents, at).astype(np.int64)
-        at += 4 * self.documents
-        self.symbols = np.frombuffer(zstandard.decompress(data[at:], max_output_size=max(1, 2 * symbols)), "<u2")
+        sizes = [2 * rules, rules, self.documents, symbols]
+        body = np.frombuffer(zstandard.decompress(data[struct.calcsize(HEAD) :], max_output_size=max(1, 4 * sum(sizes))), np.uint8)
+        parts = [np.ascontiguousarray(p.reshape(4, -1).T).view("<u4").ravel() for p in np.split(body, np.cumsum(sizes)[:-1] * 4)]
+        self.rules, self.ends, self.symbols = parts[0].reshape(-1, 2), parts[2].astype(np.int64), parts[3]
+        self.lengths = np.concatenate([np.ones(self.first, np.int64), parts[1]])
         self._begins = np.concatenate([np.arange(self.first, dtype=np.int64), self.first + np.concatenate([[0], np.cumsum(self.lengths[self.first :])])[:-1]]).astype(np.int64)
         flat = np.empty(int(self.first + self.lengths[self.first :].sum()), np.uint32)
         flat[: self.first] = np.arange(self.first)
@@ -134,24 +143,23 @@ def _write(path: str, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, ids, held, lengths, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([pack(held, first)], pa.binary())]
+            columns = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([pack(np.concatenate(held), np.array(lengths), first)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "doc_ids", "tokens", "file"])
 
         end = np.zeros(1, np.uint32)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                for doc_id, data in zip(batch.column(0)[at : at + 500].to_pylist(), encoder(path).encode(texts[at : at + 500])):
-                    one = np.concatenate([np.frombuffer(data, "<u4"), end])
+            for at, found, counts in encoder(path).encode_column(batch.column(1)):
+                for doc_id, one in zip(batch.column(0).slice(at, len(counts)).to_pylist(), np.split(found, np.cumsum(counts)[:-1])):
                     ids.append(doc_id)
-                    held.append(one)
-                    size += len(one)
+                    held += [one, end]
+                    size += len(one) + 1
+                    lengths.append(len(one) + 1)
                     if size >= SHARD_TOKENS:
                         yield flush()
-                        shard, ids, held, size = shard + 1, [], [], 0
+                        shard, ids, held, lengths, size = shard + 1, [], [], [], 0
         if ids:
             yield flush()
 

@@ -1,21 +1,34 @@
-"""Token ids of whole texts by the tokenizers library, each distinct white-space chunk encoded once.
+"""Token ids of whole texts by the tokenizers library, each distinct chunk of a slice of texts encoded once.
 
-Both vocabularies split a text before the merges at white space, so the ids of a text are those of its chunks: a chunk
-is a run of characters other than space and newline, for the byte-level vocabulary with the spaces and newlines before
-it. Texts with any other white space next to which a chunk border could matter are encoded whole. Strings that look
-like special tokens are ordinary text.
+Both vocabularies split a text before the merges, and never join what follows a run of ASCII white space with what
+stands before it, nor a mark of sentences with an ASCII letter before it. So the ids of a text are those of its chunks: a
+run of white space and the other characters up to the next one, less the marks after a word. Chunks are found by NumPy in the bytes of a column and told apart by Arrow's dictionary encoding. Texts with
+white space outside ASCII, or controls that some libraries count as such, are encoded whole. Strings of special tokens
+inside a text get what the library gives by default, their own id.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO = 1_300_000  # chunks remembered by a worker
-GROUP = 100  # new chunks encoded in one call
+SLICE_BYTES = 8 << 20  # texts whose chunks are looked up together; one longer text is a slice of its own
+MEMO_BYTES = 64 << 20  # of chunks that a worker remembers between slices, by a rough count
+_ENTRY = 160  # bytes of a remembered chunk besides its own
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# White space outside ASCII and the separators U+001C to U+001F.
+_ODD = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_IS_LETTER, _IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_IS_MARK[list(b".,;:?!")] = True
 
 
 class ChunkEncoder:
@@ -24,67 +37,74 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.byte_level = self.tokenizer.normalizer is None
-        # A word and the punctuation after it are chunks of their own where the vocabulary's pattern cuts there anyway:
-        # after letters, before marks of sentences that a space or the end follows.
-        word, marks = r"[^\W\d_]+(?=[.,;:!?]|[ \n]|\Z)", r"[.,;:!?]+(?=[ \n]|\Z)"
-        self.pattern = re.compile(rf"[ \n]*{word}|{marks}|[ \n]*[^ \n]+|[ \n]+\Z" if self.byte_level else rf"{word}|{marks}|[^ \n]+")
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        # Chunks that begin with white space (or need none) can stand in one text; the others are encoded alone.
-        joint = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"] if self.byte_level else list(chunks)
-        alone = [c for c in chunks if not (c[0] in " \n" and c[-1] not in " \n")] if self.byte_level else []
-        self.memo.update(zip(alone, self._whole(alone)))
-        gap = "" if self.byte_level else " "
-        groups = [joint[i : i + GROUP] for i in range(0, len(joint), GROUP)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([gap.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            starts = np.fromiter((s for s, _ in e.offsets), np.int64, len(ids))
-            lengths = np.fromiter(map(len, group), np.int64, len(group)) + len(gap)
-            cuts = np.searchsorted(starts, np.cumsum(lengths)).tolist()
-            at = 0
-            for chunk, cut in zip(group, cuts):
-                self.memo[chunk] = ids[at:cut].tobytes()
-                at = cut
+        self.memo: dict[bytes, bytes] = {}
+        self.memo_bytes = 0
+
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _chunks(self, distinct: list[bytes], uses: np.ndarray) -> list[bytes]:
+        """Ids of each chunk; those that a slice has several times are remembered."""
+        out = [self.memo.get(c) for c in distinct]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(missing, self._library([distinct[i] for i in missing])):
+            out[i] = ids
+            if uses[i] > 1:
+                self.memo[distinct[i]] = ids
+                self.memo_bytes += _ENTRY + len(distinct[i]) + len(ids)
+        if self.memo_bytes > MEMO_BYTES:  # the older half goes
+            for old in list(self.memo)[: len(self.memo) // 2]:
+                self.memo_bytes -= _ENTRY + len(old) + len(self.memo.pop(old))
+        return out
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """texts: large_binary without nulls. All ids, and how many each text has."""
+        count = len(texts)
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int64, count + 1, 8 * texts.offset)
+        size = int(ends[-1] - ends[0])
+        if not size:
+            return np.zeros(0, "<u4"), np.zeros(count, np.int64)
+        raw, ends = np.frombuffer(data, np.uint8, size, int(ends[0])), ends - ends[0]
+        begins_text = ends[:-1][ends[:-1] < ends[1:]]
+        whole = pc.match_substring_regex(texts.cast(pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
+        space = _IS_SPACE[raw]
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        starts[1:] |= _IS_MARK[raw[1:]] & _IS_LETTER[raw[:-1]]
+        if whole.any():  # a text encoded whole is one chunk
+            starts &= ~np.repeat(whole, np.diff(ends))
+        starts[begins_text] = True
+        cuts = np.append(np.flatnonzero(starts), size)
+        column = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        which, distinct = column.indices.to_numpy(), column.dictionary.to_pylist()
+        known = self._chunks(distinct, np.bincount(which, minlength=len(distinct)))
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(lengths) - lengths
+        n = lengths[which]
+        ends_chunk = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[which] - (ends_chunk - n), n) + np.arange(ends_chunk[-1])]
+        before = np.concatenate([[0], ends_chunk])[np.searchsorted(cuts, ends)]
+        return ids, np.diff(before)
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For slices of a string column: the place of the first text, all ids in order, how many each text has. Null
+        counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield begin, *self._slice(texts.slice(begin, end - begin))
+            begin = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null as empty."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                split.append([])
-            elif any(c in text for c in _ODD):
-                split.append(None)
-            else:
-                split.append(self.pattern.findall(text if self.byte_level else _ascii_lower(text)))
-        whole = iter(self._whole([t for t, s in zip(texts, split) if s is None]))
-        memo = self.memo
-        missing = {c for s in split if s for c in s if c not in memo}
-        if missing:
-            if len(memo) + len(missing) > MEMO:
-                # The older half goes; what this call needs of it is learned anew.
-                for old in list(memo)[: len(memo) // 2]:
-                    del memo[old]
-                missing = {c for s in split if s for c in s if c not in memo}
-            self._learn(missing)
-        get = memo.__getitem__
-        return [next(whole) if s is None else b"".join(map(get, s)) for s in split]
-
-
-# White space other than space and newline, and characters that only some libraries count as such.
-_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def _ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+        out = []
+        for _, ids, counts in self.encode_column(pa.array(texts, pa.large_string())):
+            out += [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -15,7 +15,6 @@ ODD = ["", " ", "\n\n", " a", "a ", "a\n", "don't  stop\n\n  it's", "a\tb \t c",
 
 def reference(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -27,15 +26,44 @@ def test_chunks_give_the_ids_of_whole_texts(name):
     assert [np.frombuffer(x, "<u4").tolist() for x in out] == [*reference(name, texts), []]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_random_texts(name, monkeypatch):
+    """20,000 texts of letters that change their length in lower case, marks, white space of all kinds and special tokens."""
+    monkeypatch.setattr("hopweave.llm.tokens.MEMO_BYTES", 1 << 16)
+    rng = random.Random(11)
+    bits = [*"abZé.,;:?!'s1#İıǅßΣςÅǰ\u0301\u0307\u0130\u1e9e\u212b  \n\n\t\r\x0b\x0c\x1c\x85\xa0\u200a\u2028\u3000\u200b\ufeff日한😀", "İ.", "İ, ", "don't", "<|endoftext|>", "<|startoftext|>", "'ll ", "...", "  ", "word"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    out = ChunkEncoder(public_tokenizers.path(name)).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in out] == reference(name, texts)
+
+
+def test_slices_of_a_column(monkeypatch):
+    monkeypatch.setattr("hopweave.llm.tokens.SLICE_BYTES", 40)
+    test_chunks_give_the_ids_of_whole_texts("byte_bpe_50k.json")
+
+
 def test_shard_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     phrases = rng.integers(0, 40000, (30, 8))
     documents = [np.append(phrases[rng.integers(0, 30, n)], 0).astype(np.uint32) for n in (0, 1, 700, 3, 2500)] + [np.append(np.full(3001, 7), 0).astype(np.uint32)]
-    shard = repair_files.Shard(repair_files.pack(documents, 50257))
+    shard = repair_files.Shard(repair_files.pack(np.concatenate(documents), np.array([len(d) for d in documents]), 50257))
     assert len(shard.rules) and len(shard.symbols) < sum(map(len, documents)) // 2
     assert all(np.array_equal(shard.document(i), d) for i, d in enumerate(documents))
     assert shard.token_counts().tolist() == [len(d) for d in documents]
-    assert repair_files.Shard(repair_files.pack([], 50257)).all() == []
+    assert repair_files.Shard(repair_files.pack(np.zeros(0, np.uint32), np.zeros(0, np.int64), 50257)).all() == []
+
+
+def test_grammar_ends_only_when_no_pair_pays():
+    rng = np.random.default_rng(6)
+    ids = np.where(rng.random(400_000) < 0.01, 0, np.minimum(rng.zipf(1.2, 400_000), 40_000)).astype(np.uint32)
+    symbols, rules = repair_files.grammar(ids, 50257)
+    s = symbols.astype(np.int64)
+    keep = (s[:-1] != 0) & (s[1:] != 0)
+    pairs, counts = np.unique((s[:-1] << 32 | s[1:])[keep], return_counts=True)
+    assert counts.max() < repair_files.MIN_USES or np.all((pairs >> 32 == pairs & 0xFFFFFFFF)[counts >= repair_files.MIN_USES])
+    assert 50257 + len(rules) > 0 and not (rules == 0).any() and len(symbols) < len(ids)
+    shard = repair_files.Shard(repair_files.pack(ids, np.array([len(ids)]), 50257))
+    assert np.array_equal(shard.expand(shard.symbols), ids)
 
 
 def test_op3_matches_plain_encoding(spark):
