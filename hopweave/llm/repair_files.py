@@ -32,15 +32,19 @@ MIN_USES = 12  # a rule takes about as many bytes as it saves at so many uses
 SHARE, HASH_BITS = 8, 20
 
 
-def frequent_pairs(code: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Pairs used at least a SHARE-th as often as the most frequent one (and MIN_USES times), the places of these pairs,
     and which of them stands there. None if no pair is used MIN_USES times."""
-    cell = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-    uses = np.bincount(cell[~end], minlength=1 << HASH_BITS)
+    one, two = seq[:-1], seq[1:]
+    cell = (one * np.uint32(0x9E3779B1) + two * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS)
+    ends = np.flatnonzero(seq == 0)
+    cell[ends[ends < len(cell)]] = cell[ends[ends > 0] - 1] = 1 << HASH_BITS
+    uses = np.bincount(cell, minlength=(1 << HASH_BITS) + 1)
+    uses[-1] = 0
     bound = max(MIN_USES, int(uses.max()) // SHARE)
     while True:
-        heavy = np.flatnonzero((uses >= bound)[cell] & ~end)
-        own = code[heavy]
+        heavy = np.flatnonzero((uses >= bound)[cell])
+        own = one[heavy].astype(np.int64) << 32 | two[heavy]
         pairs, counts = np.unique(own, return_counts=True)  # exact counts of what may be frequent
         pairs = pairs[counts >= bound]
         if len(pairs):
@@ -54,28 +58,26 @@ def frequent_pairs(code: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def grammar(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """The symbols after all rounds, and the rules (pairs of symbols) in order of creation."""
-    seq = seq.astype(np.int64)
+    seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     used = 0
-    while len(seq) > 1:
-        end = seq == 0
-        found = frequent_pairs((seq[:-1] << 32) | seq[1:], end[:-1] | end[1:])
-        if found is None:
-            break
+    while len(seq) > 1 and (found := frequent_pairs(seq)):
         pairs, where, which = found
         # Of occurrences that overlap in a chain, every second one is replaced.
-        fresh = np.concatenate(([True], np.diff(where) > 1))
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
-        even = (np.arange(len(where)) - begin) % 2 == 0
-        where, which = where[even], which[even]
-        kept, which = np.unique(which, return_inverse=True)
-        rules.append(np.stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF], axis=1))
-        seq[where] = first + used + which
-        used += len(kept)
+        if (np.diff(where) == 1).any():
+            fresh = np.concatenate(([True], np.diff(where) > 1))
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
+            even = (np.arange(len(where)) - begin) % 2 == 0
+            where, which = where[even], which[even]
+        kept = np.bincount(which, minlength=len(pairs)) > 0
+        pairs = pairs[kept]
+        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
+        seq[where] = (first + used + np.cumsum(kept) - 1)[which]
+        used += len(pairs)
         stays = np.ones(len(seq), bool)
         stays[where + 1] = False
         seq = seq[stays]
-    return seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
+    return seq, np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
 
 
 def _planes(values: np.ndarray) -> bytes:

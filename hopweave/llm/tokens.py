@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20  # texts whose chunks are looked up together; one longer text is a slice of its own
-MEMO_BYTES = 64 << 20  # of chunks that a worker remembers between slices, by a rough count
+SLICE_BYTES = 16 << 20  # texts whose chunks are looked up together; one longer text is a slice of its own
+MEMO_BYTES = 128 << 20  # of chunks that a worker remembers between slices, by a rough count
+GROUP = 50  # new chunks that are encoded in one text, with a special token between them
+SEPARATOR = "<|endoftext|>"  # a special token of both vocabularies: what stands around one is encoded apart
 _ENTRY = 160  # bytes of a remembered chunk besides its own
 
 _IS_SPACE = np.zeros(256, bool)
@@ -37,11 +39,29 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        if self.separator is None:
+            raise ValueError(f"the tokenizer has no {SEPARATOR}")
         self.memo: dict[bytes, bytes] = {}
         self.memo_bytes = 0
 
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+    def _library(self, chunks: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(chunks)
+        alone = [i for i, c in enumerate(chunks) if b"<|" in c or len(c) > 1000]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([chunks[i].decode() for i in alone], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        apart = set(alone)
+        joint = [i for i in range(len(chunks)) if i not in apart] if apart else range(len(chunks))
+        between = SEPARATOR.encode()
+        groups = [joint[i : i + GROUP] for i in range(0, len(joint), GROUP)]
+        texts = [between.join([chunks[i] for i in g]).decode() for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, begin = np.array(e.ids, "<u4"), 0
+            data = ids.tobytes()
+            for i, end in zip(group, [*(4 * np.flatnonzero(ids == self.separator)).tolist(), len(data)]):
+                out[i] = data[begin:end]
+                begin = end + 4
+        return out
 
     def _chunks(self, distinct: list[bytes], uses: np.ndarray) -> list[bytes]:
         """Ids of each chunk; those that a slice has several times are remembered."""
@@ -79,11 +99,14 @@ class ChunkEncoder:
         column = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
         which, distinct = column.indices.to_numpy(), column.dictionary.to_pylist()
         known = self._chunks(distinct, np.bincount(which, minlength=len(distinct)))
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        first = np.cumsum(lengths) - lengths
+        kind = np.int32 if size < 1 << 30 else np.int64  # there are fewer ids than bytes
+        lengths = np.fromiter(map(len, known), kind, len(known)) // 4
+        first = np.cumsum(lengths, dtype=kind) - lengths
         n = lengths[which]
-        ends_chunk = np.cumsum(n)
-        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[which] - (ends_chunk - n), n) + np.arange(ends_chunk[-1])]
+        ends_chunk = np.cumsum(n, dtype=kind)
+        places = np.repeat(first[which] - (ends_chunk - n), n)
+        places += np.arange(len(places), dtype=kind)
+        ids = np.frombuffer(b"".join(known), "<u4")[places]
         before = np.concatenate([[0], ends_chunk])[np.searchsorted(cuts, ends)]
         return ids, np.diff(before)
 
