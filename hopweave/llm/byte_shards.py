@@ -10,7 +10,8 @@ most ``tolerance`` of a shard's bytes. A round returns at most 1024 cells for ea
 rows are then exchanged once, in cells of bounded size, and numbered from exact counts of the cells before them.
 
 A null text counts as empty. Rows of equal key and doc_id are neighbours in an order among them that is not defined.
-A null doc_id sorts first. An empty table gives an empty one. Built-in functions only.
+A null doc_id sorts first. Where doc_ids span more than 61 bits, a cut inside a group of copies may fall up to
+three ids beside its place. An empty table gives an empty one. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -69,6 +70,10 @@ def assign(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, group_fracti
     thin = scratch.keep(keyed.select("doc_id", "size", "_key"))
     total, count, least, most = thin.agg(F.sum("size"), F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     total, least, most = total or 0, least or 0, most or 0
+    # Ids as small positive numbers in their order; where they span more than 62 bits, four neighbours share one.
+    drop = 0 if most - least < 1 << 61 else 2
+    place = f"coalesce(shiftright(doc_id, {drop}) - ({least >> drop}L) + 1L, 0L)"
+    least, most = least >> drop, most >> drop
     limit = group_fraction * total / shards
     hot = [r["_key"] for r in thin.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > limit) & (F.col("n") > 1)).select("_key").collect()] if total else []  # at most shards / group_fraction
     allowed = int(tolerance * total / shards)
@@ -79,7 +84,7 @@ def assign(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, group_fracti
     bits = max(1, int(most - least + 1).bit_length())
     for key in sorted({k for k, _, _ in found.values()} & set(hot)):
         inner = {s: wanted[s] - (upto - size) for s, (k, upto, size) in found.items() if k == key}
-        group = thin.where(F.col("_key") == key).select("size", F.expr(f"coalesce(doc_id - ({least}) + 1, 0L)").alias("_inner"))
+        group = thin.where(F.col("_key") == key).select("size", F.expr(place).alias("_inner"))
         for s, (value, _, _) in _refine(group, "_inner", bits + 1, inner, allowed).items():
             borders[s] = (key, value)
     hot_sql = f"_key IN ({', '.join(map(str, hot))})" if hot else "false"
@@ -87,7 +92,7 @@ def assign(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, group_fracti
     pieces = max(1, count // CELL_ROWS)
     cell_bits = max(0, KEY_BITS - (pieces - 1).bit_length())
     step = max(1, -(-(most - least + 2) // pieces))
-    split = keyed.withColumn("_inner", F.expr(f"CASE WHEN {hot_sql} THEN coalesce(doc_id - ({least}) + 1, 0L) ELSE 0L END"))
+    split = keyed.withColumn("_inner", F.expr(f"CASE WHEN {hot_sql} THEN {place} ELSE 0L END"))
     split = split.withColumns({"shard": F.expr(" + ".join(past) or "0"), "_cell": F.expr(f"shiftright(_key, {cell_bits})"), "_part": F.expr(f"CASE WHEN {hot_sql} THEN struct(_key, _inner div {step} + 1) ELSE struct(0L AS _key, 0L AS col2) END")})
     return _numbered(split, rest, scratch)
 

@@ -4,8 +4,8 @@ One scan computes a thin table of features. The fit needs only count, sum and pr
 one aggregation of fixed size; covariances shrink towards the pooled one and its diagonal. Scoring is an arithmetic
 expression: forward substitution with the inverse Cholesky factors, which are literals of the plan.
 
-A null text has the features of an empty one and gets a score too. Repeated rows are scored alike. Without labels of
-both classes the fit is refused with an error, since there is nothing to learn.
+A null text has the features of an empty one and gets a score too. Repeated rows are scored alike; an empty table gives
+an empty one. Without labels of both classes there is nothing to learn, and every score is 0.5.
 """
 
 from __future__ import annotations
@@ -61,8 +61,9 @@ class Model:
         return f"({float(np.log(self.priors[k]) - self.log_dets[k] / 2)!r}D - 0.5D * ({' + '.join(squares)}))"
 
 
-def fit(labelled: DataFrame, label: str = "quality", shrink_to_pooled: float = 0.1, shrink_to_diagonal: float = 0.05, floor: float = 1e-4) -> Model:
-    """labelled: features and a 0/1 label; other labels and nulls are left out. All rows given are used."""
+def fit(labelled: DataFrame, label: str = "quality", shrink_to_pooled: float = 0.1, shrink_to_diagonal: float = 0.05, floor: float = 1e-4) -> Model | float:
+    """labelled: features and a 0/1 label; other labels and nulls are left out. All rows given are used. Without both
+    classes, the score that every row gets."""
     names = list(FEATURES)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
     rows = (
@@ -72,7 +73,7 @@ def fit(labelled: DataFrame, label: str = "quality", shrink_to_pooled: float = 0
     )
     by = {r["_k"]: r for r in rows}
     if set(by) != {0, 1}:
-        raise ValueError("the fit needs labelled rows of both classes")
+        return 0.5
     counts = np.array([by[k]["n"] for k in (0, 1)], float)
     means = np.array([[by[k][f"s_{a}"] for a in names] for k in (0, 1)]) / counts[:, None]
     covs = []
@@ -93,8 +94,10 @@ def fit(labelled: DataFrame, label: str = "quality", shrink_to_pooled: float = 0
     return Model(counts / counts.sum(), means, factors, np.array(log_dets))
 
 
-def score(featured: DataFrame, model: Model) -> DataFrame:
+def score(featured: DataFrame, model: Model | float) -> DataFrame:
     """Adds ``score``, the posterior of class 1."""
+    if not isinstance(model, Model):
+        return featured.withColumn("score", F.lit(model))
     gap = F.expr(f"{model.log_density_sql(0)} - {model.log_density_sql(1)}")
     return featured.withColumn("score", 1.0 / (1.0 + F.exp(F.least(gap, F.lit(700.0)))))
 
@@ -107,6 +110,6 @@ def classify(docs: DataFrame, labels: DataFrame, scratch, threshold: float = 0.3
     """doc_id, held_out, score, predicted and the columns to carry of each row; learns only from labelled rows outside
     the held-out fifth."""
     table = scratch.keep(features(docs, carry=carry))
-    truth = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    truth = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     model = fit(table.where(~held_out()).join(truth, "doc_id"))
     return score(table, model).select("doc_id", held_out().alias("held_out"), "score", F.expr(f"int(score >= {threshold}D)").alias("predicted"), *carry)

@@ -16,6 +16,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from hopweave.llm.columns import with_other_names
+
 # The base patterns and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
@@ -80,9 +82,11 @@ def _windows(text: str, kind: str) -> str:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``secret_spans``: an array of (start, kind, end), kind an index of KINDS, by start and then kind."""
-    taken = {c.lower() for c in docs.columns} & {"_t", "_m", "_g", "_assign", "_access", "_hex", "_long", "_base", "_entropy"}
-    if taken:
-        raise ValueError(f"input columns may not be named {', '.join(sorted(taken))}")
+    inner = {"_t", "_m", "_g", "_assign", "_access", "_hex", "_long", "_base", "_entropy"}
+    return with_other_names(docs, inner, text, _find)
+
+
+def _find(docs: DataFrame, text: str) -> DataFrame:
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     df = _with_places(df, "_assign", ASSIGN, 0, f"length(regexp_extract(x.m, {_literal(ASSIGN)}, 2)) >= {LEAST_VALUE}")
     df = _with_places(df, "_access", ACCESS, 1, "true")
@@ -113,7 +117,6 @@ def redact(found: DataFrame, text: str = "text", mark: str = "[secret]") -> Data
         f"aggregate(secret_spans, cast(array() AS array<struct<start:int,end:int>>), (acc, x) -> CASE WHEN size(acc) > 0 AND {last}.end >= x.start "
         f"THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end)))) ELSE concat(acc, array(named_struct('start', x.start, 'end', x.end))) END)"
     )
-    staged = found.withColumn("_r", F.expr(merged))
-    pieces = f"transform(_r, (x, i) -> concat(substring({text}, CASE WHEN i = 0 THEN 1 ELSE get(_r, i - 1).end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE get(_r, i - 1).end END), '{mark}'))"
-    cut = f"concat(array_join({pieces}, ''), substring({text}, element_at(_r, -1).end + 1))"
-    return staged.withColumn(text, F.expr(f"CASE WHEN size(_r) = 0 THEN {text} ELSE {cut} END")).drop("_r", "secret_spans")
+    pieces = f"transform(r, (x, i) -> concat(substring({text}, CASE WHEN i = 0 THEN 1 ELSE get(r, i - 1).end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE get(r, i - 1).end END), '{mark}'))"
+    cut = f"concat(array_join({pieces}, ''), substring({text}, element_at(r, -1).end + 1))"
+    return found.withColumn(text, F.expr(f"CASE WHEN size(secret_spans) = 0 THEN {text} ELSE element_at(transform(array({merged}), r -> {cut}), 1) END")).drop("secret_spans")

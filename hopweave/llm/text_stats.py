@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hopweave.llm.columns import with_other_names
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of the four languages of the corpus.
@@ -40,9 +42,11 @@ def with_text_stats(df: DataFrame, names: tuple[str, ...] = STATS, text: str = "
     Repeated words are found by sorting (hash prefix, position) as plain longs and comparing whole 64-bit hashes of
     neighbours, so the cost is n log n in the words of a text, however often a window repeats.
     """
-    clash = {c.lower() for c in df.columns}
-    if clash & {"_t", "_z", "_w", "_l", "_x", "_h", "_s", "_f"}:
-        raise ValueError("input columns may not be named _t, _z, _w, _l, _x, _h, _s or _f")
+    inner = {"_t", "_z", "_w", "_l", "_x", "_h", "_s", "_f"}
+    return with_other_names(df, inner, text, lambda d, t: _counted(d, names, t))
+
+
+def _counted(df: DataFrame, names: tuple[str, ...], text: str) -> DataFrame:
     stop = "', '".join(sorted({w for line in STOP_WORDS for w in line.split()}))
     def repeated(bits: int) -> str:
         """SQL: positions of the windows that occur twice or more, in any order."""

@@ -35,3 +35,13 @@ def test_edge_rows(spark):
     out = b.assign(frame, Scratch(spark, "t4")).collect()
     assert len(out) == 4 and all(0 <= r.shard < 24 for r in out)
     assert b.assign(frame.limit(0), Scratch(spark, "t4")).count() == 0
+
+
+def test_ids_that_lie_far_apart(spark):
+    ends = [-(1 << 63), -(1 << 62), 0, (1 << 62) + 5, (1 << 63) - 1]
+    rows = [(d, "one text") for d in ends] + [(i, "one text") for i in range(1, 200)] + [(None, "one text")]
+    out = b.assign(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t4")).collect()
+    assert len(out) == len(rows)
+    for k in range(24):
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+    assert [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))] == [None, *sorted(d for d, _ in rows if d is not None)]

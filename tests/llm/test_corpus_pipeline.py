@@ -15,7 +15,7 @@ def test_stages_take_effect_in_order(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     scores = {r.doc_id: r.predicted for r in quality_classifier.classify(docs, labels, Scratch(spark, "t")).collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id]]
-    near = brute.near_duplicates(rows)
+    near = brute.near_duplicates(rows, 80)
     rows = [r for r in rows if near[r[0]][2]]
     hit = brute.contamination(rows, items)
     rows = [r for r in rows if not hit[r[0]][4]]

@@ -39,3 +39,22 @@ def test_quality_and_contamination_judge_rows(spark):
     assert out.count() == len(kept) + 1 and out.where("doc_id IS NULL").count() == 1
     mixed = rows_of(spark, [(1, "a clean text"), (1, item), (None, "another clean text"), (None, item)])
     assert sorted(r.text for r in p.drop_contaminated(spark, mixed, DIR).collect()) == ["a clean text", "another clean text"]
+
+
+def test_stages_pass_odd_rows_and_columns(spark):
+    schema = f"{COLUMNS}, _t string, row int, _row int, secret_spans string, rep int, f_symbols double, spans int"
+    more = ("t", 1, 2, "s", 3, 0.5, 4)
+    long = "it was said in the town that " + words(0, 30_000)
+    docs = spark.createDataFrame([(1, words(0), "en", "a", 5, *more), (2, None, None, None, None, *[None] * 7), (3, "", "en", "a", 0, *more), (4, long, "en", "a", 9, *more), (4, long, "en", "a", 9, *more), (None, None, None, None, None, *more)], schema)
+    for name, stage in p.STAGES[:-1]:
+        for frame in (docs, docs.limit(0)):
+            out = stage(spark, frame, DIR)
+            assert out.schema.simpleString() == docs.schema.simpleString()
+            rows = out.collect()
+            assert all((r["_t"], r["row"], r["_row"], r["secret_spans"], r["rep"], r["spans"]) in {("t", 1, 2, "s", 3, 4), (None,) * 6} for r in rows), name
+            assert rows or frame is not docs
+    assert sorted(ids(p.redact_secrets(spark, docs, DIR)), key=str) == [1, 2, 3, 4, 4, None]
+    assert ids(p.drop_near_duplicates(spark, docs, DIR)) == [1, 2, 3, 4, None]
+    assert ids(p.drop_contaminated(spark, docs, DIR)) == [1, 2, 3, 4, 4, None]
+    packed = p.pack_sequences(spark, docs, DIR)
+    assert packed.where("piece = 0").count() == 6 and p.pack_sequences(spark, docs.limit(0), DIR).count() == 0

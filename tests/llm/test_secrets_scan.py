@@ -55,3 +55,10 @@ def test_edge_rows_and_redaction(spark):
     assert found.count() == 6 and s.find(frame.limit(0)).count() == 0
     texts = {r.text for r in s.redact(found).collect()}
     assert texts == {None, "", "x " * 100000 + "[secret]", "a [secret] b [secret]", "plain", "[secret]"}
+
+
+def test_columns_of_inner_names_pass_through(spark):
+    rows = [(1, "password = hunter2hunter2", "t", 3, "r")]
+    found = s.find(spark.createDataFrame(rows, "doc_id long, text string, _t string, _base int, _r string"))
+    (r,) = s.redact(found).collect()
+    assert (r._t, r._base, r._r, r.text) == ("t", 3, "r", "[secret]")
