@@ -35,7 +35,7 @@ def repair_json(text: str | None):
         return json.JSONDecoder().raw_decode(raw)[0]
     except ValueError:
         pass
-    for cut in [len(raw)] + [m.start() for m in reversed(list(re.finditer(",", raw)))][:50]:
+    for cut in [len(raw)] + [m.start() for m in reversed(list(re.finditer(",", raw)))]:
         stack, quoted, escaped = [], False, False
         for c in raw[:cut]:
             if quoted:

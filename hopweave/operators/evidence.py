@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from hopweave.functions.text import HASH_LIKE, MISSING_ANSWERS, PLACEHOLDER, evidence_norm
 
@@ -34,29 +34,39 @@ def relation_verdicts(hypotheses: DataFrame, verdicts: DataFrame) -> DataFrame:
     return hypotheses.join(good, keys, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
-def plan_depths(spark: SparkSession, nodes: DataFrame, most: int = 16) -> DataFrame:
-    """nodes: plan_id, id, depends_on. Longest path to a root of each node; nodes on or behind a cycle get null.
-
-    A recursive query; paths end at ``most`` steps, so a cycle ends too, and a node that reaches the bound is cyclic."""
-    nodes.select("plan_id", "id", F.explode_outer("depends_on").alias("dep")).createOrReplaceTempView("_plan_edges")
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk(plan_id, id, depth) AS (
-          SELECT plan_id, id, 0 FROM _plan_edges WHERE dep IS NULL
-          UNION ALL SELECT e.plan_id, e.id, w.depth + 1 FROM walk w JOIN _plan_edges e ON e.plan_id = w.plan_id AND e.dep = w.id WHERE w.depth < {most})
-        SELECT plan_id, id, max(depth) AS depth FROM walk GROUP BY plan_id, id"""
-    )
-    return nodes.select("plan_id", "id").join(walked, ["plan_id", "id"], "left").select("plan_id", "id", F.when(F.col("depth") < most, F.col("depth")).alias("depth"))
-
-
-def ancestors(spark: SparkSession, nodes: DataFrame, most: int = 8) -> DataFrame:
-    """All (plan_id, id, ancestor) of acyclic plans at most ``most`` deep."""
-    nodes.select("plan_id", "id", F.explode("depends_on").alias("dep")).createOrReplaceTempView("_plan_links")
-    return spark.sql(
-        f"""WITH RECURSIVE up(plan_id, id, ancestor, n) AS (
-          SELECT plan_id, id, dep, 1 FROM _plan_links
-          UNION ALL SELECT u.plan_id, u.id, l.dep, u.n + 1 FROM up u JOIN _plan_links l ON l.plan_id = u.plan_id AND l.id = u.ancestor WHERE u.n < {most})
-        SELECT DISTINCT plan_id, id, ancestor FROM up"""
-    )
+def plan_depths(nodes: DataFrame, keep) -> DataFrame:
+    """nodes: plan_id, id, depends_on. Longest path to a root of each node; nodes on or behind a cycle, or behind a node
+    that is not there, get null.
+
+    Rounds settle the nodes all of whose dependencies are settled, so there is one round for each level of the deepest
+    plan. ``keep`` writes a table and reads it back."""
+    links = keep(nodes.select("plan_id", "id", F.explode(F.array_distinct("depends_on")).alias("dep")))
+    rows = nodes.select("plan_id", "id").distinct()
+    settled = level = keep(rows.join(links, ["plan_id", "id"], "left_anti").withColumn("depth", F.lit(0)))
+    waiting, depth = keep(links.groupBy("plan_id", "id").agg(F.count(F.lit(1)).alias("open"))), 0
+    while not level.isEmpty():
+        depth += 1
+        met = level.select("plan_id", F.col("id").alias("dep")).join(links, ["plan_id", "dep"]).groupBy("plan_id", "id").agg(F.count(F.lit(1)).alias("met"))
+        waiting = keep(waiting.join(met, ["plan_id", "id"], "left").select("plan_id", "id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
+        level = waiting.where("open = 0").select("plan_id", "id", F.lit(depth).alias("depth"))
+        settled, waiting = settled.unionByName(level), waiting.where("open > 0")
+    return rows.join(settled, ["plan_id", "id"], "left")
+
+
+def ancestors(nodes: DataFrame, keep) -> DataFrame:
+    """All (plan_id, id, ancestor), however deep. On a cycle a node is its own ancestor.
+
+    Each round joins what the last one found with all found so far, so paths double and the rounds are the logarithm of
+    the depth; it ends when nothing is new."""
+    known = new = keep(nodes.select("plan_id", "id", F.explode("depends_on").alias("ancestor")).distinct())
+    while not new.isEmpty():
+        on = known.select("plan_id", F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+        back = new.select("plan_id", F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+        step = new.join(on, ["plan_id", "ancestor"]).select("plan_id", "id", F.col("next").alias("ancestor"))
+        step = step.unionByName(known.join(back, ["plan_id", "ancestor"]).select("plan_id", "id", F.col("next").alias("ancestor")))
+        new = keep(step.distinct().join(known, ["plan_id", "id", "ancestor"], "left_anti"))
+        known = keep(known.unionByName(new))
+    return known
 
 
 def plan_issues(nodes: DataFrame, most_nodes: int = 6) -> DataFrame:
@@ -134,9 +144,14 @@ def evidence_prefix(candidates: DataFrame, slots: int = 5) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(_prefix(slots), _PATHS)
 
 
+MOST_NODES = 20  # of a plan whose subsets are listed: about a million
+
+
 def closed_subsets(plans: DataFrame) -> DataFrame:
-    """plans: plan_id, n nodes, parents (array of bit masks by node). All masks whose nodes' parents are in them."""
-    masks = plans.where("n <= 12").select("plan_id", "n", "parents", F.explode(F.expr("sequence(1, int(shiftleft(1, n) - 1))")).alias("mask"))
+    """plans: plan_id, n nodes, parents (array of bit masks by node). All masks whose nodes' parents are in them; a plan of
+    more than MOST_NODES nodes is an error, as it has too many."""
+    n = F.when(F.col("n") <= MOST_NODES, F.col("n")).otherwise(F.raise_error(F.concat(F.lit(f"more than {MOST_NODES} nodes in plan "), F.col("plan_id").cast("string"))).cast("int"))
+    masks = plans.withColumn("n", n).where("n > 0").select("plan_id", "n", "parents", F.explode(F.expr("sequence(1, int(shiftleft(1, n) - 1))")).alias("mask"))
     closed = F.expr("forall(sequence(0, n - 1), i -> (mask & int(shiftleft(1, i))) = 0 OR (get(parents, i) & mask) = get(parents, i))")
     return masks.where(closed).select("plan_id", "mask", F.bit_count("mask").alias("size"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hopweave.functions import numeric as N
-from hopweave.functions import text as X
+from hopweave.functions import routing, text as X
 from hopweave.operators import evidence as V
 from hopweave.operators import ranking as R
 from hopweave.plans.registry import query
+from hopweave.sources.shared import keep
 from hopweave.sources.tables import complete_gold, keep_first, table
 
 ASCII = "trim(regexp_replace(lower({0}), '[^A-Za-z0-9 ]', ' ', 'g'))"
@@ -217,12 +218,12 @@ def _plans(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT plan_id, id, 0 AS depth FROM nodes WHERE (plan_id, id) NOT IN (SELECT (plan_id, id) FROM edges) UNION ALL SELECT e.plan_id, e.id, w.depth + 1 FROM walk w JOIN edges e ON e.plan_id = w.plan_id AND e.dep = w.id) SELECT plan_id, id, max(depth)::INT AS depth FROM walk GROUP BY ALL")
 def dag_layers(spark, sf_dir):
-    return V.plan_depths(spark, _plans(spark, sf_dir))
+    return V.plan_depths(_plans(spark, sf_dir), keep)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, up AS (SELECT plan_id, id, dep AS ancestor FROM edges UNION SELECT u.plan_id, u.id, e.dep FROM up u JOIN edges e ON e.plan_id = u.plan_id AND e.id = u.ancestor) SELECT DISTINCT plan_id, id, ancestor FROM up")
 def dag_ancestors(spark, sf_dir):
-    return V.ancestors(spark, _plans(spark, sf_dir))
+    return V.ancestors(_plans(spark, sf_dir), keep)
 
 
 @query("SELECT n_nationkey::BIGINT AS plan_id, id, CASE WHEN n_nationkey % 4 = 1 AND id = 's2' THEN 'dependency_reference_mismatch' WHEN n_nationkey % 4 = 2 AND id = '9x' THEN 'invalid_node_id' WHEN n_nationkey % 4 = 3 AND id = 's2' THEN 'unknown_or_self_dependency' END AS reason FROM nation, (SELECT unnest(['s1', 's2']) AS k) CROSS JOIN LATERAL (SELECT CASE WHEN n_nationkey % 4 = 2 AND k = 's1' THEN '9x' ELSE k END AS id)")
@@ -292,3 +293,26 @@ def sessionised_events(spark, sf_dir):
     gap = F.unix_micros("ts") / 1e6 - F.lag(F.unix_micros("ts") / 1e6).over(w) if str(e.schema["ts"].dataType) != "TimestampNTZType()" else F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lag(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).over(w)
     marked = e.withColumn("new", F.when(gap.isNull() | (gap > 1800), 1).otherwise(0)).withColumn("session", F.sum("new").over(w))
     return marked.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# Questions of known shapes about customers, their nations and the parts of a number: (shape, route of two hops, text).
+_SHAPES = (
+    ("parallel_comparison", "parallel_comparison", "Which is larger, Customer {a} or {b}?"),
+    ("parallel_comparison", "parallel_comparison", "Do Customer {a} and {b} share a border?"),
+    ("bridge_comparison", "bridge_comparison", "Are the founders of Customer {a} and {b} the same age?"),
+    ("bridge_comparison", "bridge_comparison", "Which firm whose owner is older opened first, Customer {a} or {b}?"),
+    ("parallel_attribute", "parallel_attribute", "When were Customer {a} and {b} founded?"),
+    ("chain_or_unknown", "nested_bridge", "Where was the founder of Customer {a} in {b} born?"),
+    ("chain_or_unknown", "chain_or_unknown", "When did Customer {a} come to {b}?"),
+    ("chain_or_unknown", "chain_or_unknown", "Did Customer {a} and {b} trade in the same year as Europe?"),
+)
+_CASES = lambda k: "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{s[k]}'" for i, s in enumerate(_SHAPES)) + " END"
+
+
+@query(f"SELECT c_custkey, {_CASES(0)} AS shape, {_CASES(1)} AS shallow, CASE WHEN c_custkey % 8 >= 5 THEN 'dependency_chain' ELSE {_CASES(0)} END AS deep FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def question_routes(spark, sf_dir):
+    """Each customer asked about in one of eight ways; the SQL knows the shape from the way, not from the words."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    kinds = F.array(*[F.format_string(t.replace("{a}", "%s").replace("{b}", "%s"), F.col("c_custkey").cast("string"), F.initcap("n_name")) for _, _, t in _SHAPES])
+    asked = c.select("c_custkey", F.get(kinds, F.col("c_custkey").cast("int") % 8).alias("q"))
+    return asked.select("c_custkey", routing.structure(F.col("q")).alias("shape"), routing.route(F.col("q"), F.lit(2)).alias("shallow"), routing.route(F.col("q"), F.lit(3)).alias("deep"))

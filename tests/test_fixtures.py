@@ -73,11 +73,28 @@ def test_hypotheses(spark):
     assert all(r.reason == r.want for r in V.hypothesis_reasons(h, docs).collect())
 
 
+def test_deep_and_large_plans(spark):
+    chain = [(1, f"n{i}", [f"n{j}" for j in (i - 1, i - 3) if j >= 0]) for i in range(40)] + [(2, "a", ["gone"]), (2, "b", ["a", "c"]), (2, "c", []), (3, "s", ["s"]), (3, "t", ["s"])]
+    nodes = spark.createDataFrame(chain, "plan_id long, id string, depends_on array<string>")
+    depth = {(r.plan_id, r.id): r.depth for r in V.plan_depths(nodes, keep).collect()}
+    assert all(depth[1, f"n{i}"] == i for i in range(40))
+    assert depth[2, "c"] == 0 and depth[2, "a"] is None and depth[2, "b"] is None and depth[3, "s"] is None and depth[3, "t"] is None
+    up = {(r.plan_id, r.id, r.ancestor) for r in V.ancestors(nodes, keep).collect()}
+    assert {(i, j) for p, i, j in up if p == 1} == {(f"n{i}", f"n{j}") for i in range(40) for j in range(i)}
+    assert {(2, "a", "gone"), (2, "b", "gone"), (2, "b", "c"), (3, "s", "s"), (3, "t", "s")} <= up
+    parents = [[0] + [1 << (i - 1) for i in range(1, 13)], [0] * 13]
+    plans = spark.createDataFrame([(1, 13, parents[0]), (2, 13, parents[1])], "plan_id long, n int, parents array<int>")
+    out = V.closed_subsets(plans).collect()
+    assert sorted(r.mask for r in out if r.plan_id == 1) == [(1 << i) - 1 for i in range(1, 14)] and sum(r.plan_id == 2 for r in out) == (1 << 13) - 1
+    with pytest.raises(Exception, match="more than 20 nodes"):
+        V.closed_subsets(spark.createDataFrame([(1, 21, [0] * 21)], "plan_id long, n int, parents array<int>")).collect()
+
+
 def test_plans(spark):
     nodes = spark.createDataFrame([(1, "a", []), (1, "b", ["a"]), (1, "c", ["a", "b"]), (2, "x", ["y"]), (2, "y", ["x"])], "plan_id long, id string, depends_on array<string>")
-    depth = {(r.plan_id, r.id): r.depth for r in V.plan_depths(spark, nodes).collect()}
+    depth = {(r.plan_id, r.id): r.depth for r in V.plan_depths(nodes, keep).collect()}
     assert depth == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (2, "x"): None, (2, "y"): None}
-    up = {(r.id, r.ancestor) for r in V.ancestors(spark, nodes.where("plan_id = 1")).collect()}
+    up = {(r.id, r.ancestor) for r in V.ancestors(nodes.where("plan_id = 1"), keep).collect()}
     assert up == {("b", "a"), ("c", "a"), ("c", "b")}
     assert V.best_set([("a", 1, 0.5), ("b", 3, 0.1), ("c", 4, 0.2)], 2) == (7, pytest.approx(0.3), ("b", "c"))
 
@@ -99,6 +116,7 @@ def test_python_functions():
     assert repair.strip_accents("Ｃafé  Straße") == "cafe strasse"
     assert repair.repair_json('```json\n{"a": [1, 2, {"b": "x"') == {"a": [1, 2, {"b": "x"}]}
     assert repair.repair_json('{"a": 1, "b": tru') == {"a": 1} and repair.repair_json("no") is None
+    assert repair.repair_json('{"a": [1, 2], "b": {x' + ", y" * 80) == {"a": [1, 2], "b": {}} or repair.repair_json('{"a": [1, 2], "b": {x' + ", y" * 80) == {"a": [1, 2]}
     assert repair.list_field('noise {"x": 1} {"triples": [["a","b","c"]]}', "triples") == [["a", "b", "c"]]
     assert repair.closest(["alpha wrot x"], ["beta ate y", "alpha wrote x"]) == ["alpha wrote x"]
     text = "word " * 200
