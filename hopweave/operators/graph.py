@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hopweave.functions.numeric import dot, norm
+from hopweave.functions.numeric import norm
 
 
 def bridge(triples: DataFrame) -> DataFrame:
@@ -105,17 +105,91 @@ def synonym_edges(vectors: DataFrame, least: float = 0.8, at_most: int = 101, la
     return knn(vectors, at_most, least, asked).select("src", "dst", F.col("score").alias("weight"))
 
 
-def dense_scores(queries: DataFrame, passages: DataFrame, top: int | None = None) -> DataFrame:
-    """(query_id, vec_id, raw, score, rank): inner products scaled within each query. The query set is small and broadcast
-    only if Spark finds it so; passages stream past it."""
-    scored = passages.join(queries.select(F.col("query_id"), F.col("embedding").alias("q")), how="cross").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("raw"))
+BLOCK_BYTES = 8 << 20  # of query vectors that go along with a task
+
+
+def _query_blocks(queries: DataFrame):
+    """(ids, matrix) of the query set, a bounded number of vectors at a time."""
+    import numpy as np
+
+    ids, held, size = [], [], 0
+    for r in queries.select("query_id", "embedding").toLocalIterator():
+        ids.append(r[0])
+        held.append(r[1])
+        size += 8 * len(r[1])
+        if size >= BLOCK_BYTES:
+            yield ids, np.array(held, float)
+            ids, held, size = [], [], 0
+    if ids:
+        yield ids, np.array(held, float)
+
+
+def _products(ids: list, matrix, top: int | None, names: list[str]):
+    import numpy as np
+    import pyarrow as pa
+
+    def best(keys, score):
+        """Rows of score by falling score and then key, the first ``top`` of each; -inf is no row."""
+        order = np.argsort(keys, kind="stable")
+        keys, score = keys[order], score[:, order]
+        at = np.argsort(-score, axis=1, kind="stable")[:, : top or None]
+        return keys[at], np.take_along_axis(score, at, axis=1)
+
+    def run(batches):
+        low, high, kept = np.full(len(ids), np.inf), np.full(len(ids), -np.inf), None
+
+        def out(keys, score):
+            q, j = np.nonzero(np.isfinite(score))
+            columns = [pa.array([ids[i] for i in q]), pa.array(keys[q, j]), pa.array(score[q, j]), pa.array(low[q]), pa.array(high[q])]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.asarray(batch.column(0).to_pylist())
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
+            for begin in range(0, len(keys), step := max(1, 2_000_000 // len(ids))):
+                score = np.round(matrix @ values[begin : begin + step].T, 6)
+                low, high = np.minimum(low, score.min(axis=1)), np.maximum(high, score.max(axis=1))
+                some = np.broadcast_to(keys[begin : begin + step], score.shape)
+                if top is None:
+                    yield out(some, score)
+                elif kept is None:
+                    kept = best(keys[begin : begin + step], score)
+                else:  # the best so far and the best of these
+                    more = best(keys[begin : begin + step], score)
+                    both, scores = np.concatenate([kept[0], more[0]], axis=1), np.concatenate([kept[1], more[1]], axis=1)
+                    at = np.stack([np.lexsort((k, -s))[:top] for k, s in zip(both, scores)])
+                    kept = np.take_along_axis(both, at, axis=1), np.take_along_axis(scores, at, axis=1)
+        if kept is not None:
+            yield out(*kept)
+
+    return run
+
+
+def dense_scores(queries: DataFrame, passages: DataFrame, top: int | None = None, key: str = "vec_id") -> DataFrame:
+    """(query_id, key, raw, score, rank): inner products scaled within each query by all of its products.
+
+    Blocks of the query set go along with the tasks that read the rows, a matrix product for each Arrow batch; a task sends
+    only its ``top`` rows of each query, with the least and greatest product it has seen."""
+    types = dict(queries.dtypes) | dict(passages.dtypes)
+    rows, names = passages.select(key, "embedding"), ["query_id", key, "raw", "low", "high"]
+    schema = f"query_id {types['query_id']}, {key} {types[key]}, raw double, low double, high double"
+    found = passages.sparkSession.createDataFrame([], schema)
+    for ids, matrix in _query_blocks(queries):
+        found = found.unionByName(rows.mapInArrow(_products(ids, matrix, top, names), schema))
     w = Window.partitionBy("query_id")
-    low, high = F.min("raw").over(w), F.max("raw").over(w)
-    scaled = scored.select("query_id", "vec_id", "raw", F.when(high == low, 1.0).otherwise((F.col("raw") - low) / (high - low)).alias("score"))
-    ranked = scaled.withColumn("rank", F.row_number().over(w.orderBy(F.desc("raw"), "vec_id")))
+    low, high = (F.min("low").over(w), F.max("high").over(w)) if top is not None else (F.min("raw").over(w), F.max("raw").over(w))
+    scaled = found.select("query_id", key, "raw", F.when(high == low, 1.0).otherwise((F.col("raw") - low) / (high - low)).alias("score"))
+    ranked = scaled.withColumn("rank", F.row_number().over(w.orderBy(F.desc("raw"), key)))
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
+def node_key(label: Column) -> Column:
+    """A 128-bit name of a node: short in a shuffle, and too long to collide."""
+    return F.unhex(F.md5(label))
+
+
 def transition(edges: DataFrame) -> DataFrame:
     """Undirected edges (src, dst, p): both directions of each row, weights over out-strength."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -127,10 +201,10 @@ def transition(edges: DataFrame) -> DataFrame:
 QUERIES_AT_ONCE = 32
 
 
-def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, steps: int = 20, keep=None, report=None) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float | dict = 0.5, steps: int = 20, keep=None, report=None) -> DataFrame:
     """All queries at once: reset (query_id, node, weight) and the K-step power iteration x = d * P x + (1 - d) * r.
 
-    NaN and negative reset weights count as 0; resets are scaled to sum 1. ``keep`` writes a table (and cuts lineage)
+    damping: one for all queries, or by query_id. NaN and negative reset weights count as 0; resets are scaled to sum 1. ``keep`` writes a table (and cuts lineage)
     every fifth step. The mass of nodes without edges returns by their query's reset. ``report``, where given, is called
     with the last change: the sum of |x_K - x_(K-1)| over nodes, the greatest of all queries.
 
@@ -152,13 +226,14 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0
     return scores
 
 
-def _iterate(moves: DataFrame, r: DataFrame, ids: list, damping: float, steps: int, keep, changes: list | None) -> DataFrame:
+def _iterate(moves: DataFrame, r: DataFrame, ids: list, damping: float | dict, steps: int, keep, changes: list | None) -> DataFrame:
     names = [f"x{i}" for i in range(len(ids))]
+    d = {n: float(damping[q] if isinstance(damping, dict) else damping) for q, n in zip(ids, names)}
     start = r.groupBy("node").agg(*[F.sum(F.when(F.col("query_id").eqNullSafe(F.lit(q)), F.col("r")).otherwise(0.0)).alias(n) for q, n in zip(ids, names)])
-    back = start.select("node", *[((1 - damping) * F.col(n)).alias(n) for n in names])
+    back = start.select("node", *[((1 - d[n]) * F.col(n)).alias(n) for n in names])
     x = start
     for step in range(1, steps + 1):
-        spread = x.join(moves, x.node == moves.src).select(F.col("dst").alias("node"), *[(damping * F.col("p") * F.col(n)).alias(n) for n in names])
+        spread = x.join(moves, x.node == moves.src).select(F.col("dst").alias("node"), *[(d[n] * F.col("p") * F.col(n)).alias(n) for n in names])
         before, x = x, spread.unionByName(back).groupBy("node").agg(*[F.sum(n).alias(n) for n in names])
         if keep and (step % 5 == 0 or step >= steps - 1):
             x = keep(x)

@@ -121,7 +121,7 @@ _MM = "(CASE WHEN max(score) OVER (PARTITION BY query_id) = min(score) OVER (PAR
 
 
 def _tracks(spark, sf_dir):
-    ranked = _dense(spark, sf_dir)
+    ranked = _dense(spark, sf_dir, 200)
     v = table(spark, sf_dir, "embeddings")
     base = ranked.where("rank <= 200").select("query_id", F.col("vec_id").alias("passage"), F.col("raw").alias("score"))
     labels = ranked.where("rank <= 100").join(v.select("vec_id", "label"), "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
@@ -184,10 +184,10 @@ def nearest_passages(spark, sf_dir, steps, report=None):
     t = star_triples(spark, sf_dir)
     passages = G.passage_edges(t).withColumn("src", F.concat(F.lit("p "), "src"))
     edges = G.fact_edges(t).withColumn("weight", F.col("weight").cast("double")).unionByName(passages)
-    # The iteration runs on 64-bit hashes of labels; only ranked passages get their labels back.
-    short = edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), "weight")
-    reset = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.xxhash64(F.lower("n_name")).alias("node"), F.lit(1.0).alias("weight"))
-    names = passages.select(F.col("src").alias("label")).distinct().select(F.xxhash64("label").alias("node"), "label")
+    # The iteration runs on short names of nodes; only ranked passages get their labels back.
+    short = edges.select(G.node_key(F.col("src")).alias("src"), G.node_key(F.col("dst")).alias("dst"), "weight")
+    reset = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), G.node_key(F.lower("n_name")).alias("node"), F.lit(1.0).alias("weight"))
+    names = passages.select(F.col("src").alias("label")).distinct().select(G.node_key(F.col("label")).alias("node"), "label")
     scores = G.personalised_pagerank(short, reset, 0.5, steps, keep, report)
     ranked = scores.join(names, "node").select("query_id", F.col("label").alias("node"), F.round("score", 6).alias("score"))
     return R.top_k(ranked, 10, "query_id", "score", "node")
