@@ -77,10 +77,8 @@ def entity_supported(label: Column, evidence: Column) -> Column:
 def hidden_entity(predicate: Column, obj: Column, known: Column, prefixes: tuple[str, ...] = ("member of", "part of", "capital of", "author of", "son of", "daughter of")) -> Column:
     """A copula whose object is a relation followed by an entity that is known on its own."""
     copula = F.lower(F.trim(predicate)).isin("is", "was", "are", "were", "is a", "was a", "is the", "was the")
-    texts = [F.exists(known, lambda k, p=p: F.lower(F.trim(obj)) == F.concat(F.lit(f"{p} "), F.lower(k))) for p in prefixes]
-    hidden = texts[0]
-    for t in texts[1:]:
-        hidden = hidden | t
+    told = F.transform(F.lit(list(prefixes)), lambda p: F.transform(known, lambda k: F.concat(p, F.lit(" "), F.lower(k))))
+    hidden = F.array_contains(F.flatten(told), F.lower(F.trim(obj)))
     return copula & hidden
 
 
@@ -125,7 +123,8 @@ _PIECES = "idx string, passage string, start int, end int, prompt string"
 def _cut(spans: Callable[[str], list[tuple[int, int]] | None]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, p, s, e, p[s:e]) for i, p in zip(b["idx"], b["passage"]) for s, e in (spans(p or "") or [(0, len(p or ""))])]
+            texts = [p or "" for p in b["passage"]]
+            rows = [(i, p, s, e, p[s:e]) for i, p in zip(b["idx"], texts) for s, e in (spans(p) or [(0, len(p))])]
             yield pd.DataFrame(rows, columns=["idx", "passage", "start", "end", "prompt"])
 
     return run
@@ -224,7 +223,7 @@ def plan_questions(questions: DataFrame, provider: Completion, keep: Keep, most_
         row_faults = V.plan_issues(nodes, most_nodes).where("reason IS NOT NULL").groupBy("plan_id").agg(F.min("reason").alias("reason"))
         cycles = V.plan_depths(nodes, keep).groupBy("plan_id").agg(F.max(F.col("depth").isNull()).alias("cyclic"), F.max("depth").alias("depth"))
         judged = keep(asked.select("plan_id", "question").join(row_faults, "plan_id", "left").join(cycles, "plan_id", "left").withColumn(
-            "fault", F.when(F.col("cyclic").isNull(), "no_plan").when(F.col("reason").isNotNull(), F.col("reason")).when("cyclic", "cycle")
+            "fault", F.when(F.col("cyclic").isNull(), "no_plan").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("cyclic"), "cycle")
         ))
         good = nodes.join(judged.where("fault IS NULL").select("plan_id"), "plan_id", "left_semi")
         done = good if done is None else done.unionByName(good)
@@ -241,9 +240,11 @@ def as_text(value: Column) -> Column:
 
 
 def decode_escapes(text: Column) -> Column:
-    """Literal \\uXXXX sequences as characters; text without any stays as it is."""
-    escaped = F.concat(F.lit('{"x":"'), F.regexp_replace(F.regexp_replace(text, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\\\\\"), '(["\\u0000-\\u001f])', r"\\\\$1"), F.lit('"}'))
-    return F.when(text.rlike(r"\\u[0-9a-fA-F]{4}"), F.coalesce(F.get_json_object(escaped, "$.x"), text)).otherwise(text)
+    """Literal \\uXXXX sequences, also pairs of surrogates, as characters; text without any stays as it is."""
+    pairs = r"(\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4})"
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pairs), F.lit(1)))
+    character = lambda e: F.decode(F.unhex(F.replace(e, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+    return F.aggregate(found, text, lambda done, e: F.replace(done, e, character(e)))
 
 
 def answer_of(response: Column) -> Column:
