@@ -13,9 +13,11 @@ def bridge(triples: DataFrame) -> DataFrame:
 
 
 def fact_edges(triples: DataFrame) -> DataFrame:
-    """Directed (src, dst, weight): triple occurrences counted both ways, no self loops."""
-    ends = triples.where("subj <> obj").select(F.explode(F.array(F.struct(F.col("subj").alias("src"), F.col("obj").alias("dst")), F.struct(F.col("obj").alias("src"), F.col("subj").alias("dst")))).alias("e"))
-    return ends.groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("weight"))
+    """Directed (src, dst, weight): triple occurrences counted both ways, no self loops. Pairs are counted once, in the order
+    of their names, and turned into both directions after the exchange."""
+    pairs = triples.where("subj <> obj").groupBy(F.least("subj", "obj").alias("a"), F.greatest("subj", "obj").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return pairs.select(F.explode(both).alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
 def passage_edges(triples: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def passage_edges(triples: DataFrame) -> DataFrame:
 def entity_idf(triples: DataFrame) -> DataFrame:
     """df and ln((N + 1) / (df + 1)) + 1, N the number of chunks."""
     pairs = bridge(triples)
-    total = triples.select("chunk").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
+    total = pairs.select("chunk").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row, from the exchange that both share
     counted = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("df"))
     return counted.join(F.broadcast(total)).select("entity", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
@@ -51,19 +53,24 @@ def neighbours(edges: DataFrame, idf: DataFrame, top: int = 32) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("src", "dst", "score", "rank")
 
 
+KNN_ROWS = 2048  # rows of one side in a block
+
+
 def knn(vectors: DataFrame, k: int, least: float | None = None, queries: DataFrame | None = None) -> DataFrame:
     """Cosine neighbours (src, dst, score, rank) of each query row (vec_id, embedding) among all vectors, itself left out.
 
-    The query set meets all rows in blocks, a matrix product in each Arrow batch; only the k best of a block leave it.
+    The query set meets all rows in blocks of about KNN_ROWS of either side, a matrix product in each pair of blocks; only
+    the k best of a block leave it.
     """
     import numpy as np
     import pandas as pd
 
     asked = (queries if queries is not None else vectors).select(F.col("vec_id").alias("src"), F.col("embedding").alias("q"))
+    n_q, n_v = (max(1, -(-df.count() // KNN_ROWS)) for df in (asked, vectors))
     # Both sides need block numbers of one type: a long and an int of the same value hash to different partitions.
-    block_q = asked.withColumn("qb", F.expr("int(pmod(xxhash64(src), 16))"))
-    block_v = vectors.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("v")).withColumn("vb", F.expr("int(pmod(xxhash64(dst), 16))"))
-    grid = lambda df, own, other: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(15))))
+    block_q = asked.withColumn("qb", F.expr(f"int(pmod(xxhash64(src), {n_q}))"))
+    block_v = vectors.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("v")).withColumn("vb", F.expr(f"int(pmod(xxhash64(dst), {n_v}))"))
+    grid = lambda df, other, n: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -91,7 +98,7 @@ def knn(vectors: DataFrame, k: int, least: float | None = None, queries: DataFra
             out.append(pd.DataFrame({"src": own[i], "dst": names[j], "score": score[i, j]}))
         return pd.concat(out)
 
-    part = grid(block_q, "qb", "vb").groupBy("qb", "vb").cogroup(grid(block_v.withColumnRenamed("vb", "_vb"), "_vb", "qb").withColumnRenamed("_vb", "vb").groupBy("qb", "vb"))
+    part = grid(block_q, "vb", n_v).groupBy("qb", "vb").cogroup(grid(block_v, "qb", n_q).groupBy("qb", "vb"))
     pairs = part.applyInPandas(nearest, "src long, dst long, score double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

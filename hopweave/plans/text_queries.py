@@ -21,6 +21,9 @@ _BARE = rf"translate(lower({{0}}), '{_PUNCT}', '')"
 ANSWER = rf"coalesce(array_to_string(list_filter(regexp_split_to_array({_BARE}, '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' '), '')"
 
 
+MOST_KEYS = 10_000  # of a stated set that go along with a plan
+
+
 def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -92,7 +95,11 @@ def phrase_containment(spark, sf_dir):
     body = docs(spark, sf_dir).select("doc_id", X.surface_norm(F.col("text")).alias("body"))
     # The words are a column of their own: inside a lambda an expression would run again for each element.
     grams = F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 3)), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))
-    parts = body.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(F.array_union(grams, F.col("w"))).alias("g"))
+    every = F.array_union(grams, F.col("w"))
+    listed = [r.g for r in keys.select("g").distinct().limit(MOST_KEYS + 1).collect()]
+    if len(listed) <= MOST_KEYS:  # few keys sort out a document's runs before they become rows
+        every = F.filter(every, lambda g: g.isin(listed))
+    parts = body.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(every).alias("g"))
     met = parts.join(keys, "g").select("doc_id", "item_id").distinct()  # only rows of keys go on, without texts
     return met.join(body, "doc_id").join(items.select("item_id", "phrase"), "item_id").where(X.contains_phrase(F.col("phrase"), F.col("body"))).select("item_id", "doc_id")
 
