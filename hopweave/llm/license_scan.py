@@ -2,8 +2,9 @@
 
 Text is lower-cased (A-Z) and read as words, runs of letters, digits and characters from U+0080; rules are regular
 expressions over the words joined by single spaces. A rule runs only if for each of its keywords the text has one of the
-words that the pattern can show in its place. Rules have a priority: of overlapping detections the one of higher priority, then the longer one, wins, and a detection that
-lies inside one already taken is suppressed.
+words that the pattern can show in its place. Signatures of licence texts and notices come first, then names of licences
+in words of licensing, then bare names. Of overlapping detections the one of higher priority, then the longer one, wins,
+and a detection that lies inside one already taken is suppressed.
 
 The base places (fixed phrases) are counted apart and never suppressed. A null text is empty: no words, no labels,
 score 0. Repeated rows are scanned each; an empty table gives an empty one.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hopweave.llm.hashing import byte_list
+from hopweave.llm.license_passages import SIGNATURES
 
 # The base phrases and their labels.
 BASE = ((b"cc by", "cc-by"), (b"general public license", "gpl"), (b"all rights reserved", "reserved"))
@@ -150,7 +152,7 @@ def rules() -> tuple[Rule, ...]:
             names.append((label, ("cc",), rf"cc {letters}{number}"))
             names.append((label, ("creative", "commons"), rf"creative commons {long}(?: licen[sc]e)?(?: version)?{number}(?: international| unported)?"))
     bare = [(label, (keyword,), pattern) for label, keyword, pattern in identifiers()]
-    out = []
+    out = [Rule(label, 5, (frozenset(word.encode().split(b"|")),), re.compile(rf"(?<= )(?:{pattern})(?= )".encode()), 0.99) for label, word, pattern in SIGNATURES]
     for priority, weight, frame, extra in frames:
         for label, keywords, pattern in names + [x for x in bare if extra and not (extra == "under" and x[0] in SOFTWARE)]:
             need = tuple(frozenset(k.encode().split(b"|")) for k in (*keywords, extra) if k)

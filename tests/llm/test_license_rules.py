@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import re
 import re._parser as parser
 
 import pytest
 
 from hopweave.llm import license_scan as s
+from hopweave.llm.license_passages import SIGNATURES
 from tests.llm.test_license_scan import labels
 
 
@@ -50,3 +52,33 @@ def test_names_in_one_word_and_identifiers(text, want):
 
 def test_identifiers_alone_are_no_licence():
     assert labels("MIT and Apache 2.0, available under PostgreSQL") == []
+
+
+def test_signatures_by_hand():
+    """Each by a string of its own, with punctuation, capitals and line breaks between the words."""
+    marks = itertools.cycle([", ", " ", "\n * ", '" ', ". ", " ("])
+    seen = set()
+    for label, word, pattern in SIGNATURES:
+        for text in strings(parser.parse(pattern))[:6]:
+            text = re.sub(" +", " ", text)
+            assert word in text.split(" "), (label, word, text)
+            written = "".join(w.capitalize() + next(marks) for w in text.strip().split(" "))
+            assert label in labels("Prose before. " + written + " and after"), (label, text, labels(written))
+            seen.add(text)
+    assert len(SIGNATURES) > 100 and len(seen) > 150
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ["MIT"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ["0BSD"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["GPL-2.0", "gpl"]),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", ["LGPL-2.1", "gpl"]),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", ["Apache-2.0"]),
+    ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software", ["BSD-3-Clause"]),
+    ("No part of this publication may be reproduced. All rights reserved.", ["Proprietary", "reserved"]),
+    ("Redistribution of books is a fine hobby, and permission to use the kitchen is granted", []),
+    ("The internal rules say: use only for government work in the public interest", []),
+])
+def test_labelled_snippets(text, want):
+    assert labels(text) == want
