@@ -126,13 +126,13 @@ SIGNATURES = (
     ("BUSL-1.1", "licensor", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
     ("Elastic-2.0", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
     ("Commons-Clause", "sell", r"the license does not grant to you the right to sell the software"),
-    ("Llama-Community", "llama", r"llama(?: \d)?(?: \d)? community license"),
+    ("Llama-Community", "llama", r"llama(?: 2| 3)?(?: 1| 2| 3)? community license"),
     ("OpenRAIL", "restrictions", r"use based restrictions as referenced in paragraph"),
     # Data
     ("ODbL-1.0", "database", r"you are free to share to copy distribute and use the database"),
     ("ODC-PDDL-1.0", "pddl", r"pddl(?: 1 0)?"),
     ("OGL-UK-3.0", "government", r"open government licen[sc]e(?: v3 0)?"),
-    ("CDLA", "cdla", r"cdla (?:permissive|sharing)(?: \d 0)?"),
+    ("CDLA", "cdla", r"cdla (?:permissive|sharing)(?: 1 0| 2 0)?"),
     ("US-Government", "government", r"this is a work of the u s government and is not subject to copyright protection in the united states"),
     # Ownership without a licence
     ("Proprietary", "confidential", r"this (?:software|document|file) (?:is|contains) (?:the )?confidential and proprietary information of"),
