@@ -1,7 +1,7 @@
 """Token-id shards compressed by a Re-Pair grammar.
 
 A shard file holds the ids of consecutive documents. Rounds replace the most frequent adjacent id pairs by new symbols;
-each symbol is a rule of two earlier ones. A round takes all pairs used at least an eighth as often as the most frequent
+each symbol is a rule of two earlier ones. A round takes all pairs used at least a sixteenth as often as the most frequent
 one, and rounds go on until no pair is used often enough to pay for its rule. Id 0 ends each document and is in no rule,
 so a document is a slice of the symbols and can be decoded alone; stored expansion lengths give its token count without
 decoding.
@@ -29,7 +29,7 @@ MAGIC = b"HWR2"
 HEAD = "<4sIIII"
 SHARD_TOKENS = 2_000_000
 MIN_USES = 12  # a rule takes about as many bytes as it saves at so many uses
-SHARE, HASH_BITS = 8, 20
+SHARE, HASH_BITS = 16, 20
 
 
 def frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -80,6 +80,16 @@ def grammar(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return seq, np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
 
 
+def levels(rules: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rules that only name symbols from before their range."""
+    later, done = rules.max(axis=1).astype(np.int64) - first if len(rules) else np.zeros(0, np.int64), 0
+    while done < len(rules):
+        past = later[done:] >= done
+        end = done + (int(past.argmax()) if past.any() else len(past))
+        yield done, end
+        done = end
+
+
 def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u4").ravel().view(np.uint8).reshape(-1, 4).T).tobytes()
 
@@ -91,8 +101,8 @@ def pack(ids: np.ndarray, counts: np.ndarray, first: int) -> bytes:
     # An end is told from an equal id inside a text by the stored ends: both are outside every rule.
     symbols, rules = grammar(ids, first)
     lengths = np.ones(first + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[first + i] = lengths[a] + lengths[b]
+    for begin, end in levels(rules, first):
+        lengths[first + begin : first + end] = lengths[rules[begin:end]].sum(axis=1)
     ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum(counts)) + 1
     head = struct.pack(HEAD, MAGIC, first, len(rules), len(counts), len(symbols))
     return head + zstandard.compress(b"".join(map(_planes, (rules, lengths[first:], ends, symbols))), 1)
@@ -110,28 +120,31 @@ class Shard:
         parts = [np.ascontiguousarray(p.reshape(4, -1).T).view("<u4").ravel() for p in np.split(body, np.cumsum(sizes)[:-1] * 4)]
         self.rules, self.ends, self.symbols = parts[0].reshape(-1, 2), parts[2].astype(np.int64), parts[3]
         self.lengths = np.concatenate([np.ones(self.first, np.int64), parts[1]])
-        self._begins = np.concatenate([np.arange(self.first, dtype=np.int64), self.first + np.concatenate([[0], np.cumsum(self.lengths[self.first :])])[:-1]]).astype(np.int64)
-        flat = np.empty(int(self.first + self.lengths[self.first :].sum()), np.uint32)
-        flat[: self.first] = np.arange(self.first)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            begin = self._begins[self.first + i]
-            la, lb = self.lengths[a], self.lengths[b]
-            flat[begin : begin + la] = flat[self._begins[a] : self._begins[a] + la]
-            flat[begin + la : begin + la + lb] = flat[self._begins[b] : self._begins[b] + lb]
-        self._flat = flat
+        # What each symbol stands for, one after the other; places fit 32 bits unless a shard is far larger than usual.
+        after = np.cumsum(self.lengths)
+        kind = np.int32 if after[-1] < 1 << 31 else np.int64
+        self._begins, self.lengths = (after - self.lengths).astype(kind), self.lengths.astype(kind)
+        self._flat = np.empty(int(after[-1]), np.uint32)
+        self._flat[: self.first] = np.arange(self.first)
+        for begin, end in levels(self.rules, self.first):
+            part = self.expand(self.rules[begin:end].ravel())
+            at = int(self._begins[self.first + begin])
+            self._flat[at : at + len(part)] = part
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.lengths[symbols]
-        total = np.cumsum(n)
         if not len(n):
             return np.zeros(0, np.uint32)
-        return self._flat[np.arange(total[-1]) + np.repeat(self._begins[symbols] - (total - n), n)]
+        total = np.cumsum(n)
+        places = np.repeat((self._begins[symbols] - (total - n)).astype(n.dtype), n)
+        places += np.arange(len(places), dtype=n.dtype)
+        return self._flat[places]
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.ends[i - 1] if i else 0 : self.ends[i]])
 
     def token_counts(self) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(self.lengths[self.symbols])])[np.concatenate([[0], self.ends])])
+        return np.diff(np.concatenate([[0], np.cumsum(self.lengths[self.symbols], dtype=np.int64)])[np.concatenate([[0], self.ends])])
 
     def all(self) -> list[np.ndarray]:
         counts = self.token_counts()
@@ -180,12 +193,13 @@ def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, text: str =
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, shard, ids, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            documents = Shard(data).all()
-            lengths = [len(d) for d in documents]
+            shard_file = Shard(data)
+            flat, lengths = memoryview(shard_file.expand(shard_file.symbols).astype("<u4", copy=False)).cast("B"), shard_file.token_counts()
+            ends = (4 * np.cumsum(lengths)).tolist()
             columns = [
                 pa.array([part] * len(ids), pa.int32()), pa.array([shard] * len(ids), pa.int32()), pa.array(ids, pa.int64()),
-                pa.array(np.cumsum([0, *lengths])[:-1], pa.int64()), pa.array(lengths, pa.int64()),
-                pa.array([zlib.crc32(d.astype("<u4").tobytes()) for d in documents], pa.int64()),
+                pa.array(np.cumsum(lengths, dtype=np.int64) - lengths, pa.int64()), pa.array(lengths, pa.int64()),
+                pa.array([zlib.crc32(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
