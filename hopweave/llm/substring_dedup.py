@@ -36,6 +36,7 @@ RUN_WORDS = 4
 LOSS = 1 + 2 + RUN_WORDS + 4 + 8  # words at either end of a window that the rounds can disturb
 ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 CHUNK_BYTES = 4_000_000
+BUCKET_BYTES = 16_000_000
 
 TEXTS, HASHES, DONE = 0, 1, 2
 _BLOBS = "kind int, bucket int, chunk long, payload binary"
@@ -303,7 +304,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
     spark = docs.sparkSession
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if buckets is None:  # so many that a bucket of hashes comes from BUCKET_BYTES of text, whatever the input
+        size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0]
+        buckets = max(16, -(-(size or 0) // BUCKET_BYTES))
     read = lambda path, kind: spark.read.schema("bucket int, chunk long, payload binary, kind int").parquet(path).where(F.col("kind") == kind)
 
     first = scratch.write(docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_first_visit(buckets), _BLOBS), "kind")
