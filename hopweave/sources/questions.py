@@ -40,3 +40,11 @@ def gold_answers(records: DataFrame) -> DataFrame:
     single = F.array_compact(F.array(F.coalesce("answer", "reference", "obj"), F.col("o_wiki_title")))
     every = F.concat(single, F.coalesce("answer_aliases", F.array()), listed("possible_answers"), listed("o_aliases"))
     return records.select("question", F.array_sort(F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != "")))).alias("answers"))
+
+
+def write_hop_labels(records: DataFrame, answers: DataFrame, path: str) -> DataFrame:
+    """records: the question records; answers: question, predicted. Writes question, hops and predicted as JSON lines, for
+    questions that both have, and returns them."""
+    labelled = records.select("question", infer_hops().alias("hops")).join(answers.select("question", "predicted"), "question")
+    labelled.write.mode("errorifexists").json(path)
+    return records.sparkSession.read.schema(labelled.schema).json(path)

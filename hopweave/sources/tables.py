@@ -29,6 +29,13 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(QUESTION_SCHEMA).json(path)
 
 
+def keyed_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold one object of records by key: the records, with ``key``. A question set is small; a file is one row."""
+    kind = T.MapType(T.StringType(), QUESTION_SCHEMA)
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("key", "r")).select("key", "r.*")
+
+
 def passage_text(title: str, *bodies: str):
     """Title, newline, first non-empty body."""
     return F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), F.coalesce(*[F.nullif(F.col(b), F.lit("")) for b in bodies], F.lit("")))

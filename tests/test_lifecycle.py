@@ -323,3 +323,88 @@ def test_grid_cases_and_throughput(spark):
     reports = spark.createDataFrame([("r1", "m", {"recall_5": 0.123456})], "run string, method string, metrics map<string,double>")
     assert T.case_table(reports, ["recall_5", "f1"]).collect() == [("r1", "m", 0.1235, None)]
     assert [n for _, n in T.throughput(lambda: spark.range(7), 2)] == [7, 7]
+
+
+def test_verification_in_steps(spark):
+    from hopweave.operators import recovery as V
+
+    ranked = spark.createDataFrame([(q, "Q", f"p{i}", f"text {q} {i}", i) for q in (1, 2, 3) for i in range(1, 8)], "query_id long, question string, passage string, text string, rank int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def provider(prompts):
+        seen.add(len(prompts))
+        return ['{"answer": "A", "evidence": "e", "confidence": 0.9}' if "text 1 2" in p or "text 2 5" in p else "no" for p in prompts]
+
+    out = {(r.query_id, r.passage) for r in V.verify_in_steps(ranked, provider, lambda h: h.where("confidence > 0.5"), keep).collect()}
+    assert out == {(1, "p2"), (2, "p5")} and seen.value == 9 + 6
+    beams = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.88), (2, "a", 0.9), (2, "b", 0.5)], "query_id long, beam_id string, score double")
+    assert {(r.query_id, r.beam_id) for r in V.ambiguous(beams).collect()} == {(1, "a"), (1, "b"), (2, "a")}
+
+
+def test_types_and_witnesses(spark):
+    from hopweave.operators import recovery as V
+
+    h = spark.createDataFrame([("Rome", "date"), ("1999", "date"), ("42", "person"), ("Ann", "person")], "answer string, answer_type string")
+    assert [r.type_reason for r in V.typed(h).collect()] == ["not_a_time", None, "not_a_name", None]
+    docs = spark.createDataFrame([("p", "Work X\nAnn, a poet, wrote Work X in 1950. Bob read it.")], "passage string, text string")
+    rows = [("Who wrote Work X?", "Ann", "Ann a poet wrote Work X", "p"), ("When was Work X written?", "1960", "wrote Work X in 1950", "p"), ("Who sang it?", "Cy", "nothing like it", "p")]
+    out = {r.answer: (r.evidence, r.witness) for r in V.witnessed(spark.createDataFrame(rows, "question string, answer string, evidence string, passage string"), docs).collect()}
+    assert out["Ann"] == ("Ann, a poet, wrote Work X", "supported") and out["Cy"][1] == "unknown" and out.get("1960", (None, "unknown"))[1] == "unknown"
+
+
+def test_plans_are_repaired_only_if_whole(spark):
+    from hopweave.operators import recovery as V
+
+    schema = "plan_id long, id string, question string, depends_on array<string>, answer string, passage string"
+    nodes = [(p, "s1", "Who wrote Work X?", [], a, a and "p1") for p, a in ((1, "Ann"), (2, None), (3, None), (4, None), (5, None))]
+    nodes = spark.createDataFrame(nodes, schema)
+    questions = spark.createDataFrame([(p, "Who wrote Work X?") for p in range(1, 6)], "plan_id long, question string")
+    asked = {2: "Who is the author of Work X?", 3: "Who wrote Work X?", 4: "Who did Zed meet?", 5: "Whose is Work X?"}
+
+    def replan(failed):
+        assert {r.plan_id for r in failed.collect()} == {2, 3, 4, 5}
+        return spark.createDataFrame([(p, "s1", q, []) for p, q in asked.items()], "plan_id long, id string, question string, depends_on array<string>")
+
+    def search(new):
+        return new.withColumns({"answer": F.when(F.col("plan_id") == 2, "Ann"), "passage": F.when(F.col("plan_id") == 2, "p9")})
+
+    out = {r.plan_id: (r.question, r.passage) for r in V.recover(questions, nodes, replan, search, keep).collect()}
+    assert out == {1: ("Who wrote Work X?", "p1"), 2: (asked[2], "p9"), 3: ("Who wrote Work X?", None), 4: ("Who wrote Work X?", None), 5: ("Who wrote Work X?", None)}
+    adopted = spark.createDataFrame([(1, "Work X"), (2, "Ann")], "plan_id long, bridge_answer string")
+    assert V.fresh_bridges(adopted, questions).collect() == [(2, "Ann")]
+
+
+def test_proposals_and_modes(spark):
+    from hopweave.operators import recovery as V
+
+    ranked = spark.createDataFrame([(q, f"p{i}", i, f"text {i}") for q in (1, 2) for i in range(1, 8)], "query_id long, passage string, rank int, text string")
+    questions = spark.createDataFrame([(1, "one"), (2, "two")], "query_id long, question string")
+    out = V.propose_swaps(ranked, questions, lambda ps: ['{"removed": 4, "added": 7, "quote": "text 7", "confidence": 0.8}' if "one" in p else '{"removed": 4, "added": 70}' for p in ps])
+    assert out.collect() == [(1, "p4", "p7", "text 7", 0.8)]
+    stages = {n: (lambda d, n=n: d.withColumn(n, F.lit(True))) for n in ("plan", "search", "verify", "decompose", "second_round", "select")}
+    assert V.run_mode("budget_iterative", spark.range(1), stages, keep).columns == ["id", "search", "second_round", "verify"]
+    with pytest.raises(ValueError, match="unknown mode"):
+        V.run_mode("other", spark.range(1), stages, keep)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from hopweave import cli
+
+    assert cli.main(["list"]) == 0 and "graph_info" in capsys.readouterr().out.split()
+    assert cli.main(["run", "no_such", "--data", "x", "--out", "y"], spark) == 2
+    assert cli.main(["run", "graph_info", "--data", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}"], spark) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/graph_info").count() == 1
+    (tmp_path / "a.json").write_text('{"query_id": 1, "gold": "The Rome", "predicted": "rome"}\n{"query_id": 2, "gold": "a b", "predicted": "a c d"}\n')
+    capsys.readouterr()
+    assert cli.main(["score", f"file://{tmp_path}/a.json"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"n": 2, "em": 0.5, "f1": 0.5}
+
+
+def test_keyed_records_and_hop_labels(spark, tmp_path):
+    from hopweave.sources import questions as Q, tables
+
+    (tmp_path / "q.json").write_text(json.dumps({"a": {"question": "one?", "id": "2hop__1"}, "b": {"question": "two?", "id": "x"}}))
+    records = tables.keyed_questions(spark, f"file://{tmp_path}/q.json")
+    assert {(r.key, r.question) for r in records.collect()} == {("a", "one?"), ("b", "two?")}
+    answers = spark.createDataFrame([("one?", "x"), ("three?", "y")], "question string, predicted string")
+    assert [(r.question, r.hops, r.predicted) for r in Q.write_hop_labels(records, answers, f"file://{tmp_path}/labels").collect()] == [("one?", 2, "x")]
