@@ -30,7 +30,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         )
         for old in (edges, least, large, small_least):
-            if old.inputFiles():
-                scratch.drop(old)
+            scratch.drop(old)
         edges = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -304,7 +304,10 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
 
     found = scratch.keep(components(links, scratch))
     placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    joined = scratch.keep(_across(scratch.keep(placed), sketches, sets, percent))
+    placed = scratch.keep(placed)
+    joined = scratch.keep(_across(placed, sketches, sets, percent))
+    for table in (members, sketches, sets, likely, links, placed):
+        scratch.drop(table)
     merged = components(joined, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
     named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     result = scratch.keep(named.join(merged, "component", "left").select("digest", F.coalesce("top", "component").alias("component")))

@@ -41,7 +41,10 @@ class Scratch:
         return path
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return self.spark.read.schema(df.schema).parquet(self.write(df))
+        path = self.write(df)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept.scratch_path = path
+        return kept
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished plans now rather than at the driver's next collection."""
@@ -49,8 +52,9 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, df_or_path: DataFrame | str) -> None:
+        """Removes a table that ``keep`` returned, or a path that ``write`` did."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = df_or_path if isinstance(df_or_path, str) else df_or_path.inputFiles()[0].rsplit("/", 1)[0]
+        path = df_or_path if isinstance(df_or_path, str) else df_or_path.scratch_path
         if not path.split(":", 1)[-1].lstrip("/").startswith(self.root.split(":", 1)[-1].lstrip("/")):
             raise ValueError(f"{path} is not a table of this run")
         target = jvm.org.apache.hadoop.fs.Path(path)
