@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hopweave.functions.numeric import norm
+from hopweave.sources.shared import kept_by
 
 
 def bridge(triples: DataFrame) -> DataFrame:
@@ -216,6 +219,7 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float | d
     with the last change: the sum of |x_K - x_(K-1)| over nodes, the greatest of all queries.
 
     A node's row holds a column for each of up to 32 queries, so an edge is read once a step and not once for each query.
+    With ``keep``, edges lie in buckets of their source, so a step exchanges nothing but sums by node.
     """
     clean = F.when(F.isnan("weight") | (F.col("weight") < 0) | F.col("weight").isNull(), 0.0).otherwise(F.col("weight"))
     total = Window.partitionBy("query_id")
@@ -223,11 +227,13 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float | d
     r = r.select("query_id", "node", (F.col("w") / F.sum("w").over(total)).alias("r")).where("r > 0")
     moves = transition(edges)
     if keep:
-        r, moves = keep(r), keep(moves)
+        r = keep(r)
     ids = [row.query_id for row in r.select("query_id").distinct().orderBy("query_id").collect()]  # the query set, one value each
     scores, changes = r.select("query_id", "node", F.col("r").alias("score")).limit(0), []
-    for i in range(0, len(ids), QUERIES_AT_ONCE):
-        scores = scores.unionByName(_iterate(moves, r, ids[i : i + QUERIES_AT_ONCE], damping, steps, keep, changes if report else None))
+    with kept_by(moves, "src") if keep else contextlib.nullcontext(moves) as moves:
+        for i in range(0, len(ids), QUERIES_AT_ONCE):
+            found = _iterate(moves, r, ids[i : i + QUERIES_AT_ONCE], damping, steps, keep, changes if report else None)
+            scores = scores.unionByName(keep(found) if keep else found)
     if changes:
         report(max(changes))
     return scores

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows of df, written and read back. The folder is spark.checkpoint.dir; one of our own only where a local
-    session has none."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where a local session has none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="hopweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def kept_by(df: DataFrame, column: str) -> Iterator[DataFrame]:
+    """df written in buckets of a column, as many as an exchange has partitions: joins on it then move only the other side.
+    The table leaves the catalog at the end; its files stay in the shared folder."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"hopweave_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.format("parquet").bucketBy(n, column).sortBy(column).option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
