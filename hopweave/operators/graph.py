@@ -7,7 +7,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hopweave.functions.numeric import norm
-from hopweave.sources.shared import kept_by
+from hopweave.sources.shared import forget, kept_by
 
 
 def bridge(triples: DataFrame) -> DataFrame:
@@ -214,12 +214,13 @@ QUERIES_AT_ONCE = 32
 def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float | dict = 0.5, steps: int = 20, keep=None, report=None) -> DataFrame:
     """All queries at once: reset (query_id, node, weight) and the K-step power iteration x = d * P x + (1 - d) * r.
 
-    damping: one for all queries, or by query_id. NaN and negative reset weights count as 0; resets are scaled to sum 1. ``keep`` writes a table (and cuts lineage)
-    every fifth step. The mass of nodes without edges returns by their query's reset. ``report``, where given, is called
-    with the last change: the sum of |x_K - x_(K-1)| over nodes, the greatest of all queries.
+    damping: one for all queries, or by query_id. NaN and negative reset weights count as 0; resets are scaled to sum 1.
+    The mass of nodes without edges returns by their query's reset. ``report``, where given, is called with the last
+    change: the sum of |x_K - x_(K-1)| over nodes, the greatest of all queries.
 
     A node's row holds a column for each of up to 32 queries, so an edge is read once a step and not once for each query.
-    With ``keep``, edges lie in buckets of their source, so a step exchanges nothing but sums by node.
+    ``keep`` writes a table after every step and so cuts lineage. With it, edges lie in buckets of their source, and a step
+    exchanges nothing but sums by node.
     """
     clean = F.when(F.isnan("weight") | (F.col("weight") < 0) | F.col("weight").isNull(), 0.0).otherwise(F.col("weight"))
     total = Window.partitionBy("query_id")
@@ -247,8 +248,10 @@ def _iterate(moves: DataFrame, r: DataFrame, ids: list, damping: float | dict, s
     x = start
     for step in range(1, steps + 1):
         spread = x.join(moves, x.node == moves.src).select(F.col("dst").alias("node"), *[(d[n] * F.col("p") * F.col(n)).alias(n) for n in names])
+        if step > 1:
+            forget(before)
         before, x = x, spread.unionByName(back).groupBy("node").agg(*[F.sum(n).alias(n) for n in names])
-        if keep and (step % 5 == 0 or step >= steps - 1):
+        if keep:
             x = keep(x)
     if changes is not None and steps:
         gap = lambda n: F.sum(F.abs(F.coalesce(f"new.{n}", F.lit(0.0)) - F.coalesce(f"old.{n}", F.lit(0.0))))

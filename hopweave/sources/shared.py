@@ -26,7 +26,16 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table that ``keep`` wrote and that no later plan reads; other frames are left alone."""
+    if path := getattr(df, "kept_path", None):
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextlib.contextmanager
