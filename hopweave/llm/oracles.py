@@ -39,4 +39,44 @@ m AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op9_substring_dedup": OP9, "op10_decontamination": OP10}
+
+def _op12(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """All distances to all entries in every round; ties go to the lower entry as it is added below the distance."""
+    far = "p.norm - 2 * list_dot_product(p.v, b.v) + b.norm"
+    near = f"SELECT p.r, p.part, arg_min(b.entry, ({far}) * 1024 + b.entry) AS entry, min({far}) AS d FROM p JOIN {{}} b USING (part) GROUP BY 1, 2"
+    steps = [
+        "k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT r, part, v, list_dot_product(v, v) AS norm FROM (SELECT r, part, e[part * len(e) // {parts} + 1 : (part + 1) * len(e) // {parts}] AS v FROM k, (SELECT unnest(range({parts})) AS part)))",
+        f"b0 AS MATERIALIZED (SELECT part, r AS entry, v, norm FROM p WHERE r < {entries})",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED ({near.format(f'b{i}')})",
+            f"m{i} AS (SELECT part, entry, list(x ORDER BY i) AS v FROM (SELECT part, entry, i, floor(sum(x) / count(*)) AS x FROM (SELECT a.part, a.entry, unnest(p.v) AS x, generate_subscripts(p.v, 1) AS i FROM a{i} a JOIN p USING (r, part)) GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+            f"b{i + 1} AS MATERIALIZED (SELECT part, entry, v, list_dot_product(v, v) AS norm FROM (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m USING (part, entry)))",
+        ]
+    steps += [
+        f"z AS MATERIALIZED ({near.format(f'b{rounds}')})",
+        "c AS (SELECT r, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM z GROUP BY 1)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})",
+    ]
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (r), h"
+
+
+# CRC-32 by its table of 256 remainders, over the bytes of each distinct run of words.
+OP13 = f"""WITH tab AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS ws FROM documents), b AS (SELECT {_PLAIN} AS ws FROM benchmark),
+fd AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS f FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM d) GROUP BY 1, 2),
+fb AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest(ws) AS f FROM b UNION ALL SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM b) GROUP BY 1),
+x AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+k AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT), lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM x, tab),
+s AS (SELECT bucket, sum(n)::DOUBLE AS n FROM fd JOIN k USING (f) GROUP BY 1), t AS (SELECT bucket, sum(n)::DOUBLE AS n FROM fb JOIN k USING (f) GROUP BY 1),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (coalesce((SELECT sum(n) FROM s), 0) + 10000) / ((coalesce(s.n, 0) + 1) * (coalesce((SELECT sum(n) FROM t), 0) + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM fd JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+r AS MATERIALIZED (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT
+  + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score, coalesce(weight, 0)::BIGINT AS weight FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM o) // 100 THEN rank END AS rank FROM r LEFT JOIN o USING (doc_id)"""
+
+ORACLE_SQL = {"op2_quality_rules": OP2, "op9_substring_dedup": OP9, "op10_decontamination": OP10, "op12_vector_codes": _op12(), "op13_importance_resampling": OP13}

@@ -9,11 +9,11 @@ DIR = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     rel = con.sql(queries.ORACLE_SQL[name])
     names = sorted(rel.columns)
     at = [rel.columns.index(c) for c in names]
     df = queries.QUERIES[name](spark, DIR)
     assert sorted(df.columns) == names
-    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
