@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hopweave.llm import byte_shards, decontaminate, importance_sampling, license_scan, minhash_dedup, oracles, packing, quality_classifier, quality_rules, repair_files, secrets_scan, substring_dedup, vector_codes
+from hopweave.llm import byte_shards, decontaminate, importance_sampling, license_scan, minhash_dedup, oracles, packing, pii_scan, quality_classifier, quality_rules, repair_files, secrets_scan, substring_dedup, vector_codes
 from hopweave.llm.scratch import Scratch
 
 
@@ -64,6 +64,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op11_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan.report(pii_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
 
@@ -73,5 +77,5 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op7_license_scan, op8_best_fit_packing, op9_substring_dedup, op10_decontamination, op12_vector_codes, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_repair_files, op4_byte_shards, op5_quality_classifier, op6_secrets_scan, op7_license_scan, op8_best_fit_packing, op9_substring_dedup, op10_decontamination, op11_pii_field, op12_vector_codes, op13_importance_resampling)}
 ORACLE_SQL = oracles.ORACLE_SQL
