@@ -195,6 +195,50 @@ def dense_scores(queries: DataFrame, passages: DataFrame, top: int | None = None
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
+def dense_blocks(queries: DataFrame, passages: DataFrame, ids: list, width: int, key: str = "vec_id") -> DataFrame:
+    """(block, key, raw): inner products of every row of passages with the queries ids[block * width], ..., as one array a
+    row and block; rounded as in dense_scores."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(passages.dtypes)[key]
+    schema = f"block int, {key} {kind}, raw array<double>"
+    place = {q: i for i, q in enumerate(ids)}
+    found = passages.sparkSession.createDataFrame([], schema)
+
+    def products(blocks: dict):
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                for block, (at, matrix) in blocks.items():
+                    raw = np.full((batch.num_rows, width), np.nan)
+                    raw[:, at] = np.round(values @ matrix.T, 6)
+                    cells = pa.array(np.where(np.isnan(raw), 0.0, raw).ravel(), mask=np.isnan(raw).ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width), cells)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block, np.int32)), batch.column(0), lists], names=["block", key, "raw"])
+
+        return run
+
+    for some, matrix in _query_blocks(queries.where(F.col("query_id").isNotNull()).orderBy("query_id")):
+        where = np.array([place[q] for q in some])
+        blocks = {int(b): (where[where // width == b] % width, matrix[where // width == b]) for b in np.unique(where // width)}
+        found = found.unionByName(passages.select(key, "embedding").mapInArrow(products(blocks), schema))
+    return found
+
+
+def scaled_blocks(blocks: DataFrame, width: int, keep, factor: float = 1.0) -> DataFrame:
+    """dense_blocks with columns r0, r1, ... in place of the array: each query's products, scaled between its least and its
+    greatest one, times a factor. The extremes are a row a block, found by partial aggregation."""
+    kept = keep(blocks)
+    raw = [F.get("raw", F.lit(i)) for i in range(width)]
+    ends = kept.groupBy("block").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(raw) for f, n in ((F.min, "low"), (F.max, "high"))])
+    scale = lambda i, c: F.when(F.col(f"high{i}") == F.col(f"low{i}"), 1.0).otherwise((c - F.col(f"low{i}")) / (F.col(f"high{i}") - F.col(f"low{i}")))
+    others = [c for c in blocks.columns if c != "raw"]
+    return kept.join(F.broadcast(ends), "block").select(*others, *[F.coalesce(factor * scale(i, c), F.lit(0.0)).alias(f"r{i}") for i, c in enumerate(raw)])
+
+
 def node_key(label: Column) -> Column:
     """A 128-bit name of a node: short in a shuffle, and too long to collide."""
     return F.unhex(F.md5(label))

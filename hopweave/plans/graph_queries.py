@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hopweave.functions import numeric as N
 from hopweave.functions import text as X
 from hopweave.operators import graph as G
+from hopweave.operators import push as P
 from hopweave.operators import ranking as R
 from hopweave.plans.registry import query
 from hopweave.sources.shared import keep
@@ -174,10 +175,30 @@ def _pagerank_sql(steps: int) -> str:
     return f"WITH {', '.join(parts)}, s AS ({lost}) SELECT query_id, node, score, rank::INT AS rank FROM (SELECT query_id, node, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, node) AS rank FROM s WHERE node LIKE 'p %') WHERE rank <= 10"
 
 
+# Residuals up to so much of a node's strength stay where they are: scores of passages (strength below 100) are then right
+# to 1e-8 and better, a hundredth of their rounding.
+EPS = 1e-10
+
+
 @query(_pagerank_sql(SETTLED))
 def ppr_topk(spark, sf_dir):
     """The ten passages (orders) nearest to each nation by personalised PageRank: the flagship query."""
-    return nearest_passages(spark, sf_dir, SETTLED, lambda change: log.info("ppr_topk: last change %.3g after %d steps", change, SETTLED))
+    return pushed_passages(spark, sf_dir, EPS, lambda rounds: log.info("ppr_topk: nodes pushed by round %s", [r["frontier"] for r in rounds]))
+
+
+def pushed_passages(spark, sf_dir, eps, report=None):
+    t = star_triples(spark, sf_dir)
+    passages = G.passage_edges(t).withColumn("src", F.concat(F.lit("p "), "src"))
+    # A fact's edge counts for both of its directions, as fact_edges has it.
+    edges = t.where("subj <> obj").select(F.col("subj").alias("src"), F.col("obj").alias("dst"), F.lit(2.0).alias("weight")).unionByName(passages)
+    labels = t.select(F.explode(F.array("subj", "obj", F.concat(F.lit("p "), "chunk"))).alias("label"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.lower("n_name").alias("label"), F.lit(1.0).alias("weight"))
+    ids = [r.query_id for r in nations.select("query_id").orderBy("query_id").collect()]  # the query set
+    with P.graph_of(edges, keep, labels) as graph:
+        scores = P.push(graph, P.widen(graph.of(nations).where("node IS NOT NULL"), ids), ids, 0.5, eps, keep, report)
+        named = scores.join(graph.names.where(F.col("label").startswith("p ")), "node")
+        rows = P.rows_of(named, ids, "long", "label").select("query_id", F.col("label").alias("node"), F.round("score", 6).alias("score"))
+        return keep(R.top_k(rows, 10, "query_id", "score", "node"))
 
 
 def nearest_passages(spark, sf_dir, steps, report=None):

@@ -38,13 +38,34 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Rounds:
+    """Tables of one schema, one for each round of an iteration, read again one by one or all together. Their numbers
+    hardly repeat, so no dictionaries are tried."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths, self.schema = spark, f"{shared_root(spark)}/rounds-{uuid.uuid4().hex}", [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path, self.schema = f"{self.root}/{len(self.paths)}", self.schema or df.schema
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def drop(self) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextlib.contextmanager
-def kept_by(df: DataFrame, column: str) -> Iterator[DataFrame]:
-    """df written in buckets of a column, as many as an exchange has partitions: joins on it then move only the other side.
+def kept_by(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
+    """df written in buckets of columns, as many as an exchange has partitions: joins on them then move only the other side.
     The table leaves the catalog at the end; its files stay in the shared folder."""
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"hopweave_{uuid.uuid4().hex}"
-    df.repartition(n, column).write.format("parquet").bucketBy(n, column).sortBy(column).option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    df.repartition(n, *columns).write.format("parquet").bucketBy(n, *columns).sortBy(*columns).option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
