@@ -4,7 +4,11 @@ Base spans are leftmost, non-overlapping matches of each pattern; those that fai
 Candidates are runs of 20 or more characters of base64, with a letter and a digit. A window of 20 characters slides over each; counts of the
 characters in the window change by one in and one out, and with them the sum of n * log2(n), so a step costs the same
 whatever came before. Windows at or above the threshold of the string's class (hex, or mixed) merge into spans. Strings
-on the allow list (UUIDs, digests of nothing, words such as example) and spans that touch a base span add nothing.
+on the allow list (UUIDs, digests of nothing, words such as example) add nothing; of a span that meets base spans, what
+lies outside them is left.
+
+Places come from running sums that double their reach a pass, and long candidates are cut into overlapping pieces, so
+that time grows with n log n of the matches of a text, not with their square.
 
 Places are code points, ends exclusive. A null text is empty and has no spans. Repeated rows are scanned each; an empty
 table gives an empty one.
@@ -35,6 +39,8 @@ ALLOWED = (
     r"^(d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$",
     r"^[A-Za-z]+([_=/+-][A-Za-z]+)*[_=/+-]?[0-9]{1,4}$",
 )
+CHUNK = 256  # places at which windows of one piece of a candidate begin
+FEW = 64  # spans up to which a text is cut by places, above which by characters
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -42,19 +48,29 @@ def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _running(values: str, op: str = "x + {}") -> str:
+    """SQL: running sums (or other folds) of an array of numbers; each pass reaches twice as far back."""
+    back = op.format("get(acc, i - shiftleft(1, k))")
+    return f"aggregate(sequence(0, length(bin(size({values})))), {values}, (acc, k) -> transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {back} ELSE x END))"
+
+
+def _joined(ranges: str, upto: str) -> str:
+    """SQL: ranges, by start, joined where one begins at or before ``upto``, the greatest end of those before it, ends."""
+    starts = f"filter({ranges}, (x, i) -> i = 0 OR x.start > get({upto}, i - 1))"
+    ends = f"filter(zip_with({ranges}, {upto}, (x, e) -> named_struct('start', x.start, 'end', e)), (x, i) -> i = size({ranges}) - 1 OR get({ranges}, i + 1).start > x.end)"
+    return f"zip_with({starts}, {ends}, (x, y) -> named_struct('start', x.start, 'end', y.end))"
+
+
 def _with_places(df: DataFrame, name: str, pattern: str, kind: int, keep: str) -> DataFrame:
     """Adds spans of the matches as ``name``, each with its string ``m``; found from the lengths of what lies between.
 
     ``keep`` is SQL over a match x. Staged in columns, so that each regular expression runs once a row, and the second
     one only in rows with a match.
     """
-    found = df.withColumn("_m", F.expr(f"regexp_extract_all(_t, {_literal(pattern)}, 0)"))
-    found = found.withColumn("_g", F.expr(f"CASE WHEN size(_m) = 0 THEN cast(array() AS array<int>) ELSE transform(split(_t, {_literal(pattern)}, -1), x -> length(x)) END"))
-    step = "named_struct('at', acc.at + get(_g, i) + length(get(_m, i)), 'out', concat(acc.out, array(named_struct('start', acc.at + get(_g, i), 'end', acc.at + get(_g, i) + length(get(_m, i)), 'm', get(_m, i)))))"
-    start = "named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int,m:string>>))"
-    spans = f"aggregate(sequence(0, size(_m) - 1), {start}, (acc, i) -> {step}, acc -> filter(acc.out, x -> {keep}))"
     empty = "cast(array() AS array<struct<start:int,end:int,m:string>>)"
-    return found.withColumn(name, F.expr(f"CASE WHEN size(_m) = 0 THEN {empty} ELSE {spans} END")).drop("_m", "_g")
+    found = df.withColumn("_m", F.expr(f"regexp_extract_all(_t, {_literal(pattern)}, 0)"))
+    found = found.withColumn("_g", F.expr(f"CASE WHEN size(_m) = 0 THEN cast(array() AS array<int>) ELSE zip_with(_m, slice(split(_t, {_literal(pattern)}, -1), 1, size(_m)), (m, g) -> length(m) + length(g)) END"))
+    return found.withColumn(name, F.expr(f"CASE WHEN size(_m) = 0 THEN {empty} ELSE filter(zip_with(_m, _ends, (m, e) -> named_struct('start', e - length(m), 'end', e, 'm', m)), x -> {keep}) END".replace("_ends", _running("_g")))).drop("_m", "_g")
 
 
 def _windows(text: str, kind: str) -> str:
@@ -82,7 +98,7 @@ def _windows(text: str, kind: str) -> str:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``secret_spans``: an array of (start, kind, end), kind an index of KINDS, by start and then kind."""
-    inner = {"_t", "_m", "_g", "_assign", "_access", "_hex", "_long", "_base", "_entropy"}
+    inner = {"_t", "_m", "_g", "_assign", "_access", "_hex", "_long", "_base", "_r", "_u", "_v", "_p", "_entropy"}
     return with_other_names(docs, inner, text, _find)
 
 
@@ -95,10 +111,19 @@ def _find(docs: DataFrame, text: str) -> DataFrame:
     df = _with_places(df, "_long", CANDIDATE, 3, f"x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]' AND NOT ({allowed})")
     spans = [f"transform({name}, x -> named_struct('start', x.start, 'kind', {k}, 'end', x.end))" for k, name in enumerate(("_assign", "_access", "_hex"))]
     df = df.withColumn("_base", F.expr(f"concat({', '.join(spans)})"))
-    ranges = f"CASE WHEN c.m RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN {_windows('c.m', 'hex')} ELSE {_windows('c.m', 'mixed')} END"
-    moved = f"flatten(transform(_long, c -> transform({ranges}, r -> named_struct('start', c.start + r.start, 'kind', 3, 'end', c.start + r.end))))"
-    df = df.withColumn("_entropy", F.expr(f"CASE WHEN size(_long) = 0 THEN cast(array() AS {_SPANS}) ELSE filter({moved}, s -> NOT exists(_base, b -> b.start < s.end AND s.start < b.end)) END"))
-    return df.withColumn("secret_spans", F.expr("array_sort(concat(_base, _entropy))")).drop("_t", "_assign", "_access", "_hex", "_long", "_base", "_entropy")
+    ranges = lambda kind: f"flatten(transform(transform(array(substring(c.m, b * {CHUNK} + 1, {CHUNK + WINDOW - 1})), s -> {_windows('s', kind)}), p -> transform(p, r -> named_struct('start', c.start + b * {CHUNK} + r.start, 'end', c.start + b * {CHUNK} + r.end))))"
+    pieces = f"flatten(transform(sequence(0, (length(c.m) - {WINDOW}) div {CHUNK}), b -> CASE WHEN c.hex THEN {ranges('hex')} ELSE {ranges('mixed')} END))"
+    classed = "transform(_long, c -> named_struct('start', c.start, 'm', c.m, 'hex', c.m RLIKE '^([0-9a-f]+|[0-9A-F]+)$'))"
+    none = "cast(array() AS array<struct<start:int,end:int>>)"
+    df = df.withColumn("_r", F.expr(f"CASE WHEN size(_long) = 0 THEN {none} ELSE flatten(transform({classed}, c -> {pieces})) END"))
+    df = df.withColumn("_u", F.expr(f"CASE WHEN size(_r) = 0 THEN {none} ELSE {_joined('_r', 'transform(_r, x -> x.end)')} END".replace("get(transform(_r, x -> x.end), i - 1)", "get(_r, i - 1).end")))
+    # Places where spans begin and end, with how many entropy spans (low half) and base spans (high half) cover what follows.
+    steps = "array_sort(concat(transform(_u, x -> named_struct('at', x.start, 'v', 1L)), transform(_u, x -> named_struct('at', x.end, 'v', -1L)), transform(_base, x -> named_struct('at', x.start, 'v', 4294967296L)), transform(_base, x -> named_struct('at', x.end, 'v', -4294967296L))))"
+    df = df.withColumn("_v", F.expr(f"CASE WHEN size(_u) = 0 THEN cast(array() AS array<struct<at:int,v:bigint>>) ELSE {steps} END"))
+    df = df.withColumn("_p", F.expr(f"CASE WHEN size(_v) = 0 THEN cast(array() AS array<struct<at:int,c:bigint>>) ELSE zip_with(_v, {_running('transform(_v, x -> x.v)')}, (x, c) -> named_struct('at', x.at, 'c', c)) END"))
+    free = "filter(transform(_p, (x, i) -> named_struct('start', x.at, 'kind', 3, 'end', get(_p, i + 1).at, 'c', x.c)), x -> x.end > x.start AND x.c > 0 AND x.c < 4294967296L)"
+    df = df.withColumn("_entropy", F.expr(f"transform({free}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"))
+    return df.withColumn("secret_spans", F.expr(f"cast(array_sort(concat(_base, _entropy)) AS {_SPANS})")).drop("_t", "_assign", "_access", "_hex", "_long", "_base", "_r", "_u", "_v", "_p", "_entropy")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -112,11 +137,12 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(found: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """Replaces the spans, joined where they overlap, by a mark; rows without spans keep their text."""
-    last = "element_at(acc, -1)"
-    merged = (
-        f"aggregate(secret_spans, cast(array() AS array<struct<start:int,end:int>>), (acc, x) -> CASE WHEN size(acc) > 0 AND {last}.end >= x.start "
-        f"THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end)))) ELSE concat(acc, array(named_struct('start', x.start, 'end', x.end))) END)"
-    )
-    pieces = f"transform(r, (x, i) -> concat(substring({text}, CASE WHEN i = 0 THEN 1 ELSE get(r, i - 1).end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE get(r, i - 1).end END), '{mark}'))"
-    cut = f"concat(array_join({pieces}, ''), substring({text}, element_at(r, -1).end + 1))"
-    return found.withColumn(text, F.expr(f"CASE WHEN size(secret_spans) = 0 THEN {text} ELSE element_at(transform(array({merged}), r -> {cut}), 1) END")).drop("secret_spans")
+    upto = _running("transform(secret_spans, x -> x.end)", "greatest(x, {})")
+    joined = f"element_at(transform(array({upto}), u -> {_joined('secret_spans', 'u')}), 1)"
+    begin = "CASE WHEN i = 0 THEN 0 ELSE get(r, i - 1).end END"
+    by_place = f"concat(array_join(transform(r, (x, i) -> concat(substring({text}, {begin} + 1, x.start - {begin}), '{mark}')), ''), substring({text}, element_at(r, -1).end + 1))"
+    ends = "concat(r, array(named_struct('start', size(c), 'end', size(c))))"
+    by_character = f"array_join(transform({ends}, (x, i) -> concat(array_join(slice(c, {begin} + 1, x.start - ({begin})), ''), CASE WHEN i < size(r) THEN '{mark}' ELSE '' END)), '')"
+    characters = f"element_at(transform(array(regexp_extract_all({text}, '(?s).', 0)), c -> {by_character}), 1)"
+    cut = f"element_at(transform(array({joined}), r -> CASE WHEN size(r) <= {FEW} THEN {by_place} ELSE {characters} END), 1)"
+    return found.withColumn(text, F.expr(f"CASE WHEN size(secret_spans) = 0 THEN {text} ELSE {cut} END")).drop("secret_spans")
