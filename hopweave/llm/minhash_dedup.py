@@ -16,7 +16,8 @@ capped or left to a further round.
 
 Nulls and empty texts have empty sets and no links. A row with a null doc_id is returned with a null component_id and
 kept. Repeated rows are linked as equal texts; each row is returned. Rows of one doc_id with different texts count as
-linked, and which of the texts stands for them is not defined. An empty table gives an empty one.
+linked, and join the groups that their texts belong to; its rows without words stay by themselves. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def likeliest(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = byte_list(batch.column(1))
+        texts = byte_list(batch.column("text"))
         for begin, end in slices(texts):
             known: dict[bytes, int] = {}
             places = [known.setdefault(t, len(known)) for t in texts[begin:end]]  # copies side by side are sketched once
@@ -121,12 +122,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     regs.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(begin, end - begin),
+                    batch.column("doc_id").slice(begin, end - begin),
+                    batch.column("h").slice(begin, end - begin),
                     pa.array([sizes[p] for p in places], pa.int64()),
                     pa.array([digests[p] for p in places], pa.binary()),
                     pa.array([regs[p] for p in places], pa.binary()),
                 ],
-                names=["doc_id", "n", "digest", "regs"],
+                names=["doc_id", "h", "n", "digest", "regs"],
             )
 
 
@@ -275,23 +277,32 @@ def _across(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
     return cells.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_cells(percent), "a long, b long")
 
 
+def _by_doc_id(worded: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between classes that share a doc_id, from the least class of each such doc_id to its others."""
+    several = worded.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    held = worded.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "rep"), "digest")
+    return held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, digest) of each row and (digest, component) of each class of equal non-empty sets."""
     least = percent / 100 - MARGIN
-    rows = scratch.keep(docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_sketch, "doc_id long, n long, digest binary, regs binary"))
-    classes = scratch.keep(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    )
+    texted = docs.select("doc_id", F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    rows = scratch.keep(texted.mapInArrow(_sketch, "doc_id long, h long, n long, digest binary, regs binary"))
+    worded = rows.where("n > 0 AND doc_id IS NOT NULL")
+    # A class goes by a number of its own, as one doc_id may have texts of several classes; its set comes from one of its rows.
+    chosen = worded.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = scratch.keep(chosen.select("digest", F.monotonically_increasing_id().alias("rep"), F.col("row.doc_id").alias("least"), F.col("row.h").alias("h"), "n", "regs"))
     bands = REGISTERS // BAND
     keyed = classes.select("rep", F.expr(f"explode(transform(sequence(0, {bands - 1}), j -> xxhash64(j, substring(regs, {2 * BAND} * j + 1, {2 * BAND}))))").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.keep(keyed.join(sizes, "key"))
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     sketches = scratch.keep(classes.select("rep", "n", "regs").join(weights, "rep"))
-    wanted = sketches.select("rep")
-    if wanted.count() <= BROADCAST_IDS:
+    wanted = classes.select("rep", F.col("least").alias("doc_id"), "h").join(sketches.select("rep"), "rep", "left_semi")
+    if sketches.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
+    texts = texted.join(wanted, ["doc_id", "h"])
     sets = scratch.keep(texts.groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets, "rep long, items binary"))
 
     hubs = members.join(sketches.select("rep", "weight"), "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a"))
@@ -300,7 +311,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
     sketched = star.join(second, "b").join(first, "a").where(f"least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)")
     likely = scratch.keep(sketched.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(least), "a long, b long"))
     first, second = (sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b"))
-    links = scratch.keep(likely.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"))
+    links = scratch.keep(likely.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long").unionByName(_by_doc_id(worded, classes)))
 
     found = scratch.keep(components(links, scratch))
     placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -309,8 +320,10 @@ def link_classes(docs: DataFrame, scratch: Scratch, percent: int = 85, text: str
     for table in (members, sketches, sets, likely, links, placed):
         scratch.drop(table)
     merged = components(joined, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    result = scratch.keep(named.join(merged, "component", "left").select("digest", F.coalesce("top", "component").alias("component")))
+    named = classes.select("digest", "least", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "least", F.coalesce("component", "rep").alias("component"))
+    result = scratch.keep(named.join(merged, "component", "left").select("digest", "least", F.coalesce("top", "component").alias("component")))
+    tops = result.groupBy("component").agg(F.min("least").alias("top"))
+    result = scratch.keep(result.join(tops, "component").select("digest", F.col("top").alias("component")))
     return rows.select("doc_id", "n", "digest"), result
 
 

@@ -85,3 +85,12 @@ def test_texts_are_split_in_slices(spark, monkeypatch):
     texts = [b"a" * 5, b"", b"b" * 20, b"c", b"d"]
     monkeypatch.setattr(m, "SLICE_BYTES", 8)
     assert list(m.slices(texts)) == [(0, 2), (2, 3), (3, 5)] and list(m.slices([])) == []
+
+
+def test_one_doc_id_with_texts_of_several_classes_links_them(spark):
+    w, v, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "wvu")
+    near = w + " w30"
+    rows = [(1, w), (2, v), (2, w), (3, v), (4, u), (4, "short text"), (5, near), (9, "short text"), (6, None), (6, u)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(frame, Scratch(spark, "t1")).collect())
+    assert out == [(1, 26, 1, True), (2, 26, 1, False), (2, 26, 1, False), (3, 26, 1, False), (4, 1, 4, True), (4, 26, 4, True), (5, 27, 1, False), (6, 0, 6, True), (6, 26, 4, False), (9, 1, 4, False)]
