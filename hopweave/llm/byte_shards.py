@@ -9,19 +9,24 @@ finer than the last, only inside the cells that still hold a splitter), until a
 most ``tolerance`` of a shard's bytes. A round returns at most 1024 cells for each splitter, whatever the input. The
 rows are then exchanged once, in cells of bounded size, and numbered from exact counts of the cells before them.
 
-A null text counts as empty. Rows of equal key and doc_id are neighbours in an order among them that is not defined.
-A null doc_id sorts first. Where doc_ids span more than 61 bits, a cut inside a group of copies may fall up to
+A null text counts as empty. Slots of a shard follow the key; cells of more than 2 * CELL_ROWS rows are cut by a hash of
+the row's plain columns, so that a group of copies is numbered by several tasks (rows equal in all of these stay in one).
+A null doc_id sorts first. Columns of the caller go along under any name, but for size, shard and slot, which are
+replaced. Where doc_ids span more than 61 bits, a cut inside a group of copies may fall up to
 three ids beside its place. An empty table gives an empty one. Built-in functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
+from hopweave.llm.columns import as_row, quoted
 from hopweave.llm.scratch import Scratch
 
 SHARDS, KEY_BITS, STEP_BITS, OVERHEAD = 24, 60, 10, 8
 CELL_ROWS = 50_000
+BROADCAST_CELLS = 1 << 20  # cells, of 16 bytes each
 
 
 def key_of(text: str) -> Column:
@@ -64,9 +69,9 @@ def _refine(rows: DataFrame, value: str, bits: int, wanted: dict[int, int], tole
 
 def assign(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, group_fraction: float = 0.05, tolerance: float = 0.0, text: str = "text") -> DataFrame:
     """docs with size, shard and slot (from 0 in each shard); replaces columns of those names."""
-    own = {"size", "shard", "slot", "_key", "_inner", "_cell", "_part", "_base"}
-    rest = [c for c in docs.columns if c.lower() not in own]
-    keyed = docs.select(*rest, size_of(text).alias("size"), key_of(text).alias("_key"))
+    rest = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    plain = [F.col(quoted(f.name)) for f in docs.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+    keyed = as_row(docs, F.col("doc_id"), size_of(quoted(text)).alias("size"), key_of(quoted(text)).alias("_key"), F.xxhash64(*plain).alias("_salt"))
     thin = scratch.keep(keyed.select("doc_id", "size", "_key"))
     total, count, least, most = thin.agg(F.sum("size"), F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     total, least, most = total or 0, least or 0, most or 0
@@ -90,20 +95,22 @@ def assign(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, group_fracti
     hot_sql = f"_key IN ({', '.join(map(str, hot))})" if hot else "false"
     past = [f"int(_key > {k} OR (_key = {k} AND _inner > {v}))" if v is not None else f"int(_key > {k})" for k, v in borders.values()]
     pieces = max(1, count // CELL_ROWS)
-    cell_bits = max(0, KEY_BITS - (pieces - 1).bit_length())
-    step = max(1, -(-(most - least + 2) // pieces))
-    split = keyed.withColumn("_inner", F.expr(f"CASE WHEN {hot_sql} THEN {place} ELSE 0L END"))
-    split = split.withColumns({"shard": F.expr(" + ".join(past) or "0"), "_cell": F.expr(f"shiftright(_key, {cell_bits})"), "_part": F.expr(f"CASE WHEN {hot_sql} THEN struct(_key, _inner div {step} + 1) ELSE struct(0L AS _key, 0L AS col2) END")})
+    cell = F.expr(f"shiftright(_key, {max(0, KEY_BITS - (pieces - 1).bit_length())})")
+    split = keyed.withColumn("_inner", F.expr(f"CASE WHEN {hot_sql} THEN {place} ELSE 0L END")).withColumn("_cell", cell)
+    split = split.withColumn("shard", F.expr(" + ".join(past) or "0"))
+    # Cells with many rows, for copies or by chance, are cut further by a hash of the whole row; at most one for each CELL_ROWS rows.
+    full = scratch.keep(thin.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * CELL_ROWS).select("_cell", F.expr(f"n div {CELL_ROWS} + 1").alias("_steps")))
+    full = F.broadcast(full) if count // CELL_ROWS <= BROADCAST_CELLS else full
+    split = split.join(full, "_cell", "left").withColumn("_step", F.expr("coalesce(pmod(_salt, _steps), 0L)"))
     return _numbered(split, rest, scratch)
 
 
 def _numbered(split: DataFrame, rest: list[str], scratch: Scratch) -> DataFrame:
-    """Order in a shard: cell, then key and doc_id. A hot key of a cell comes after the cell's other keys."""
-    split = split.withColumns({"_hot": F.col("_part")["_key"], "_step": F.col("_part")["col2"]}).drop("_part")
-    where = ["shard", "_cell", "_hot", "_step"]
+    """Order in a shard: cell and step, inside them key and doc_id."""
+    where = ["shard", "_cell", "_step"]
     counts = scratch.keep(split.groupBy(*where).agg(F.count(F.lit(1)).alias("_n")))
-    earlier = Window.partitionBy("shard").orderBy("_cell", "_hot", "_step").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard").orderBy("_cell", "_step").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*where, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     numbered = split.withColumn("_row", F.row_number().over(Window.partitionBy(*where).orderBy("_key", "_inner", "doc_id")))
     slot = (F.col("_base") + F.col("_row") - 1).alias("slot")
-    return numbered.join(bases, where).select(*rest, "size", "shard", slot)
+    return numbered.join(bases, where).select(*[F.col("row")[c].alias(c) for c in rest], "size", "shard", slot)

@@ -45,3 +45,17 @@ def test_ids_that_lie_far_apart(spark):
     for k in range(24):
         assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
     assert [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))] == [None, *sorted(d for d, _ in rows if d is not None)]
+
+
+def test_columns_of_inner_names_and_large_cells_below_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(b, "CELL_ROWS", 10)
+    rows = [(i if i % 2 else None, "copy" if i < 150 else f"text {i} " * 400, f"r{i}", i, True) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string, _key int, _hot boolean").withColumn("row", b.F.lit("own"))
+    seen = []
+    numbered = b._numbered
+    monkeypatch.setattr(b, "_numbered", lambda split, *more: seen.append(split.groupBy("shard", "_cell", "_step").count().agg({"count": "max"}).first()[0]) or numbered(split, *more))
+    out = b.assign(frame, Scratch(spark, "t4")).collect()
+    assert sorted((r._row, r._key, r._hot, r.row, r.text) for r in out) == sorted((r[2], r[3], r[4], "own", r[1]) for r in rows)
+    assert seen[0] <= 40 and len({r.shard for r in out if r.text == "copy"}) == 1
+    for k in range(24):
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
