@@ -8,6 +8,9 @@ removal spans per document.
 The benchmark is the query set: it is read in blocks of bounded size, and each block meets all rows in a pass of its
 own. Nulls have no words. Repeated rows are judged row by row; of an item_id that comes twice all windows count. Empty
 tables give an empty result, or no hits.
+
+An item without an item_id counts like others: its words are hit, and all such items together are one item, which the list of
+ids leaves out.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ class Phrases:
             for i in range(len(ids) - size + 1 if ids else 0):
                 found.setdefault(tuple(ids[i : i + size]), set()).add(item)
         self.patterns = [np.array(p, np.int64) for p in found]
-        self.items = [sorted(x) for x in found.values()]
+        self.items = [sorted(x, key=lambda i: (i is None, i or "")) for x in found.values()]
         self.lengths = np.array([len(p) for p in self.patterns], np.int64)
         self.least = int(self.lengths.min()) if len(self.lengths) else 0
 
@@ -89,7 +92,7 @@ def search(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[
     for pair in pairs.tolist():
         items.setdefault(pair // len(counts), set()).update(phrases.items[pair % len(counts)])
     for doc, found in spans.items():
-        out[doc] = (found, sorted(items[doc]))
+        out[doc] = (found, sorted(items[doc], key=lambda x: (x is None, x or "")))
     return out
 
 
@@ -128,7 +131,7 @@ def _blocks(benchmark: DataFrame, text: str) -> Iterator[list[tuple[str, list[by
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col(text)).toLocalIterator():
         own = words((row[1] or "").encode())
-        if own and row[0] is not None:
+        if own:
             block.append((row[0], own))
             size += len(own)
         if size >= BLOCK_WORDS:
@@ -148,8 +151,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: i
             continue
         if not results:  # a second block: rows need a key of their own to meet again
             source = scratch.keep(docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), F.col(text).alias("text")))
-            results.append(source.mapInArrow(_scan(first, width), schema))
-        results.append(source.mapInArrow(_scan(block, width), schema))
+            results.append(scratch.keep(source.mapInArrow(_scan(first, width), schema)))
+            first = []
+        results.append(scratch.keep(source.mapInArrow(_scan(block, width), schema)))  # now, so that the driver holds one block
     if not results:
         return source.mapInArrow(_scan(first or [], width), schema).drop("row_key")
     together = results[0]

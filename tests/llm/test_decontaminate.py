@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -41,3 +43,13 @@ def test_edge_rows_and_blocks(spark, monkeypatch, block):
     assert collect(d.report(d.find_spans(frame, bench, Scratch(spark, "t10")))) == brute.contamination(docs, items)
     assert d.find_spans(frame.limit(0), bench, Scratch(spark, "t10")).count() == 0
     assert not any(r.contaminated for r in d.report(d.find_spans(frame, bench.limit(0), Scratch(spark, "t10"))).collect())
+
+
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_items_without_an_id_are_hit(spark, monkeypatch, block):
+    monkeypatch.setattr(d, "BLOCK_WORDS", block)
+    frame = spark.createDataFrame([(1, "one two three"), (2, "x one two three four y"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (7, "three four"), (None, "four")], "item_id long, text string")
+    out = collect(d.report(d.find_spans(frame, bench, Scratch(spark, "t10"))))
+    seven = hashlib.sha256(b"7").hexdigest()
+    assert out == {1: (3, 3, 1, hashlib.sha256(b"").hexdigest(), True), 2: (6, 4, 2, seven, True), 3: (1, 0, 0, hashlib.sha256(b"").hexdigest(), False)}
