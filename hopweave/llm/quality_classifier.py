@@ -5,7 +5,7 @@ one aggregation of fixed size; covariances shrink towards the pooled one and its
 expression: forward substitution with the inverse Cholesky factors, which are literals of the plan.
 
 A null text has the features of an empty one and gets a score too. Repeated rows are scored alike; an empty table gives
-an empty one. Without labels of both classes there is nothing to learn, and every score is 0.5.
+an empty one. A row without doc_id is not held out, and has no label to learn from. Without labels of both classes there is nothing to learn, and every score is 0.5.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def score(featured: DataFrame, model: Model | float) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0")
+    return F.expr("coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0, false)")
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:

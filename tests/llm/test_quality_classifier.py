@@ -67,3 +67,10 @@ def test_edge_rows(spark):
     for r in out:
         by.setdefault(r.doc_id, set()).add(r.score)
     assert len(by[6]) == 1 and by[3] == by[4]
+
+
+def test_a_row_without_doc_id_is_not_held_out(spark):
+    docs = spark.createDataFrame([(None, "some words of a text"), (3, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: (r.held_out, r.score) for r in q.classify(docs, labels, Scratch(spark, "t5")).collect()}
+    assert out[None] == (False, 0.5) and out[3][0] in (True, False)
