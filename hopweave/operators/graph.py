@@ -7,6 +7,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hopweave.functions.numeric import norm
+from hopweave.operators import angular
 from hopweave.sources.shared import forget, kept_by
 
 
@@ -56,55 +57,11 @@ def neighbours(edges: DataFrame, idf: DataFrame, top: int = 32) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("src", "dst", "score", "rank")
 
 
-KNN_ROWS = 2048  # rows of one side in a block
 
 
-def knn(vectors: DataFrame, k: int, least: float | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """Cosine neighbours (src, dst, score, rank) of each query row (vec_id, embedding) among all vectors, itself left out.
-
-    The query set meets all rows in blocks of about KNN_ROWS of either side, a matrix product in each pair of blocks; only
-    the k best of a block leave it.
-    """
-    import numpy as np
-    import pandas as pd
-
-    asked = (queries if queries is not None else vectors).select(F.col("vec_id").alias("src"), F.col("embedding").alias("q"))
-    n_q, n_v = (max(1, -(-df.count() // KNN_ROWS)) for df in (asked, vectors))
-    # Both sides need block numbers of one type: a long and an int of the same value hash to different partitions.
-    block_q = asked.withColumn("qb", F.expr(f"int(pmod(xxhash64(src), {n_q}))"))
-    block_v = vectors.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("v")).withColumn("vb", F.expr(f"int(pmod(xxhash64(dst), {n_v}))"))
-    grid = lambda df, other, n: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"src": [], "dst": [], "score": []})
-        q, v = (np.stack(x.to_list()).astype(float) for x in (left["q"], right["v"]))
-        q, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, v))
-        # Ties go to the smaller id: columns are sorted by it and the sort is stable.
-        order = np.argsort(right["dst"].to_numpy(), kind="stable")
-        v, names, asker, out = v[order], right["dst"].to_numpy()[order], left["src"].to_numpy(), []
-        # So many askers at a time that the scores stay within a few MB, however large a block is.
-        for at in range(0, len(q), rows := max(1, 1_000_000 // len(v))):
-            own = asker[at : at + rows]
-            score = np.round(q[at : at + rows] @ v.T, 6)
-            score[own[:, None] == names[None, :]] = -np.inf
-            if least is None:
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                i, j = np.nonzero(np.isfinite(np.take_along_axis(score, top, 1)))
-                j = top[i, j]
-            else:  # few reach it, so only those are sorted
-                i, j = np.nonzero(score >= least)
-                best = np.lexsort((j, -score[i, j], i))
-                i, j = i[best], j[best]
-                near = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j = i[near], j[near]
-            out.append(pd.DataFrame({"src": own[i], "dst": names[j], "score": score[i, j]}))
-        return pd.concat(out)
-
-    part = grid(block_q, "vb", n_v).groupBy("qb", "vb").cogroup(grid(block_v, "qb", n_q).groupBy("qb", "vb"))
-    pairs = part.applyInPandas(nearest, "src long, dst long, score double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+def knn(vectors: DataFrame, k: int, least: float | None = None, queries: DataFrame | None = None, report=None) -> DataFrame:
+    """Cosine neighbours (src, dst, score, rank) of each query row (vec_id, embedding) among all vectors, itself left out."""
+    return angular.neighbours(vectors, k, least, queries, report)
 
 
 def synonym_edges(vectors: DataFrame, least: float = 0.8, at_most: int = 101, labels: DataFrame | None = None) -> DataFrame:
