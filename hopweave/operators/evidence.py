@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hopweave.functions.text import HASH_LIKE, MISSING_ANSWERS, PLACEHOLDER, evidence_norm
+from hopweave.operators import prefixes
+from hopweave.sources.shared import forget, keep
 
 
 def hypothesis_reasons(hypotheses: DataFrame, documents: DataFrame, cited: bool = True) -> DataFrame:
@@ -84,80 +86,78 @@ def plan_issues(nodes: DataFrame, most_nodes: int = 6) -> DataFrame:
     return joined.select("plan_id", "id", reason.alias("reason"))
 
 
-_PATHS = "query_id long, step int, passage string, objective double"
-
-
-def _greedy_paths(size: int, balance: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        target = {e for nodes in group["targets"] for e in nodes}
-        left, covered, used, out = group.to_dict("records"), set(), set(), []
-        for step in range(size):
-            best = None
-            for row in left:
-                if row["passage"] in used:
-                    continue
-                gain = len(set(row["nodes"]) & target - covered) / max(1, len(target))
-                value = (1 - balance) * row["total"] + balance * gain
-                order = (-round(value, 12), row["passage"], list(row["nodes"]))
-                if best is None or order < best[0]:
-                    best = (order, row, value)
-            if best is None:
-                break
-            used.add(best[1]["passage"])
-            covered |= set(best[1]["nodes"])
-            out.append((best[1]["query_id"], step, best[1]["passage"], best[2]))
-        return pd.DataFrame(out, columns=["query_id", "step", "passage", "objective"])
-
-    return run
-
-
-def greedy_paths(paths: DataFrame, size: int = 12, balance: float = 0.35) -> DataFrame:
-    """paths: query_id, passage, nodes, total, targets. Picks by score and new coverage; a query has a bounded pool."""
-    return paths.groupBy("query_id").applyInPandas(_greedy_paths(size, balance), _PATHS)
-
-
-def _prefix(slots: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        goals = {g for gs in group["goals"] for g in gs}
-        left, covered, picked, out = group.sort_values("passage").to_dict("records"), set(), [], []
-        for step in range(slots):
-            best = None
-            for row in left:
-                own, words = set(row["goals"]), set(row["tokens"])
-                twin = max((len(words & p) / max(1, len(words | p)) for p in picked), default=0.0)
-                value = 0.4 * row["base"] + 0.25 * row["goal_score"] + 0.45 * len(own - covered) / max(1, len(goals)) - 0.15 * twin
-                if best is None or value > best[0] + 1e-12:
-                    best = (value, row)
-            if best is None:
-                break
-            left.remove(best[1])
-            covered |= set(best[1]["goals"])
-            picked.append(set(best[1]["tokens"]))
-            out.append((best[1]["query_id"], step, best[1]["passage"], best[0]))
-        return pd.DataFrame(out, columns=["query_id", "step", "passage", "objective"])
-
-    return run
-
-
-def evidence_prefix(candidates: DataFrame, slots: int = 5) -> DataFrame:
-    """candidates: query_id, passage, base, goal_score, goals, tokens. Marginal utility of base, goals and redundancy."""
-    return candidates.groupBy("query_id").applyInPandas(_prefix(slots), _PATHS)
-
-
-MOST_NODES = 20  # of a plan whose subsets are listed: about a million
-
-
-def closed_subsets(plans: DataFrame) -> DataFrame:
-    """plans: plan_id, n nodes, parents (array of bit masks by node). All masks whose nodes' parents are in them; a plan of
-    more than MOST_NODES nodes is an error, as it has too many."""
+def greedy_paths(paths: DataFrame, size: int = 12, balance: float = 0.35, keep: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
+    """paths: query_id, passage, nodes, total, targets. (query_id, step, passage, objective): a path a round for every query,
+    by score and targets newly covered; ties to the least passage, then nodes. A query has a bounded pool of paths."""
+    target = paths.select("query_id", F.explode_outer("targets").alias("t")).groupBy("query_id").agg(F.collect_set("t").alias("target"))
+    rows = keep(paths.join(target, "query_id").select("query_id", "passage", "nodes", "total", F.array_intersect("nodes", "target").alias("hits"), F.size("target").alias("n")))
+    none = F.array().cast("array<string>")
+    state = rows.select("query_id").distinct().withColumns({"covered": none, "used": none})
+    out = None
+    for step in range(size):
+        met = rows.join(state, "query_id").where(~F.array_contains("used", F.col("passage")))
+        value = (1 - balance) * F.col("total") + balance * F.size(F.array_except("hits", "covered")) / F.greatest(F.lit(1), F.col("n"))
+        best = F.min(F.struct((-F.round(value, 12)).alias("loss"), "passage", "nodes", value.alias("objective"), "hits", "covered", "used")).alias("b")
+        picked = keep(met.groupBy("query_id").agg(best))
+        row = picked.select("query_id", F.lit(step).alias("step"), "b.passage", "b.objective")
+        out = row if out is None else out.unionByName(row)
+        state = picked.select("query_id", F.array_union("b.covered", "b.hits").alias("covered"), F.concat("b.used", F.array("b.passage")).alias("used"))
+    return out
+
+
+def evidence_prefix(candidates: DataFrame, slots: int = 5, keep: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
+    """candidates: query_id, passage, base, goal_score, goals, tokens. (query_id, step, passage, objective) by marginal utility
+    of base, goals and redundancy."""
+    return prefixes.greedy(prefixes.items(candidates, keep), slots, keep)
+
+
+MOST_NODES = 62  # a plan's nodes are bits of a long
+
+
+def _bit(i: str) -> str:
+    return f"shiftleft(1L, {i})"
+
+
+def closed_subsets(plans: DataFrame, keep: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
+    """plans: plan_id, n nodes, parents (array of bit masks by node). (plan_id, mask, size) of every non-empty set of nodes
+    that holds the parents of its nodes.
+
+    Nodes are decided one by one: taking a node takes its ancestors too, leaving it leaves its descendants. Each half-made
+    choice leads to a closed set, so no more rows come up than there are sets, however many nodes the plan has."""
     n = F.when(F.col("n") <= MOST_NODES, F.col("n")).otherwise(F.raise_error(F.concat(F.lit(f"more than {MOST_NODES} nodes in plan "), F.col("plan_id").cast("string"))).cast("int"))
-    masks = plans.withColumn("n", n).where("n > 0").select("plan_id", "n", "parents", F.explode(F.expr("sequence(1, int(shiftleft(1, n) - 1))")).alias("mask"))
-    closed = F.expr("forall(sequence(0, n - 1), i -> (mask & int(shiftleft(1, i))) = 0 OR (get(parents, i) & mask) = get(parents, i))")
-    return masks.where(closed).select("plan_id", "mask", F.bit_count("mask").alias("size"))
+    rows = plans.where("n > 0").select("plan_id", n.alias("n"), F.col("parents").cast("array<bigint>").alias("parents"))
+    # Ancestors of all nodes by Warshall's algorithm over the masks, each node with itself; then the other way round.
+    up = f"aggregate(sequence(0, n - 1), transform(sequence(0, n - 1), i -> coalesce(get(parents, i), 0L) | {_bit('i')}), (acc, k) -> transform(acc, m -> CASE WHEN (m & {_bit('k')}) <> 0 THEN m | get(acc, k) ELSE m END))"
+    down = f"transform(sequence(0, n - 1), i -> aggregate(sequence(0, n - 1), 0L, (m, j) -> CASE WHEN (get(up, j) & {_bit('i')}) <> 0 THEN m | {_bit('j')} ELSE m END))"
+    rows = keep(rows.withColumn("up", F.expr(up)).withColumn("down", F.expr(down)).select("plan_id", "n", "up", "down", F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("left_out")))
+    for i in range(rows.agg(F.max("n")).first()[0] or 0):
+        choice = f"array(struct(held | get(up, {i}) AS held, left_out AS left_out), struct(held AS held, left_out | get(down, {i}) AS left_out))"
+        rows = rows.withColumn("c", F.expr(f"explode(CASE WHEN n > {i} AND ((held | left_out) & {_bit(str(i))}) = 0 THEN {choice} ELSE array(struct(held AS held, left_out AS left_out)) END)"))
+        rows = rows.select("plan_id", "n", "up", "down", "c.held", "c.left_out")
+        if i % 8 == 7:
+            rows = keep(rows)
+    return rows.where("held <> 0").select("plan_id", F.col("held").alias("mask"), F.bit_count("held").alias("size"))
+
+
+def packages(plans: DataFrame, proofs: DataFrame, most: int = 3, keep: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
+    """Closed node sets with a proof for each node. proofs: plan_id, node (place), passage, quality; the ``most`` best of a
+    node are choices. (plan_id, mask, passages by node, quality: the least of the set's)."""
+    rank = F.row_number().over(Window.partitionBy("plan_id", "node").orderBy(F.desc("quality"), "passage"))
+    best = proofs.withColumn("_rank", rank).where(F.col("_rank") <= most).select("plan_id", "node", F.struct("passage", "quality").alias("choice"))
+    choices = keep(best.groupBy("plan_id", "node").agg(F.array_sort(F.collect_list("choice")).alias("choices")))
+    lists = choices.groupBy("plan_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "choices"))).alias("by_node"))
+    rows = closed_subsets(plans, keep).join(lists, "plan_id").withColumns({"passages": F.expr("cast(array() AS array<string>)"), "quality": F.lit(1.0)})
+    for i in range(plans.agg(F.max("n")).first()[0] or 0):
+        none = "array(named_struct('passage', cast(NULL AS string), 'quality', 1.0D))"
+        rows = rows.withColumn("c", F.expr(f"explode(CASE WHEN (mask & {_bit(str(i))}) = 0 THEN {none} ELSE coalesce(try_element_at(by_node, {i}), cast(array() AS array<struct<passage:string,quality:double>>)) END)"))
+        rows = rows.withColumns({"passages": F.expr("CASE WHEN c.passage IS NULL THEN passages ELSE concat(passages, array(c.passage)) END"), "quality": F.least("quality", "c.quality")}).drop("c")
+        if i % 8 == 7:
+            rows = keep(rows)
+    return rows.select("plan_id", "mask", "passages", "quality")
 
 
 def best_set(candidates: list[tuple[str, int, float]], size: int) -> tuple[int, float, tuple[str, ...]]:
-    """Exact dynamic program over (count, covered mask): the widest coverage, then utility, then the least names."""
+    """Exact dynamic program over (count, covered mask) for one list: the widest coverage, then utility, then the least names."""
     states: dict[tuple[int, int], tuple[float, tuple[str, ...]]] = {(0, 0): (0.0, ())}
     for name, mask, utility in sorted(candidates):
         for (n, covered), (value, names) in list(states.items()):
@@ -169,6 +169,32 @@ def best_set(candidates: list[tuple[str, int, float]], size: int) -> tuple[int,
     return mask, value, names
 
 
+def best_sets(candidates: DataFrame, size: int, keep: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
+    """best_set of every query. candidates: query_id, name, mask, utility; (query_id, mask, value, names). Values count to
+    twelve places.
+
+    Candidates lie in the order of their names. Neighbouring runs of candidates are joined, state by state, run lengths
+    doubling each round; of the states of one run with equal count and mask only the best stays, so a run has at most
+    (size + 1) * 2 ** bits of them and a pool of 80 takes seven rounds."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("name")) - 1
+    empty = F.expr("struct(0 AS n, 0L AS mask, 0.0D AS value, cast(array() AS array<string>) AS names)")
+    one = F.struct(F.lit(1).alias("n"), F.col("mask").cast("long").alias("mask"), F.col("utility").cast("double").alias("value"), F.array("name").alias("names"))
+    states = keep(candidates.withColumn("run", rank).select("query_id", "run", F.explode(F.array(empty, one)).alias("s")).select("query_id", "run", "s.*"))
+    while (states.agg(F.max("run")).first()[0] or 0) > 0:
+        even = states.where("run % 2 = 0").withColumn("run", F.expr("run div 2"))
+        odd = states.where("run % 2 = 1").select("query_id", F.expr("run div 2").alias("run"), *[F.col(c).alias(f"o_{c}") for c in ("n", "mask", "value", "names")])
+        both = even.join(odd, ["query_id", "run"], "left").where(F.col("o_n").isNull() | (F.col("n") + F.col("o_n") <= size))
+        made = both.select(
+            "query_id", "run", (F.col("n") + F.coalesce("o_n", F.lit(0))).alias("n"), F.col("mask").bitwiseOR(F.coalesce("o_mask", F.lit(0).cast("long"))).alias("mask"),
+            F.round(F.col("value") + F.coalesce("o_value", F.lit(0.0)), 12).alias("value"), F.concat("names", F.coalesce("o_names", F.expr("cast(array() AS array<string>)"))).alias("names"),
+        )
+        best = made.groupBy("query_id", "run", "n", "mask").agg(F.min(F.struct((-F.col("value")).alias("v"), "names")).alias("b"))
+        before, states = states, keep(best.select("query_id", "run", "n", "mask", (-F.col("b.v")).alias("value"), "b.names"))
+        forget(before)
+    chosen = F.min(F.struct((-F.bit_count("mask")).alias("covered"), (-F.col("value")).alias("v"), "names", "mask")).alias("b")
+    return states.where(F.col("n") <= size).groupBy("query_id").agg(chosen).select("query_id", "b.mask", (-F.col("b.v")).alias("value"), "b.names")
+
+
 def bindings(options: dict[str, list[str]]) -> list[dict[str, str]]:
     """All combinations of a level's answers."""
     return [dict(zip(options, values)) for values in itertools.product(*options.values())]

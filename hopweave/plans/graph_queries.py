@@ -293,7 +293,9 @@ def orphan_entities_on_delete(spark, sf_dir):
     return G.delete_chunks(star_triples(spark, sf_dir), gone)[1]
 
 
-@query(f"WITH {FACTS}, old AS (SELECT src, dst, CASE WHEN weight > 2 THEN weight - 1 ELSE weight END AS weight FROM facts WHERE NOT src LIKE 'supplier 1%') SELECT src, dst, f.weight AS expected, o.weight AS actual, CASE WHEN o.src IS NULL THEN 'missing' WHEN f.src IS NULL THEN 'unexpected' ELSE 'weight' END AS issue FROM facts f FULL JOIN old o USING (src, dst) WHERE o.src IS NULL OR f.src IS NULL OR o.weight <> f.weight")
+# What must come out, said without the join that is tested: the stored edges lack some sources and one of each larger weight.
+@query(f"""WITH {FACTS} SELECT src, dst, weight AS expected, CASE WHEN src LIKE 'supplier 1%' THEN NULL ELSE weight - 1 END AS actual, CASE WHEN src LIKE 'supplier 1%' THEN 'missing' ELSE 'weight' END AS issue
+  FROM facts WHERE src LIKE 'supplier 1%' OR weight > 2""")
 def edge_audit(spark, sf_dir):
     edges = G.fact_edges(star_triples(spark, sf_dir))
     stored = edges.where("NOT src LIKE 'supplier 1%'").withColumn("weight", F.when(F.col("weight") > 2, F.col("weight") - 1).otherwise(F.col("weight")))
@@ -324,7 +326,7 @@ def prune_store(spark, sf_dir):
     return G.prune(ids.select("p_partkey", "hash_id"), ids.where("p_size < 25"))
 
 
-@query(f"WITH {FACTS}, syn AS (SELECT src, dst, 0.5 AS w FROM facts WHERE src LIKE 'customer 1%') SELECT src, dst, coalesce(w, weight)::DOUBLE AS weight FROM facts LEFT JOIN syn USING (src, dst)")
+@query(f"WITH {FACTS} SELECT src, dst, CASE WHEN src LIKE 'customer 1%' THEN 0.5 ELSE weight END::DOUBLE AS weight FROM facts")
 def synonym_overwrite(spark, sf_dir):
     edges = G.fact_edges(star_triples(spark, sf_dir))
     return G.merge_edges(edges, edges.where("src LIKE 'customer 1%'").withColumn("weight", F.lit(0.5)))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from hopweave.functions import repair, text as X
 from hopweave.operators import evidence as V
+from hopweave.operators import prefixes as PX
 from hopweave.operators import providers as P
 from hopweave.operators import ranking as R
 from hopweave.plans.graph_queries import _paths
 from hopweave.plans.registry import query
+from hopweave.sources.shared import keep
 from hopweave.sources.tables import table
 from hopweave.streaming.ingest import windowed_counts
 
@@ -53,8 +55,7 @@ def greedy_path_set(spark, sf_dir):
     return V.greedy_paths(pool.select("query_id", "passage", "nodes", "total", "targets")).withColumn("objective", F.round("objective", 6))
 
 
-@query()
-def evidence_prefix(spark, sf_dir):
+def _pool(spark, sf_dir):
     """All documents of a source are scored; the pool is the best of them, and only its texts are read into tokens."""
     d = table(spark, sf_dir, "documents")
     named = d.withColumns({"query_id": F.expr("bigint(substring(source, 4))"), "passage": F.col("doc_id").cast("string")})
@@ -65,8 +66,84 @@ def evidence_prefix(spark, sf_dir):
     texts = named.select("query_id", "passage", "lang", "text").join(pool, ["query_id", "passage"])
     tokens = texts.select("query_id", "passage", "base", "goal_score", "lang", X.tokens(X.surface_norm(F.col("text"))).alias("tokens"))
     # Repeated rows of a document are one candidate.
-    c = tokens.groupBy("query_id", "passage", "base", "goal_score").agg(F.collect_set("lang").alias("goals"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
-    return V.evidence_prefix(c).withColumn("objective", F.round("objective", 6))
+    return tokens.groupBy("query_id", "passage", "base", "goal_score").agg(F.collect_set("lang").alias("goals"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+
+
+@query()
+def evidence_prefix(spark, sf_dir):
+    return V.evidence_prefix(_pool(spark, sf_dir)).withColumn("objective", F.round("objective", 6))
+
+
+def _proven(spark, sf_dir):
+    """The pool with goal scores, its base order, proofs of its documents for their languages, and a plan over languages."""
+    pool = keep(_pool(spark, sf_dir).withColumn("goals", F.map_from_arrays("goals", F.transform("goals", lambda g: F.col("goal_score")))))
+    ranked = pool.select("query_id", "passage", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "passage")).alias("rank"))
+    number = F.col("passage").cast("long")
+    proofs = pool.select("query_id", "passage", F.explode(F.map_keys("goals")).alias("goal"), (number % 11 / 11.0).alias("quality"), (number % 3 != 0).alias("accepted"))
+    needs = {"en": [], "de": ["en"], "fr": ["de"], "es": ["en"]}
+    plan = spark.createDataFrame(list(needs.items()), "goal string, needs array<string>")
+    return pool, ranked, proofs, pool.select("query_id").distinct().join(F.broadcast(plan))
+
+
+@query()
+def joint_prefix(spark, sf_dir):
+    pool, _, proofs, plan = _proven(spark, sf_dir)
+    return PX.joint_prefix(pool, PX.bundles(proofs, plan, keep), keep)
+
+
+@query()
+def continuous_prefix(spark, sf_dir):
+    pool, ranked, proofs, plan = _proven(spark, sf_dir)
+    return PX.continuous_prefix(ranked, pool, PX.bundles(proofs, plan, keep), keep)
+
+
+@query()
+def dependency_prefix(spark, sf_dir):
+    _, ranked, proofs, plan = _proven(spark, sf_dir)
+    return PX.dependency_prefix(ranked, proofs, plan, keep)
+
+
+_SET_ROWS = """SELECT o_custkey AS query_id, name, bit_or(bit)::BIGINT AS mask, max(u) AS utility FROM
+  (SELECT o_custkey, 'part ' || l_partkey AS name, 1 << ((month(l_shipdate) - 1) // 2) AS bit, round(l_discount, 2) AS u FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ALL"""
+
+
+@query(
+    f"""WITH c AS MATERIALIZED ({_SET_ROWS}), s AS (
+      SELECT query_id, 0::BIGINT AS mask, 0.0::DOUBLE AS value, '' AS names FROM (SELECT DISTINCT query_id FROM c) UNION ALL SELECT query_id, mask, utility, name FROM c
+      UNION ALL SELECT a.query_id, a.mask | b.mask, a.utility + b.utility, a.name || ',' || b.name FROM c a JOIN c b ON a.query_id = b.query_id AND a.name < b.name
+      UNION ALL SELECT a.query_id, a.mask | b.mask | d.mask, a.utility + b.utility + d.utility, a.name || ',' || b.name || ',' || d.name FROM c a JOIN c b ON a.query_id = b.query_id AND a.name < b.name JOIN c d ON b.query_id = d.query_id AND b.name < d.name),
+    m AS (SELECT query_id, max(bit_count(mask) * 1000 + round(value * 100)) AS best FROM s GROUP BY 1)
+    SELECT query_id, arg_min(mask, names) AS mask, round(min(value), 6) AS value, min(names) AS names FROM s JOIN m USING (query_id) WHERE bit_count(mask) * 1000 + round(value * 100) = best GROUP BY 1"""
+)
+def best_sets(spark, sf_dir):
+    """The three parts of each customer that were shipped in most pairs of months, at the greatest discounts."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("query_id"))
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    bit = F.expr("shiftleft(1L, int((month(l_shipdate) - 1) div 2))")
+    c = lines.groupBy("query_id", F.concat(F.lit("part "), F.col("l_partkey")).alias("name")).agg(F.bit_or(bit).alias("mask"), F.max(F.round("l_discount", 2)).alias("utility"))
+    return V.best_sets(c, 3).select("query_id", "mask", F.round("value", 6).alias("value"), F.array_join("names", ",").alias("names"))
+
+
+_PLAN_ROWS = "SELECT l_orderkey AS plan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::INT - 1 AS node, min(l_partkey) AS p, max(l_quantity) AS q, min(l_discount) AS d, min(l_tax) AS t FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@query(
+    f"""WITH RECURSIVE l AS MATERIALIZED ({_PLAN_ROWS}), n AS (SELECT plan_id, count(*) AS n FROM l GROUP BY 1),
+    proofs AS MATERIALIZED (SELECT plan_id, node, 'part ' || p AS passage, round(1 - d, 2) AS quality FROM l UNION ALL SELECT plan_id, node, 'order ' || plan_id, round(1 - t, 2) FROM l WHERE q > 45),
+    m AS (SELECT plan_id, n, unnest(range(1, (1 << n)::BIGINT)) AS mask FROM n),
+    closed AS (SELECT * FROM m WHERE len(list_filter(range(0, n), lambda i: i % 2 = 1 AND (mask >> i::BIGINT) & 1 = 1 AND (mask >> (i - 1)::BIGINT) & 1 = 0)) = 0),
+    r AS (SELECT plan_id, mask, n, 0 AS i, ''::VARCHAR AS passages, 1.0::DOUBLE AS quality FROM closed
+      UNION ALL SELECT r.plan_id, mask, n, i + 1, CASE WHEN p.passage IS NULL THEN passages WHEN passages = '' THEN p.passage ELSE passages || ',' || p.passage END, least(r.quality, coalesce(p.quality, 1.0)) FROM r LEFT JOIN proofs p ON p.plan_id = r.plan_id AND p.node = i AND (mask >> i::BIGINT) & 1 = 1 WHERE i < n)
+    SELECT plan_id, mask, passages, quality FROM r WHERE i = n"""
+)
+def proof_packages(spark, sf_dir):
+    """Orders as plans whose every second line depends on the one before: closed sets of lines with each choice of proofs."""
+    w = Window.partitionBy("plan_id").orderBy("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.min("l_tax").alias("t")).withColumn("node", F.row_number().over(w) - 1)
+    plans = lines.groupBy("plan_id").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("parents", F.expr("transform(sequence(0, n - 1), i -> CASE WHEN i % 2 = 1 THEN shiftleft(1L, i - 1) ELSE 0L END)"))
+    proofs = lines.select("plan_id", "node", F.concat(F.lit("part "), F.col("p")).alias("passage"), F.round(1 - F.col("d"), 2).alias("quality"))
+    proofs = proofs.unionByName(lines.where("q > 45").select("plan_id", "node", F.concat(F.lit("order "), F.col("plan_id")).alias("passage"), F.round(1 - F.col("t"), 2).alias("quality")))
+    return V.packages(plans, proofs).select("plan_id", "mask", F.array_join("passages", ",").alias("passages"), "quality")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

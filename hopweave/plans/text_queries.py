@@ -250,7 +250,7 @@ def closed_subsets(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), "l_linenumber").distinct().groupBy("plan_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"))
     parents = F.expr("transform(sequence(0, n - 1), i -> CASE WHEN i = 0 THEN 0 ELSE int(shiftleft(1, i - 1)) END)")
-    return V.closed_subsets(lines.join(orders, "plan_id").withColumn("parents", parents)).select("plan_id", "mask", F.col("size").cast("int").alias("size"))
+    return V.closed_subsets(lines.join(orders, "plan_id").withColumn("parents", parents)).select("plan_id", F.col("mask").cast("int").alias("mask"), F.col("size").cast("int").alias("size"))
 
 
 @query("SELECT l_orderkey AS query_id, l_partkey AS removed, l_suppkey AS added, l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) AS vetoed FROM lineitem")

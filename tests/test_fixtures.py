@@ -86,8 +86,14 @@ def test_deep_and_large_plans(spark):
     plans = spark.createDataFrame([(1, 13, parents[0]), (2, 13, parents[1])], "plan_id long, n int, parents array<int>")
     out = V.closed_subsets(plans).collect()
     assert sorted(r.mask for r in out if r.plan_id == 1) == [(1 << i) - 1 for i in range(1, 14)] and sum(r.plan_id == 2 for r in out) == (1 << 13) - 1
-    with pytest.raises(Exception, match="more than 20 nodes"):
-        V.closed_subsets(spark.createDataFrame([(1, 21, [0] * 21)], "plan_id long, n int, parents array<int>")).collect()
+    long = [0] + [1 << (i - 1) for i in range(1, 62)]
+    ring = [2, 1, 2]  # two nodes that need each other, and one that needs them
+    wide = spark.createDataFrame([(1, 62, long), (2, 3, ring), (3, 14, [0] * 14)], "plan_id long, n int, parents array<long>")
+    out = V.closed_subsets(wide).collect()
+    assert sorted(r.mask for r in out if r.plan_id == 1) == [(1 << i) - 1 for i in range(1, 63)]
+    assert sorted(r.mask for r in out if r.plan_id == 2) == [3, 7] and sum(r.plan_id == 3 for r in out) == (1 << 14) - 1
+    with pytest.raises(Exception, match="more than 62 nodes"):
+        V.closed_subsets(spark.createDataFrame([(1, 63, [0] * 63)], "plan_id long, n int, parents array<long>")).collect()
 
 
 def test_plans(spark):
