@@ -92,22 +92,63 @@ def paired(base: DataFrame, other: DataFrame, metric: str) -> DataFrame:
     )
 
 
+LEAF_ROWS, MOST_LEAVES, AT_ONCE = 4096, 4096, 100
+
+
+def _draws(sizes: list[int], leaf: int, seed: list[int], repetitions: int):
+    """How many of each repetition's draws fall on a leaf, of as many draws as there are rows. Going down a tree over the
+    leaves, each node's draws are split by a binomial draw whose seed is the node's, so all leaves agree on it."""
+    import numpy as np
+
+    low, high, node = 0, len(sizes), 1
+    m = np.full(repetitions, sum(sizes))
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, total = sum(sizes[low:middle]), sum(sizes[low:high])
+        taken = np.random.default_rng([*seed, node]).binomial(m, left / total if total else 0.0)
+        if leaf < middle:
+            m, high, node = taken, middle, 2 * node
+        else:
+            m, low, node = m - taken, middle, 2 * node + 1
+    return m
+
+
+def _leaf_sums(sizes: dict, repetitions: int, seed: int):
+    import numpy as np
+    import pandas as pd
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        stratum, leaf = int(group["stratum_no"].iloc[0]), int(group["leaf"].iloc[0])
+        d = group.sort_values(["row_id", "d"])["d"].to_numpy(float)
+        m = _draws(sizes[stratum], leaf, [seed, stratum], repetitions)
+        rng, sums = np.random.default_rng([seed, stratum, leaf, 0]), np.zeros(repetitions)
+        for begin in range(0, repetitions, AT_ONCE):
+            own = m[begin : begin + AT_ONCE]
+            drawn = d[rng.integers(0, len(d), int(own.sum()))]
+            sums[begin : begin + AT_ONCE] = np.bincount(np.repeat(np.arange(len(own)), own), drawn, len(own))
+        return pd.DataFrame({"rep": np.arange(repetitions), "total": sums})
+
+    return run
+
+
 def bootstrap_interval(rows: DataFrame, repetitions: int = 2000, seed: int = 42) -> DataFrame:
-    """Order-statistic 95 % interval of the mean difference: rows (stratum, d), resampled within strata.
-
-    Each row takes part in each repetition as often as a Poisson(1) draw says, derived from its hash, so a lost task
-    repeats its draws; only sums by repetition are shuffled."""
-    u = F.expr(f"pmod(xxhash64(rep, row_id, {seed}), 1000000007L) / 1000000007D")
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    times = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = rows.select("stratum", "d", "row_id", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep")).withColumn("u", u).withColumn("k", times)
-    sums = drawn.groupBy("rep", "stratum").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("d")).alias("kd"))
-    size = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
-    means = sums.where("k > 0").join(size, "stratum").groupBy("rep").agg((F.sum(F.col("size") * F.col("kd") / F.col("k")) / F.sum("size")).alias("m"))
+    """Order-statistic 95 % interval of the mean difference: rows (stratum, d, row_id), resampled within strata.
+
+    Each repetition draws exactly as many rows of a stratum as it has. Rows lie in leaves by a hash of their id; how many
+    draws fall on a leaf comes from a tree of binomial splits, and the leaf makes them. No row is copied, only a sum for
+    each leaf and repetition leaves its task, and a lost task repeats its draws. A null d is left out."""
+    real = rows.where("d IS NOT NULL").select("stratum", "d", "row_id")
+    strata = [r["stratum"] for r in real.select("stratum").distinct().orderBy("stratum").collect()]  # few
+    leaves = max(1, min(MOST_LEAVES, -(-real.count() // LEAF_ROWS)))
+    number = sum((F.when(F.col("stratum").eqNullSafe(F.lit(s)), i).otherwise(0) for i, s in enumerate(strata)), F.lit(0))
+    placed = real.select("d", "row_id", number.alias("stratum_no"), F.expr(f"int(pmod(xxhash64(row_id), {leaves}))").alias("leaf"))
+    sizes = {i: [0] * leaves for i in range(len(strata))}
+    for r in placed.groupBy("stratum_no", "leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MOST_LEAVES a stratum
+        sizes[r["stratum_no"]][r["leaf"]] = r["n"]
+    total = sum(map(sum, sizes.values()))
+    sums = placed.groupBy("stratum_no", "leaf").applyInPandas(_leaf_sums(sizes, repetitions, seed), "rep int, total double")
+    # Decimals add up to the same in any order.
+    means = sums.groupBy("rep").agg((F.sum(F.col("total").cast("decimal(38,12)")).cast("double") / F.lit(float(max(total, 1)))).alias("m"))
     ordered = means.agg(F.array_sort(F.collect_list("m")).alias("m"), F.count(F.lit(1)).alias("n"))  # `repetitions` values
     at = lambda q: F.get("m", F.floor(q * (F.col("n") - 1)).cast("int"))
     return ordered.select(at(0.025).alias("low"), at(0.975).alias("high"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hopweave.functions import numeric as N
 from hopweave.functions import text as X
 from hopweave.operators import graph as G
+from hopweave.operators import hints as H
 from hopweave.operators import push as P
 from hopweave.operators import ranking as R
 from hopweave.plans.registry import query
@@ -277,6 +278,37 @@ def hint_votes(spark, sf_dir):
     return R.hint_votes(paths.select("query_id", F.get("nodes", F.lit(0)).alias("seed"), F.get("nodes", F.lit(1)).alias("bridge"), "passage", F.col("total").alias("path_score"), F.lit(0.5).alias("seed_prob")))
 
 
+_HINTS = PATHS + """, docs0 AS (SELECT c_nationkey::BIGINT AS query_id, 'order ' || o_orderkey AS passage, 'order ' || o_orderkey || ' was placed by customer ' || o_custkey AS text, o_totalprice AS score FROM orders JOIN customer ON o_custkey = c_custkey),
+  docs1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage) AS rank FROM docs0), docs AS MATERIALIZED (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS ps FROM docs1 WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id)),
+  pr AS MATERIALIZED (SELECT query_id, entity, prob FROM probs), inside AS MATERIALIZED (SELECT d.*, entity, idf FROM docs d JOIN bridge b ON b.chunk = passage LEFT JOIN idf USING (entity) WHERE query_id IN (SELECT query_id FROM pr)),
+  one AS MATERIALIZED (SELECT DISTINCT query_id, f.src AS seed, f.dst AS bridge, passage, ps FROM inside i JOIN facts f ON f.dst = i.entity JOIN pr USING (query_id) WHERE pr.entity = f.src AND f.dst LIKE 'order %' AND split_part(f.src, ' ', 2)::BIGINT % 2 = 0 AND ps >= 0.1 AND contains(text, i.entity)),
+  rare AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, passage ORDER BY coalesce(idf, 1.0) DESC, entity) AS n FROM inside i WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.query_id = i.query_id AND pr.entity = i.entity)) WHERE n <= 3),
+  held AS MATERIALIZED (SELECT query_id, passage, rank, entity AS seed FROM inside JOIN pr USING (query_id, entity)),
+  two AS MATERIALIZED (SELECT r.query_id, seed, entity AS bridge, r.passage, ps FROM rare r JOIN held h ON h.query_id = r.query_id AND h.passage = r.passage WHERE ps >= 0.1 AND contains(text, entity) AND r.query_id NOT IN (SELECT query_id FROM one)),
+  own AS (SELECT query_id, seed FROM held WHERE rank = 1 UNION ALL SELECT query_id, min(entity) FROM pr WHERE query_id NOT IN (SELECT query_id FROM held WHERE rank = 1) GROUP BY 1),
+  three AS (SELECT r.query_id, seed, entity AS bridge, passage, ps FROM rare r JOIN own USING (query_id) WHERE rank = 1 AND r.query_id NOT IN (SELECT query_id FROM one UNION ALL SELECT query_id FROM two)),
+  cand AS MATERIALIZED (SELECT c.*, coalesce(prob, 0.0) AS prob FROM (SELECT *, 1 AS tier FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three) c LEFT JOIN pr ON pr.query_id = c.query_id AND pr.entity = c.seed),
+  voted AS MATERIALIZED (SELECT query_id, seed, c.bridge, min(tier) AS tier, count(*) AS votes, max(ps) AS best, round(max(0.7 * ps + 0.3 * prob), 6) AS confidence, count(DISTINCT passage) AS n_passages FROM cand c GROUP BY ALL),
+  rivals AS (SELECT query_id, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 6) AS conflict FROM (SELECT query_id, seed, count(*) AS n FROM voted GROUP BY ALL) GROUP BY 1),
+  kept AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY query_id, seed ORDER BY votes DESC, confidence DESC, best DESC, coalesce(idf, 1.0) DESC, v.bridge) AS k FROM voted v LEFT JOIN idf ON idf.entity = v.bridge) WHERE k = 1)"""
+
+
+@query(f"WITH {_HINTS} SELECT query_id, seed, bridge, tier::INT AS tier, votes::BIGINT AS votes, confidence, n_passages::INT AS n_passages, conflict, hint_id::INT AS hint_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, votes DESC, seed, bridge) - 1 AS hint_id FROM kept) JOIN rivals USING (query_id) WHERE hint_id < 10")
+def path_hints(spark, sf_dir):
+    """Hints of each nation: its ten dearest orders as passages, customers of one segment as seeds, orders next to every
+    second of them as bridges."""
+    t = star_triples(spark, sf_dir)
+    idf = keep(G.entity_idf(t))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    docs = orders.select(F.col("c_nationkey").cast("long").alias("query_id"), F.concat(F.lit("order "), "o_orderkey").alias("passage"), F.col("o_totalprice").alias("score"))
+    texts = orders.select(F.concat(F.lit("order "), "o_orderkey").alias("passage"), F.concat(F.lit("order "), "o_orderkey", F.lit(" was placed by customer "), "o_custkey").alias("text"))
+    seeds = keep(_seeds(spark, sf_dir).select("query_id", F.col("entity").alias("seed"), "prob"))
+    even = F.split_part("src", F.lit(" "), F.lit(2)).cast("long") % 2 == 0
+    near = G.fact_edges(t).where(F.col("src").startswith("customer ") & F.col("dst").startswith("order ")).where(even).select(F.col("src").alias("seed"), F.col("dst").alias("bridge"))
+    found = keep(H.candidates(R.top_k(docs, 10, "query_id", "score", "passage"), seeds, seeds.join(near, "seed").select("query_id", "seed", "bridge"), G.bridge(t).select(F.col("chunk").alias("passage"), "entity"), idf, texts, keep, pool=3))
+    return H.hints(found, idf).select("query_id", "seed", "bridge", "tier", "votes", "confidence", F.size("passages").alias("n_passages"), "conflict", "hint_id")
+
+
 @query(f"WITH {IDF}, s AS (SELECT o_orderpriority AS q, 'customer ' || o_custkey AS entity, o_totalprice / 1e6 AS fact_score FROM orders), w AS (SELECT q, entity, round(avg(fact_score / df), 6) AS weight FROM s JOIN idf USING (entity) GROUP BY ALL) SELECT q AS query_id, entity, weight, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY weight DESC, entity) AS rank FROM w) WHERE rank <= 5")
 def phrase_links(spark, sf_dir):
     df = G.entity_idf(star_triples(spark, sf_dir)).select("entity", "df")

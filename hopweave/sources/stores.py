@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -24,33 +27,112 @@ def read_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-class Versioned:
-    """A table in numbered snapshots: readers see the last one that was committed whole, so a lost writer changes nothing.
+STALE_SECONDS = 600
+
+
+class Conflict(Exception):
+    """Another writer committed first."""
+
+
+class Commits:
+    """Several tables under one log of commits: a commit names the folder of every table, so readers see all of them change
+    together or not at all. Who creates the claim to commit n + 1 may make it; a second writer that started from commit n is
+    refused. HDFS creates a file without overwriting in one step; a local disk looks first, a moment before. A claim whose
+    writer was lost is void after STALE_SECONDS."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The last commit, 0 before the first one."""
+        folder = self._path(f"{self.root}/_commits")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def tables(self, version: int | None = None) -> dict[str, dict]:
+        """Name, folder and schema of each table as of a commit, the last one by default."""
+        n = self.version() if version is None else version
+        if n == 0:
+            return {}
+        lines = self.spark.read.text(f"{self.root}/_commits/{n}").collect()  # one line a table
+        return {entry["name"]: entry for entry in (json.loads(r.value) for r in lines)}
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        entry = self.tables(version).get(name)
+        return entry and self.spark.read.schema(entry["schema"]).parquet(f"{self.root}/{entry['folder']}")
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+        """Writes tables and commits them on top of ``base`` (the last commit by default); others stay as they were."""
+        start = self.version() if base is None else base
+        claim, target = self._path(f"{self.root}/_claims/{start + 1}"), self._path(f"{self.root}/_commits/{start + 1}")
+        if self._fs.exists(claim) and (self._fs.exists(target) or time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 <= STALE_SECONDS):
+            raise Conflict(f"commit {start + 1} of {self.root} is taken")
+        entries = self.tables(start)
+        for name, df in sorted(tables.items()):
+            folder = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{folder}")
+            entries[name] = {"name": name, "folder": folder, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
+        text = "\n".join(json.dumps(entries[n]) for n in sorted(entries))
+        if self._fs.exists(claim) and not self._fs.exists(target) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_SECONDS:
+            self._fs.delete(claim, False)
+        try:
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as error:
+            if not self._fs.exists(claim):
+                raise error
+            raise Conflict(f"commit {start + 1} of {self.root} is taken") from None
+        # Written whole beside the log, then put in its place: a reader never meets half a commit.
+        spare = self._path(f"{self.root}/_spare-{uuid.uuid4().hex}")
+        out = self._fs.create(spare, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(spare, target):
+            raise Conflict(f"commit {start + 1} of {self.root} could not be put in its place")
+        return start + 1
+
+
+def _again(attempt, tries: int = 60):
+    """attempt(), made again a little later when another writer was first."""
+    for left in range(tries, 0, -1):
+        try:
+            return attempt()
+        except Conflict:
+            if left == 1:
+                raise
+            time.sleep(0.5)
+
 
-    ``_current`` lists snapshots in order; each is a folder of Parquet files."""
+class Versioned:
+    """A table in numbered snapshots: readers see the last one that was committed whole, so a lost writer changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.log = Commits(spark, self.root)
 
-    def _last(self) -> str | None:
-        row = read_or(self.spark, f"{self.root}/_current", "n long, name string").orderBy(F.desc("n")).first()
-        return row and f"{self.root}/{row.name}"
-
-    def read(self) -> DataFrame:
-        last = self._last()
-        return self.spark.read.schema(self.schema).parquet(last) if last else self.spark.createDataFrame([], self.schema)
+    def read(self, version: int | None = None) -> DataFrame:
+        found = self.log.read("rows", version)
+        return found if found is not None else self.spark.createDataFrame([], self.schema)
 
     def replace(self, rows: DataFrame) -> DataFrame:
-        name = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{name}")
-        n = read_or(self.spark, f"{self.root}/_current", "n long, name string").agg(F.max("n")).first()[0]
-        self.spark.createDataFrame([((n or 0) + 1, name)], "n long, name string").coalesce(1).write.mode("append").parquet(f"{self.root}/_current")
-        return self.read()
+        """Whoever comes last wins."""
+        return self.read(_again(lambda: self.log.commit({"rows": rows})))
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows take the place of stored ones of their keys; of several new ones of a key, any one."""
-        new = rows.dropDuplicates(keys)
-        return self.replace(self.read().join(new.select(keys), keys, "left_anti").unionByName(new.select(self.read().columns)))
+        """Rows take the place of stored ones of their keys; of several new ones of a key, the least in the order of their
+        other columns. Should another writer commit meanwhile, its rows are read and the merge is made again."""
+
+        def attempt() -> int:
+            base = self.log.version()
+            old = self.read(base)
+            others = [c for c in old.columns if c not in keys]
+            new = rows.select(old.columns).groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*keys, "_row.*") if others else rows.select(keys).distinct()
+            return self.log.commit({"rows": old.join(new.select(keys), keys, "left_anti").unionByName(new.select(old.columns))}, base)
+
+        return self.read(_again(attempt))
 
 
 EXTRACTIONS = "idx string, passage string, entities array<string>, triples array<array<string>>, status string, contract string"
@@ -95,15 +177,19 @@ def open_checkpoint(spark: SparkSession, root: str, identity: dict[str, str]) ->
     return Versioned(spark, f"{root}/rows", EXTRACTIONS)
 
 
-def save_graph(root: str, vertices: DataFrame, edges: DataFrame, directed: bool) -> None:
-    spark = edges.sparkSession
-    Versioned(spark, f"{root}/vertices", "name string, kind string").replace(vertices.select("name", "kind"))
-    Versioned(spark, f"{root}/edges", "src string, dst string, weight double, directed boolean").replace(edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(directed).alias("directed")))
+def save_graph(root: str, vertices: DataFrame, edges: DataFrame, directed: bool, base: int | None = None) -> int:
+    """Vertices and edges in one commit, whose number it returns; see Commits for base."""
+    log = Commits(edges.sparkSession, root)
+    stored = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(directed).alias("directed"))
+    return log.commit({"vertices": vertices.select("name", "kind"), "edges": stored}, base)
 
 
-def load_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges as saved last; empty ones where nothing was."""
-    return Versioned(spark, f"{root}/vertices", "name string, kind string").read(), Versioned(spark, f"{root}/edges", "src string, dst string, weight double, directed boolean").read()
+def load_graph(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges of one commit, the last one by default; empty ones where nothing was saved."""
+    log = Commits(spark, root)
+    n = log.version() if version is None else version
+    vertices, edges = log.read("vertices", n), log.read("edges", n)
+    return vertices if vertices is not None else spark.createDataFrame([], "name string, kind string"), edges if edges is not None else spark.createDataFrame([], "src string, dst string, weight double, directed boolean")
 
 
 def guard_stale(edges: DataFrame, extractions: DataFrame) -> None:
