@@ -6,12 +6,14 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hopweave.functions import relations
 from hopweave.functions.text import contains_phrase, evidence_norm
 from hopweave.operators.extraction import _ask
-from hopweave.operators.providers import Completion
+from hopweave.operators.providers import Completion, complete
+from hopweave.sources.shared import keep
+from hopweave.sources.stores import Versioned
 
 Keep = Callable[[DataFrame], DataFrame]
 VERDICT = "struct<answer: string, evidence: string, confidence: double>"
@@ -39,7 +41,7 @@ def verify_in_steps(ranked: DataFrame, provider: Completion, accepted: Callable[
     return done
 
 
-def ambiguous(beams: DataFrame, gap: float = 0.05) -> DataFrame:
+def ambiguous(beams: DataFrame, gap: float = 0.06) -> DataFrame:
     """beams: query_id, beam_id, score. The best beam of each query, and the second one where it is hardly worse."""
     from pyspark.sql import Window
 
@@ -78,6 +80,68 @@ def plan_signature(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("plan_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("signature"))  # a plan has few nodes
 
 
+MEMO = "key string, response string"
+
+
+def verdict_key(*parts: str) -> Column:
+    """What a verdict depends on: the goal's question as bound, the document and whatever else the caller names."""
+    return F.sha2(F.to_json(F.struct(*[F.col(p) for p in parts])), 256)
+
+
+def remembered(asked: DataFrame, parts: list[str], memo: Versioned, provider: Completion, report: Callable[[int], None] | None = None) -> DataFrame:
+    """asked: prompt and the columns ``parts`` that the verdict depends on. Adds response. Verdicts of a memo that several
+    searches share are taken from it; only new keys are asked, once each, and stored before they are returned. ``report`` is
+    called with how many were asked."""
+    keyed = asked.withColumn("_key", verdict_key(*parts))
+    new = keyed.select(F.col("_key").alias("key"), "prompt").join(memo.read().select("key"), "key", "left_anti").groupBy("key").agg(F.min("prompt").alias("prompt"))
+    answers = keep(complete(new, provider).select("key", "response"))
+    n = answers.count()
+    if n:
+        memo.upsert(answers, ["key"])
+    if report:
+        report(n)
+    return keyed.join(memo.read().withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
+SLOT = r"\{\{\s*([A-Za-z][\w-]*)\s*\}\}"
+
+
+def render_slots(templates: DataFrame) -> DataFrame:
+    """templates: plan_id, id, template, slots (map of slot to node id). (plan_id, id, question, depends_on, reason): each
+    ``{{slot}}`` becomes ${node.answer}, and what a question depends on are the nodes of its slots. A template with a slot
+    that has no node, or a slot of the node itself, has a reason instead of a question."""
+    names = F.array_distinct(F.regexp_extract_all("template", F.lit(SLOT), F.lit(1)))
+    rows = templates.withColumn("_slots", names).withColumn("_nodes", F.transform("_slots", lambda x: F.try_element_at("slots", x)))
+    reason = F.when(F.exists("_nodes", lambda x: x.isNull()), "unknown_slot").when(F.array_contains("_nodes", F.col("id")), "own_slot")
+    filled = F.aggregate("_slots", F.col("template"), lambda text, x: F.regexp_replace(text, F.concat(F.lit(r"\{\{\s*"), x, F.lit(r"\s*\}\}")), F.concat(F.lit(r"\$\{"), F.try_element_at("slots", x), F.lit(r".answer\}"))))
+    return rows.select("plan_id", "id", F.when(reason.isNull(), filled).alias("question"), F.when(reason.isNull(), F.array_sort(F.array_distinct("_nodes"))).alias("depends_on"), reason.alias("reason"))
+
+
+def recover_in_rounds(questions: DataFrame, nodes: DataFrame, replan: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], memo: Versioned, provider: Completion, most: int = 4, report: Callable[[int], None] | None = None) -> DataFrame:
+    """recover, whose search binds a new plan's nodes level by level with the memo that the first search filled.
+
+    verify turns nodes whose dependencies are bound (plan_id, id, question with answers filled in) into rows to ask
+    (plan_id, id, question, passage, prompt); a response is the answer, empty for none. Of a node's answers the one of the
+    least passage counts. Nodes whose dependencies stay unbound stay unbound too."""
+
+    def search(new: DataFrame) -> DataFrame:
+        state = keep(new.select("plan_id", "id", "question", "depends_on", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("passage")))
+        for _ in range(most):
+            bound = state.where("answer IS NOT NULL").groupBy("plan_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "answer"))).alias("bound"))  # few nodes a plan
+            open_ = state.where("answer IS NULL").join(bound, "plan_id", "left").withColumn("bound", F.coalesce("bound", F.create_map().cast("map<string,string>")))
+            ready = open_.where(F.forall("depends_on", lambda d: F.try_element_at("bound", d).isNotNull()))
+            filled = F.aggregate("depends_on", F.col("question"), lambda q, d: F.replace(q, F.concat(F.lit("${"), d, F.lit(".answer}")), F.try_element_at("bound", d)))
+            asked = verify(keep(ready.select("plan_id", "id", filled.alias("question"))))
+            found = keep(remembered(asked, ["question", "passage"], memo, provider, report).where("response <> ''"))
+            best = found.groupBy("plan_id", "id").agg(F.min(F.struct("passage", "response")).alias("b"))
+            if best.isEmpty():
+                break
+            state = keep(state.join(best, ["plan_id", "id"], "left").select("plan_id", "id", "question", "depends_on", F.coalesce("answer", "b.response").alias("answer"), F.coalesce("passage", "b.passage").alias("passage")))
+        return state
+
+    return recover(questions, nodes, replan, search, keep)
+
+
 _KINDS = "plan_id long, kind string"
 
 
