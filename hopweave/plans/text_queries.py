@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from hopweave.functions import numeric as N
+from hopweave.functions import grammar, numeric as N
 from hopweave.functions import routing, text as X
 from hopweave.operators import evidence as V
 from hopweave.operators import ranking as R
@@ -323,3 +323,16 @@ def question_routes(spark, sf_dir):
     kinds = F.array(*[F.format_string(t.replace("{a}", "%s").replace("{b}", "%s"), F.col("c_custkey").cast("string"), F.initcap("n_name")) for _, _, t in _SHAPES])
     asked = c.select("c_custkey", F.get(kinds, F.col("c_custkey").cast("int") % 8).alias("q"))
     return asked.select("c_custkey", routing.structure(F.col("q")).alias("shape"), routing.route(F.col("q"), F.lit(2)).alias("shallow"), routing.route(F.col("q"), F.lit(3)).alias("deep"))
+
+
+@query(
+    """SELECT c_custkey AS claim_id, 'residence' AS relation, 'Customer ' || c_custkey AS subject, CASE c_custkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'unknown' ELSE 'contradicted' END AS status,
+    CASE c_custkey % 4 WHEN 0 THEN 'form' WHEN 1 THEN 'other_value' WHEN 2 THEN 'negated' ELSE 'other_direction' END AS reason FROM customer"""
+)
+def relation_checks(spark, sf_dir):
+    """Claims on where customers live, against texts that say so, name another nation, deny it, or turn it round."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    who, kind = F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")), F.col("c_custkey") % 4
+    said = F.when(kind == 0, F.concat(who, F.lit(", a buyer, lives in "), "n_name")).when(kind == 1, F.concat(who, F.lit(" lives in Nowhere"))).when(kind == 2, F.concat(who, F.lit(" never lived in "), "n_name")).otherwise(F.concat("n_name", F.lit(" lives in "), who))
+    claims = c.select(F.col("c_custkey").alias("claim_id"), F.concat(F.lit("Where does "), who, F.lit(" live?")).alias("question"), F.col("n_name").alias("answer"), F.concat(F.lit("Some words first. "), said, F.lit(". More words.")).alias("text"))
+    return grammar.check(claims)
