@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from hopweave.llm.hashing import byte_list
 from hopweave.llm.scratch import Scratch
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 LOWER = bytes(ord(" ") if b < 128 and not chr(b).isalnum() else ord(chr(b).lower()) if b < 128 else b for b in range(256))
 
 
