@@ -24,8 +24,27 @@ def strip_accents_udf(values: pd.Series) -> pd.Series:
     return values.map(strip_accents)
 
 
+def _closed(raw: str) -> str:
+    """The text with its open string and brackets closed and commas before closing brackets gone, in one pass."""
+    stack, quoted, escaped = [], False, False
+    for c in raw:
+        if quoted:
+            escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]" and stack:
+            stack.pop()
+    kept = raw + '"' if quoted else raw.rstrip().rstrip(",")
+    return re.sub(r",\s*([}\]])", r"\1", kept + "".join(reversed(stack)))
+
+
 def repair_json(text: str | None):
-    """A JSON value from generated text: code fences and trailing commas go, open brackets close; None if nothing helps."""
+    """A JSON value from generated text: code fences and trailing commas go, open brackets close; None if nothing helps.
+
+    What cannot be read is cut off from the place where reading fails, or else from the comma before it. Places only move
+    to the front, and a text of many good values with one break takes two or three passes."""
     raw = re.sub(r"^\s*```\w*|```\s*$", "", text or "").strip()
     begin = min((i for i in (raw.find("{"), raw.find("[")) if i >= 0), default=-1)
     if begin < 0:
@@ -35,23 +54,15 @@ def repair_json(text: str | None):
         return json.JSONDecoder().raw_decode(raw)[0]
     except ValueError:
         pass
-    for cut in [len(raw)] + [m.start() for m in reversed(list(re.finditer(",", raw)))]:
-        stack, quoted, escaped = [], False, False
-        for c in raw[:cut]:
-            if quoted:
-                escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack:
-                stack.pop()
-        closed = raw[:cut] + '"' * quoted + "".join(reversed(stack))
-        closed = re.sub(r",\s*([}\]])", r"\1", closed)
+    cut = len(raw)
+    while cut > 0:
+        closed = _closed(raw[:cut])
         try:
             return json.JSONDecoder().raw_decode(closed)[0]
-        except ValueError:
-            continue
+        except json.JSONDecodeError as error:
+            cut = error.pos if error.pos < len(raw[:cut].rstrip()) else raw.rfind(",", 0, cut)
+        except RecursionError:
+            return None
     return None
 
 

@@ -50,14 +50,19 @@ def ambiguous(beams: DataFrame, gap: float = 0.06) -> DataFrame:
     return ranked.where((F.col("place") == 1) | ((F.col("place") == 2) & (F.col("best") - F.col("score") <= gap))).drop("best")
 
 
-@F.pandas_udf(T.StringType())
-def _typed(answers: pd.Series, kinds: pd.Series) -> pd.Series:
-    return pd.Series([relations.typed_reason(a or "", k or "") for a, k in zip(answers, kinds)])
+def type_reason(answer: Column, answer_type: Column) -> Column:
+    """Why an answer cannot be of its type, if so; the rules of relations.typed_reason as one expression."""
+    said, kind = F.coalesce(answer, F.lit("")), F.lower(F.trim(F.coalesce(answer_type, F.lit(""))))
+    number = said.rlike(r"\d") | said.rlike(r"(?i)\b(one|two|three|four|five|six|seven|eight|nine|ten)\b")
+    return (
+        F.when(kind.isin("date", "year", "time") & ~said.rlike(r"\d"), "not_a_time").when(kind.isin("number", "count", "quantity") & ~number, "not_a_number")
+        .when(kind.isin("person", "place", "location", "city", "country") & said.rlike(r"^[\d\W]+$"), "not_a_name")
+    )
 
 
 def typed(hypotheses: DataFrame) -> DataFrame:
     """hypotheses: answer, answer_type, ... Adds ``type_reason``, why the answer cannot be of its type; null if it can."""
-    return hypotheses.withColumn("type_reason", _typed("answer", "answer_type"))
+    return hypotheses.withColumn("type_reason", type_reason(F.col("answer"), F.col("answer_type")))
 
 
 @F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

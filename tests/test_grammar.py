@@ -49,3 +49,27 @@ def test_subjects_and_edge_rows(spark):
     assert [(s.relation, s.subject, s.thing, s.year) for s in out] == [("director", "The Sea", None, 1990), ("count", "the old houses", "red doors", None), (None, None, None, None), (None, None, None, None)]
     frame = spark.createDataFrame([(1, "Who wrote X?", None, "Ann wrote X."), (2, "Who wrote X?", "Ann", "Nothing. Ann wrote X; it sold well."), (3, "Who wrote X?", "Ann", "")], "claim_id int, question string, answer string, text string")
     assert {r.claim_id: r.status for r in G.check(frame).collect()} == {1: "unknown", 2: "supported", 3: "unknown"}
+
+
+def test_broken_json_of_any_length():
+    import time
+
+    from hopweave.functions.repair import repair_json
+
+    assert repair_json('{"a": "x, y" "b": 2, "c": 3}') == {"a": "x, y"}
+    assert repair_json('```json\n{"a": [1, 2, {"b": "c, d') == {"a": [1, 2, {"b": "c, d"}]}
+    assert repair_json('{"a": 1, "b":') == {"a": 1} and repair_json('[1, 2, oops, 4]') == [1, 2] and repair_json("nothing") is None
+    assert repair_json('{"a": 1, "b') == {"a": 1} and repair_json("{,,}") == {}
+    begin = time.time()
+    assert repair_json("[" + "1," * 100_000 + "x") == [1] * 100_000
+    assert repair_json('{"k": [' + '{"v": 1}, ' * 50_000 + '{"v": ') == {"k": [{"v": 1}] * 50_000}
+    assert time.time() - begin < 10
+
+
+def test_types_of_answers(spark):
+    from hopweave.functions import relations
+    from hopweave.operators import recovery as V
+
+    rows = [(a, k) for a in ("soon", "1990", "Rome", "three men", "42", "--", "", None) for k in ("date", "Number", "place", "person", "other", None)]
+    out = V.typed(spark.createDataFrame(rows, "answer string, answer_type string")).collect()
+    assert [r.type_reason for r in out] == [relations.typed_reason(a or "", k or "") for a, k in rows]
