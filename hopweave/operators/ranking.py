@@ -125,13 +125,16 @@ def prune_beams(beams: DataFrame, width: int = 3) -> DataFrame:
 
 
 def weak_seeds(queries: DataFrame, entities: DataFrame, idf: DataFrame, least: float = 0.15, top: int = 32) -> DataFrame:
-    """queries: query_id, tokens; entities: entity, tokens. Only pairs that share a token meet (an equi-join on it). A whole
-    entity in the question counts 1.5, one among its n-grams of up to five tokens another 1, shared tokens up to 1.5."""
+    """queries: query_id, tokens; entities: entity, tokens. Only pairs that share a token meet (an equi-join on it). An
+    entity that is part of the question's text, inside a word or not, counts 1.5, one among its n-grams of up to five tokens
+    another 1, shared tokens up to 1.5."""
     q = queries.select("query_id", "tokens", F.explode(F.array_distinct("tokens")).alias("t"))
     e = entities.select("entity", F.col("tokens").alias("own"), F.explode(F.array_distinct("tokens")).alias("t"))
     pairs = q.join(e, "t").select("query_id", "entity", "tokens", "own").dropDuplicates(["query_id", "entity"])
-    whole = F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("own", " "), F.lit(" "))).cast("double")
-    gram = F.when(F.size("own") <= 5, whole).otherwise(0.0)
+    said, name = F.array_join("tokens", " "), F.array_join("own", " ")
+    whole = F.contains(said, name).cast("double")
+    run = F.contains(F.concat(F.lit(" "), said, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" "))).cast("double")
+    gram = F.when(F.size("own") <= 5, run).otherwise(0.0)
     shared = F.size(F.array_intersect("tokens", "own")) / F.size(F.array_union("tokens", "own"))
     scored = pairs.join(idf, "entity").withColumn("score", F.round((1.5 * whole + gram + 1.5 * shared) * F.col("idf"), 6))
     return top_k(scored.where(F.col("score") >= least), top, "query_id", "score", "entity").select("query_id", "entity", "score", "rank")

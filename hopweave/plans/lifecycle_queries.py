@@ -118,8 +118,8 @@ _WORDS = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9\s]
 @query(
     f"""WITH q AS (SELECT s_suppkey::BIGINT AS query_id, {_WORDS.format("'maker ' || lower(n_name) || ' of sku' || s_suppkey")} AS tokens FROM supplier JOIN nation ON s_nationkey = n_nationkey),
     e AS (SELECT lower(n_name) AS entity, {_WORDS.format('n_name')} AS own, 2.0 AS idf FROM nation UNION ALL SELECT 'sku' || p_partkey, ['sku' || p_partkey], 1.5 FROM part),
-    p AS (SELECT query_id, entity, idf, contains(' ' || array_to_string(tokens, ' ') || ' ', ' ' || array_to_string(own, ' ') || ' ')::INT::DOUBLE AS whole, len(list_intersect(tokens, own)) / len(list_distinct(list_concat(tokens, own))) AS shared FROM q JOIN e ON len(list_intersect(tokens, own)) > 0),
-    s AS (SELECT query_id, entity, round((2.5 * whole + 1.5 * shared) * idf, 6) AS score FROM p)
+    p AS (SELECT query_id, entity, idf, contains(array_to_string(tokens, ' '), array_to_string(own, ' '))::INT::DOUBLE AS whole, contains(' ' || array_to_string(tokens, ' ') || ' ', ' ' || array_to_string(own, ' ') || ' ')::INT::DOUBLE AS gram, len(list_intersect(tokens, own)) / len(list_distinct(list_concat(tokens, own))) AS shared FROM q JOIN e ON len(list_intersect(tokens, own)) > 0),
+    s AS (SELECT query_id, entity, round((1.5 * whole + gram + 1.5 * shared) * idf, 6) AS score FROM p)
     SELECT query_id, entity, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS rank FROM s WHERE score >= 0.15) WHERE rank <= 32"""
 )
 def weak_seeds(spark, sf_dir):

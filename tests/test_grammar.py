@@ -73,3 +73,13 @@ def test_types_of_answers(spark):
     rows = [(a, k) for a in ("soon", "1990", "Rome", "three men", "42", "--", "", None) for k in ("date", "Number", "place", "person", "other", None)]
     out = V.typed(spark.createDataFrame(rows, "answer string, answer_type string")).collect()
     assert [r.type_reason for r in out] == [relations.typed_reason(a or "", k or "") for a, k in rows]
+
+
+def test_weak_seeds_tell_parts_of_words_from_runs_of_words(spark):
+    from hopweave.operators import ranking as R
+
+    queries = spark.createDataFrame([(1, ["the", "new", "yorker", "in", "rome"])], "query_id long, tokens array<string>")
+    entities = spark.createDataFrame([("a", ["new", "york"]), ("b", ["rome"]), ("c", ["old", "rome"])], "entity string, tokens array<string>")
+    idf = spark.createDataFrame([(e, 1.0) for e in "abc"], "entity string, idf double")
+    out = {r.entity: r.score for r in R.weak_seeds(queries, entities, idf).collect()}
+    assert out == {"a": round(1.5 + 1.5 / 6, 6), "b": round(1.5 + 1 + 1.5 / 5, 6), "c": round(1.5 / 6, 6)}
