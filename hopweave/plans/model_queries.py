@@ -9,6 +9,7 @@ from hopweave.operators import evidence as V
 from hopweave.operators import prefixes as PX
 from hopweave.operators import providers as P
 from hopweave.operators import ranking as R
+from hopweave.operators import selection as L
 from hopweave.plans.graph_queries import _paths
 from hopweave.plans.registry import query
 from hopweave.sources.shared import keep
@@ -151,3 +152,27 @@ def windowed_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     out = windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")))
     return out.withColumn("start", F.col("start").cast(e.schema["ts"].dataType))
+
+
+_BEAM = "round(0.45 * least({0}) + 0.35 * ({1}) + 0.2 * {2} / 2, 6)"
+
+
+@query(
+    f"""WITH h1 AS (SELECT c_nationkey::BIGINT AS query_id, c_mktsegment AS a, 'customer ' || c_custkey AS p, round(greatest(c_acctbal, 0) / 10000, 3) AS q FROM customer),
+    h2 AS (SELECT c_nationkey::BIGINT AS query_id, c_mktsegment AS given, o_orderpriority AS a, 'order ' || o_orderkey AS p, round(o_totalprice / 1000000, 3) AS q FROM orders JOIN customer ON o_custkey = c_custkey),
+    b1 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_BEAM.format('q', 'q', 1)} DESC, '{{"s1":"' || a || '"}}' || p) AS k FROM h1) WHERE k <= 3),
+    b2 AS (SELECT b.query_id, '{{"s1":"' || b.a || '","s2":"' || h.a || '"}}' AS bound, b.p || chr(31) || h.p AS proofs, {_BEAM.format('b.q, h.q', '(b.q + h.q) / 2', 2)} AS score FROM b1 b JOIN h2 h ON h.query_id = b.query_id AND h.given = b.a
+      UNION ALL SELECT query_id, '{{"s1":"' || a || '"}}', p, {_BEAM.format('q', 'q', 1)} FROM b1 b WHERE NOT EXISTS (SELECT 1 FROM h2 h WHERE h.query_id = b.query_id AND h.given = b.a))
+    SELECT query_id, bound, replace(proofs, chr(31), ',') AS proofs, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bound || proofs) AS k FROM b2) WHERE k <= 3"""
+)
+def plan_search(spark, sf_dir):
+    """A plan of two goals for each nation: a customer's segment, then the priority of an order of that segment."""
+    c = table(spark, sf_dir, "customer").withColumn("query_id", F.col("c_nationkey").cast("long"))
+    none = F.create_map().cast("map<string,string>")
+    first = c.select("query_id", F.lit("s1").alias("goal"), none.alias("given"), F.col("c_mktsegment").alias("answer"), F.concat(F.lit("customer "), "c_custkey").alias("passage"), F.round(F.greatest("c_acctbal", F.lit(0.0)) / 10000, 3).alias("quality"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    second = o.select("query_id", F.lit("s2").alias("goal"), F.create_map(F.lit("s1"), "c_mktsegment").alias("given"), F.col("o_orderpriority").alias("answer"), F.concat(F.lit("order "), "o_orderkey").alias("passage"), F.round(F.col("o_totalprice") / 1000000, 3).alias("quality"))
+    queries = c.select("query_id").distinct()
+    plan = queries.select("query_id", F.explode(F.array(F.struct(F.lit("s1").alias("goal"), F.lit(0).alias("depth")), F.struct(F.lit("s2").alias("goal"), F.lit(1).alias("depth")))).alias("g")).select("query_id", "g.goal", "g.depth")
+    out = L.search_plans(queries, plan, keep(first.unionByName(second)), keep)
+    return out.select("query_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("bound")))).alias("bound"), F.array_join("proofs", ",").alias("proofs"), "score")

@@ -89,10 +89,15 @@ def anchor_rewrite(spark, sf_dir):
 )
 def phrase_containment(spark, sf_dir):
     """Which documents hold the first line of an item, token by token. Items are the stated query set; only pairs that
-    share a run of four words meet."""
+    share a run of four words, or the rarest word of a shorter phrase, meet."""
     items = table(spark, sf_dir, "benchmark").select("item_id", X.surface_norm(X.first_line(F.col("text"))).alias("phrase")).where("phrase <> ''").withColumn("w", F.split("phrase", " "))
-    keys = items.select("item_id", F.when(F.size("w") >= 4, F.array_join(F.slice("w", 1, 4), " ")).otherwise(F.get("w", F.lit(0))).alias("g"))
     body = docs(spark, sf_dir).select("doc_id", X.surface_norm(F.col("text")).alias("body"))
+    runs = items.where(F.size("w") >= 4).select("item_id", F.array_join(F.slice("w", 1, 4), " ").alias("g"))
+    # A shorter phrase goes by its rarest word, so that frequent words are no keys.
+    words = items.where(F.size("w") < 4).select("item_id", F.explode(F.array_distinct("w")).alias("g"))
+    held = body.select(F.explode(F.array_distinct(F.split("body", " "))).alias("g")).join(words.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(held, "g").groupBy("item_id").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    keys = keep(runs.unionByName(rarest))
     # The words are a column of their own: inside a lambda an expression would run again for each element.
     grams = F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 3)), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))
     every = F.array_union(grams, F.col("w"))
