@@ -51,8 +51,10 @@ class Rounds:
         self.paths.append(path)
         return self.spark.read.schema(self.schema).parquet(path)
 
-    def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+    def all(self, first: int | None = None) -> DataFrame:
+        """The tables together, or the first so many of them."""
+        paths = self.paths[:first]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def drop(self) -> None:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
