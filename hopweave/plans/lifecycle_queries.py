@@ -116,8 +116,8 @@ _WORDS = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9\s]
 
 
 @query(
-    f"""WITH q AS (SELECT s_suppkey::BIGINT AS query_id, {_WORDS.format("'maker ' || lower(n_name) || ' of sku' || s_suppkey")} AS tokens FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-    e AS (SELECT lower(n_name) AS entity, {_WORDS.format('n_name')} AS own, 2.0 AS idf FROM nation UNION ALL SELECT 'sku' || p_partkey, ['sku' || p_partkey], 1.5 FROM part),
+    f"""WITH q AS (SELECT s_suppkey::BIGINT AS query_id, {_WORDS.format("'maker ' || lower(n_name) || ' of part ' || s_suppkey")} AS tokens FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    e AS (SELECT lower(n_name) AS entity, {_WORDS.format('n_name')} AS own, 2.0 AS idf FROM nation UNION ALL SELECT 'part ' || p_partkey, ['part', p_partkey::VARCHAR], 1.5 FROM part),
     p AS (SELECT query_id, entity, idf, contains(array_to_string(tokens, ' '), array_to_string(own, ' '))::INT::DOUBLE AS whole, contains(' ' || array_to_string(tokens, ' ') || ' ', ' ' || array_to_string(own, ' ') || ' ')::INT::DOUBLE AS gram, len(list_intersect(tokens, own)) / len(list_distinct(list_concat(tokens, own))) AS shared FROM q JOIN e ON len(list_intersect(tokens, own)) > 0),
     s AS (SELECT query_id, entity, round((1.5 * whole + gram + 1.5 * shared) * idf, 6) AS score FROM p)
     SELECT query_id, entity, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS rank FROM s WHERE score >= 0.15) WHERE rank <= 32"""
@@ -126,8 +126,8 @@ def weak_seeds(spark, sf_dir):
     words = lambda c: X.tokens(X.surface_norm(c))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
     asked = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
-    queries = asked.select(F.col("s_suppkey").cast("long").alias("query_id"), words(F.concat(F.lit("maker "), "name", F.lit(" of sku"), F.col("s_suppkey").cast("string"))).alias("tokens"))
-    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("sku"), F.col("p_partkey").cast("string")).alias("entity"), F.lit(1.5).alias("idf"))
+    queries = asked.select(F.col("s_suppkey").cast("long").alias("query_id"), words(F.concat(F.lit("maker "), "name", F.lit(" of part "), F.col("s_suppkey").cast("string"))).alias("tokens"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("entity"), F.lit(1.5).alias("idf"))
     entities = nation.select(F.col("name").alias("entity"), F.lit(2.0).alias("idf")).unionByName(parts)
     return R.weak_seeds(queries, entities.select("entity", words(F.col("entity")).alias("tokens")), entities.select("entity", "idf"))
 

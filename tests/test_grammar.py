@@ -83,3 +83,31 @@ def test_weak_seeds_tell_parts_of_words_from_runs_of_words(spark):
     idf = spark.createDataFrame([(e, 1.0) for e in "abc"], "entity string, idf double")
     out = {r.entity: r.score for r in R.weak_seeds(queries, entities, idf).collect()}
     assert out == {"a": round(1.5 + 1.5 / 6, 6), "b": round(1.5 + 1 + 1.5 / 5, 6), "c": round(1.5 / 6, 6)}
+
+
+def test_weak_seeds_of_common_tokens_are_those_of_all_pairs(spark):
+    from hopweave.operators import ranking as R
+
+    rows = [(f"part {i}", ["part", str(i)], 1.5) for i in range(60)] + [(f"{i} old part", [str(i), "old", "part"], 1.0 + i % 2) for i in range(9)] + [("nation 1", ["nation", "1"], 2.0)]
+    asked = [(q, ["maker", "nation", str(q % 5), "of", "part", str(q)]) for q in (1, 12, 33, 70)] + [(99, ["nothing"])]
+    entities = spark.createDataFrame([r[:2] for r in rows], "entity string, tokens array<string>")
+    idf = spark.createDataFrame([(r[0], r[2]) for r in rows], "entity string, idf double")
+    for top in (3, 32):
+        out = R.weak_seeds(spark.createDataFrame(asked, "query_id long, tokens array<string>"), entities, idf, top=top, common=8).collect()
+        want = []
+        for q, tokens in asked:
+            said, found = " ".join(tokens), []
+            for entity, own, weight in rows:
+                if both := set(tokens) & set(own):
+                    name = " ".join(own)
+                    score = round((1.5 * (name in said) + (f" {name} " in f" {said} ") + 1.5 * len(both) / len(set(tokens) | set(own))) * weight, 6)
+                    found += [(-score, entity)] if score >= 0.15 else []
+            want += [(q, entity, -score, i + 1) for i, (score, entity) in enumerate(sorted(found)[:top])]
+        assert sorted(map(tuple, out)) == sorted(want)
+
+
+def test_weak_seeds_ask_all_parts(spark):
+    from hopweave.plans.registry import ORACLE_SQL
+    import __spark_entry__  # noqa: F401  fills the registry
+
+    assert "'part ' || p_partkey" in ORACLE_SQL["weak_seeds"] and "p_partkey <" not in ORACLE_SQL["weak_seeds"]
