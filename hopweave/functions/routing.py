@@ -1,7 +1,7 @@
-"""Which shape a question has, read from an array of its words.
+"""Which shape a question has, read from a line of its words.
 
-Words of names become one mark each, so that the shape shows as an array: "Which is older, Alpha Tower or Beta Hall?"
-reads [which, is, older, @, or, @]. All rules are tests of neighbours in that array.
+Words of names become one mark each, so that the shape shows as a line: "Which is older, Alpha Tower or Beta Hall?"
+reads " which is older @ or @ ". All rules are patterns over that line, which is made once a question.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ SHARED = ("same", "both", "share", "shared", "common")
 HOLDERS = ("director", "producer", "writer", "author", "composer", "parent", "father", "mother", "spouse", "husband", "wife", "founder", "owner", "performer", "creator", "editor")
 
 
-def _words(question: Column) -> Column:
-    """Lower-case words, each run of capitalised words (and numbers in it) as one NAME; a question word or auxiliary at
-    the beginning is no name."""
+def marks(question: Column) -> Column:
+    """Lower-case words with a space on either side, each run of capitalised words (and numbers in it) as one NAME; a
+    question word or auxiliary at the beginning is no name."""
     raw = F.regexp_extract_all(question, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}'.-]*"), F.lit(0))
     plain = F.transform(raw, lambda w: F.regexp_replace(w, r"('s|[.'-]+)$", ""))
     leading = [*QUESTION_WORDS, *AUXILIARIES, "in", "on", "of", "at", "the", "a"]
@@ -28,66 +28,67 @@ def _words(question: Column) -> Column:
         named = w.rlike(r"^\p{Lu}") & ~((i == 0) & F.lower(w).isin(leading))
         return F.when(named, NAME).when(w.rlike(r"^\p{N}+$"), "#").otherwise(F.lower(w))
 
-    marked = F.transform(plain, mark)
-    joined = F.array_join(marked, " ")
-    return F.split(F.regexp_replace(joined, f"{NAME}(?: {NAME}| #)+", NAME), " ")
+    joined = F.array_join(F.transform(plain, mark), " ")
+    return F.concat(F.lit(" "), F.regexp_replace(joined, f"{NAME}(?: {NAME}| #)+", NAME), F.lit(" "))
 
 
-def _at(words: Column, i: Column) -> Column:
-    return F.coalesce(F.get(words, i), F.lit(""))
+def _one(words) -> str:
+    return f"(?:{'|'.join(words)})"
 
 
-def _any_place(words: Column, test) -> Column:
-    return F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), test)
+def _opens(line: Column, *words: str) -> Column:
+    return line.rlike(f"^ {_one(words)} ")
 
 
-def _pairs_names(words: Column, *links: str) -> Column:
-    """Two names with one of the words between them, an article allowed."""
+def _holds(line: Column, words) -> Column:
+    return line.rlike(f" {_one(words)} ")
 
-    def here(i: Column) -> Column:
-        after = F.when(_at(words, i + 1).isin("the", "a", "an"), _at(words, i + 2)).otherwise(_at(words, i + 1))
-        return _at(words, i).isin(*links) & (_at(words, i - 1) == NAME) & (after == NAME)
 
-    return _any_place(words, here)
+def _pairs_names(line: Column, *links: str) -> Column:
+    """Two names with one of the words between them, an article allowed."""
+    return line.rlike(f" {NAME} {_one(links)} (?:(?:the|a|an) )?{NAME} ")
 
 
-def _holder(word: Column) -> Column:
-    return F.regexp_replace(word, "s$", "").isin(*HOLDERS)
+def describes(line: Column) -> Column:
+    """A person told by a work: the director of ..., whose author ..., a name's founder, has the writer who ..."""
+    holder = f"{_one(HOLDERS)}s?"
+    return line.rlike(f" {holder} (?:of|for) | (?:whose|{NAME}|(?:has|have|had) the) {holder} ")
+
+
+def shape(line: Column) -> Column:
+    """The structure of a line of marks."""
+    likened = line.rlike(r" same (?:\S+ ){0,4}as ")
+    choice = _pairs_names(line, "or", "versus", "vs")
+    listing = _pairs_names(line, "and")
+    weighs = _holds(line, COMPARED)
+    shares = _holds(line, SHARED) & ~likened
+    asks = _opens(line, *QUESTION_WORDS, *AUXILIARIES)
+    compares = asks & (choice | (listing & (shares | (weighs & ~likened & _opens(line, *AUXILIARIES, "which", "who")))))
+    narrowed = line.rlike(r"^ \S+ (?:.* )?(?:whose|that|which|who|whom|where) ")
+    each = listing & _opens(line, "when", "where", "what", "which", "how", "in", "on") & ~narrowed
+    return (
+        F.when(compares & describes(line), "bridge_comparison").when(compares, "parallel_comparison")
+        .when(each, "parallel_attribute").otherwise("chain_or_unknown")
+    )
 
 
-def _describes(words: Column) -> Column:
-    """A person told by a work: the director of ..., whose author ..., a name's founder, has the writer who ..."""
+def routed(found: Column, described: Column, hops: Column) -> Column:
+    """found: the structure; described: whether a person is told by a work."""
+    chain = found == "chain_or_unknown"
+    return F.when(chain & (hops >= 3), "dependency_chain").when(chain & described, "nested_bridge").otherwise(found)
 
-    def here(i: Column) -> Column:
-        before = _at(words, i - 1)
-        owned = before.isin("whose", NAME) | ((before == "the") & _at(words, i - 2).isin("has", "have", "had"))
-        return _holder(_at(words, i)) & (_at(words, i + 1).isin("of", "for") | owned)
 
-    return _any_place(words, here)
+def _of(question: Column, rule) -> Column:
+    """A rule of the question's line, which a lambda holds so that it is not made again for each pattern."""
+    return F.get(F.transform(F.array(marks(question)), rule), F.lit(0))
 
 
 def structure(question: Column) -> Column:
     """parallel_comparison: names are held against each other. bridge_comparison: what is compared hangs on another
     relation of each name. parallel_attribute: one attribute is asked of each name. Else chain_or_unknown."""
-    words = _words(question)
-    opening, body = _at(words, F.lit(0)), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    likened = _any_place(words, lambda i: (_at(words, i) == "same") & F.array_contains(F.slice(words, i + 2, F.lit(5)), "as"))
-    choice = _pairs_names(words, "or", "versus", "vs")
-    listing = _pairs_names(words, "and")
-    weighs = F.arrays_overlap(words, F.lit(list(COMPARED)))
-    shares = F.arrays_overlap(words, F.lit(list(SHARED))) & ~likened
-    asks = opening.isin(*QUESTION_WORDS, *AUXILIARIES)
-    compares = asks & (choice | (listing & (shares | (weighs & ~likened & opening.isin(*AUXILIARIES, "which", "who")))))
-    narrowed = F.arrays_overlap(body, F.lit(["whose", "that", "which", "who", "whom", "where"]))
-    each = listing & opening.isin("when", "where", "what", "which", "how", "in", "on") & ~narrowed
-    return (
-        F.when(compares & _describes(words), "bridge_comparison").when(compares, "parallel_comparison")
-        .when(each, "parallel_attribute").otherwise("chain_or_unknown")
-    )
+    return _of(question, shape)
 
 
 def route(question: Column, hops: Column) -> Column:
     """The structure, except that deep questions are dependency chains and chains through a description nested bridges."""
-    shape = structure(question)
-    chain = shape == "chain_or_unknown"
-    return F.when(chain & (hops >= 3), "dependency_chain").when(chain & _describes(_words(question)), "nested_bridge").otherwise(shape)
+    return _of(question, lambda line: routed(shape(line), describes(line), hops))
