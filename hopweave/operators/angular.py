@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hopweave.sources.shared import keep
 
 BLOCK_ROWS = 2048
+SENT_ROWS, SENT_BYTES = 2048, 16 << 20  # vectors looked at, and bytes of their copies that leave a task, at a time
 MOST_PIVOTS, CELL_ROWS = 256, 256
 SLACK = 2e-6  # scores are rounded to six places; angles near 0 and pi are the most sensitive to that
 
@@ -65,9 +66,7 @@ def _sent(pivots, low, high, own_only: bool, counts_only: bool):
 
     def run(batches):
         total = np.zeros(n + 1, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, SENT_ROWS) for whole in batches for at in range(0, whole.num_rows, SENT_ROWS)):
             unit = np.frombuffer(b"".join(batch.column("unit").to_pylist())).reshape(batch.num_rows, -1)
             cell, bound = batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
             angle = _angles(unit, pivots)
@@ -84,8 +83,10 @@ def _sent(pivots, low, high, own_only: bool, counts_only: bool):
                 continue
             row, to = np.nonzero(met)
             away = np.concatenate([angle, np.zeros((len(cell), 1))], axis=1)[row, to]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("unit").take(take), batch.column("bound").take(take), pa.array(to.astype(np.int32)), pa.array(away)], names=["id", "unit", "bound", "cell", "angle"])
+            # A vector may go to every cell: the copies leave in parts of a few MB.
+            for at in range(0, len(row), step := max(1, SENT_BYTES // unit[0].nbytes)):
+                take = pa.array(row[at : at + step])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("unit").take(take), batch.column("bound").take(take), pa.array(to[at : at + step].astype(np.int32)), pa.array(away[at : at + step])], names=["id", "unit", "bound", "cell", "angle"])
         if counts_only:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(total)], names=["cell", "n"])
 

@@ -18,3 +18,19 @@ def test_the_words_of_a_question_are_read_once(spark):
     found = asked.select(routing.route(F.col("q"), F.lit(2)).alias("r"), routing.structure(F.col("q")).alias("s"))
     assert [tuple(r) for r in found.collect()] == [("nested_bridge", "chain_or_unknown")] + [("chain_or_unknown",) * 2] * 3
     assert _plan(found).count("regexp_extract_all(") <= 2  # one for each of the two columns
+
+
+def test_copies_of_vectors_leave_a_task_in_parts():
+    import numpy as np
+    import pyarrow as pa
+    from hopweave.operators import angular
+
+    rng = np.random.default_rng(3)
+    unit, pivots = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(4000, 64)), rng.normal(size=(40, 64))))
+    cell = angular._angles(unit, pivots).argmin(axis=1).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(cell), pa.array(np.full(4000, 0.1))], names=["id", "unit", "cell", "bound"])
+    low, high = np.append(np.zeros(40), -1.0), np.append(np.full(40, np.pi), -1.0)
+    parts = list(angular._sent(pivots, low, high, False, False)([batch]))
+    counts = sum(b.column("n").to_numpy() for b in angular._sent(pivots, low, high, False, True)([batch]))
+    assert sum(p.num_rows for p in parts) == counts.sum() > 100_000
+    assert max(p.nbytes for p in parts) < 24 << 20
