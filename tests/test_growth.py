@@ -46,3 +46,15 @@ def test_best_sets_are_decided_where_their_candidates_lie(spark):
     got = {r.query_id: (r.mask, r.value, r.names) for r in V.best_sets(spark.createDataFrame(rows, "query_id long, name string, mask long, utility double"), 2).collect()}
     assert got == {1: (3, 0.5, ["b", "c"]), 2: (1, 1.0, ["x", "y"])}
     assert V.contenders([("x", 1, 0.5), ("y", 1, 0.5), ("z", 1, 0.5), ("w", 3, 0.1)], 2) == [("x", 1, 0.5), ("y", 1, 0.5), ("w", 3, 0.1)]
+
+
+def test_neighbours_are_dealt_out_by_node_once(spark):
+    from hopweave.operators import graph as G
+    from hopweave.plans import graph_queries
+    from hopweave.sources.tables import star_triples
+
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    t = star_triples(spark, SMALL)
+    assert exchanges(graph_queries.bridge_neighbours(spark, SMALL)) < exchanges(G.neighbours(G.fact_edges(t), G.entity_idf(t)))
+    t = spark.createDataFrame([("c1", "a", "p", "b"), ("c2", "a", "q", "b"), ("c1", "a", "p", "a"), ("a", "a", "p", "c"), ("c3", "d", "p", "c"), ("c4", "e", "p", "e")], "chunk string, subj string, pred string, obj string")
+    assert sorted(G.bridge_neighbours(t, 1).collect()) == sorted(G.neighbours(G.fact_edges(t), G.entity_idf(t), 1).collect())
