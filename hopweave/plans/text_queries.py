@@ -338,7 +338,8 @@ def question_routes(spark, sf_dir):
 )
 def relation_checks(spark, sf_dir):
     """Claims on where customers live, against texts that say so, name another nation, deny it, or turn it round."""
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = spread(c.select("c_custkey", "n_name"), "c_custkey")  # a claim takes far longer than its row
     who, kind = F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")), F.col("c_custkey") % 4
     said = F.when(kind == 0, F.concat(who, F.lit(", a buyer, lives in "), "n_name")).when(kind == 1, F.concat(who, F.lit(" lives in Nowhere"))).when(kind == 2, F.concat(who, F.lit(" never lived in "), "n_name")).otherwise(F.concat("n_name", F.lit(" lives in "), who))
     claims = c.select(F.col("c_custkey").alias("claim_id"), F.concat(F.lit("Where does "), who, F.lit(" live?")).alias("question"), F.col("n_name").alias("answer"), F.concat(F.lit("Some words first. "), said, F.lit(". More words.")).alias("text"))

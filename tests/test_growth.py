@@ -58,3 +58,13 @@ def test_neighbours_are_dealt_out_by_node_once(spark):
     assert exchanges(graph_queries.bridge_neighbours(spark, SMALL)) < exchanges(G.neighbours(G.fact_edges(t), G.entity_idf(t)))
     t = spark.createDataFrame([("c1", "a", "p", "b"), ("c2", "a", "q", "b"), ("c1", "a", "p", "a"), ("a", "a", "p", "c"), ("c3", "d", "p", "c"), ("c4", "e", "p", "e")], "chunk string, subj string, pred string, obj string")
     assert sorted(G.bridge_neighbours(t, 1).collect()) == sorted(G.neighbours(G.fact_edges(t), G.entity_idf(t), 1).collect())
+
+
+def test_claims_are_judged_in_their_own_rows(spark):
+    from hopweave.functions import grammar
+
+    plan = _plan(text_queries.relation_checks(spark, SMALL))
+    assert "Generate" not in plan and "RepartitionByExpression [claim_id" in plan  # no row for each sentence and form
+    claims = [(1, "Where does Ann live?", "Rome", None), (2, "Where does Ann live?", "Rome", "Ann never lived in Rome. Ann lives in Paris."), (2, "Where does Ann live?", "Rome", "Ann lived in Rome."), (3, "How many sons does Ann have?", "two", "Ann has 3 sons."), (4, "Why?", "Rome", "")]
+    got = grammar.check(spark.createDataFrame(claims, "claim_id int, question string, answer string, text string")).collect()
+    assert {r.claim_id: (r.status, r.reason) for r in got} == {2: ("supported", "form"), 3: ("contradicted", "other_value"), 4: ("unknown", "relation_not_known")}
