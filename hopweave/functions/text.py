@@ -52,7 +52,7 @@ def evidence_norm(c: Column) -> Column:
 
 
 def surface_norm(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))  # white space is among these characters
 
 
 def answer_norm(c: Column) -> Column:

@@ -28,6 +28,12 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _few(keys: DataFrame) -> list[str] | None:
+    """The distinct keys of one column, sorted; None where they are too many to go along with a plan."""
+    found = sorted(r[0] for r in keys.distinct().limit(MOST_KEYS + 1).collect())
+    return found if len(found) <= MOST_KEYS else None
+
+
 @query(f"SELECT doc_id, md5({ASCII.format('text')}) AS ascii, md5({UNICODE.format('text')}) AS unicode, md5({EVIDENCE.format('text')}) AS evidence, md5({SURFACE.format('text')}) AS surface FROM documents")
 def normalisers(spark, sf_dir):
     t = F.col("text")
@@ -90,23 +96,37 @@ def anchor_rewrite(spark, sf_dir):
 def phrase_containment(spark, sf_dir):
     """Which documents hold the first line of an item, token by token. Items are the stated query set; only pairs that
     share a run of four words, or the rarest word of a shorter phrase, meet."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.surface_norm(X.first_line(F.col("text"))).alias("phrase")).where("phrase <> ''").withColumn("w", F.split("phrase", " "))
-    body = docs(spark, sf_dir).select("doc_id", X.surface_norm(F.col("text")).alias("body"))
-    runs = items.where(F.size("w") >= 4).select("item_id", F.array_join(F.slice("w", 1, 4), " ").alias("g"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", X.surface_norm(X.first_line(F.col("text"))).alias("phrase")).where("phrase <> ''")
+    body = docs(spark, sf_dir).select("doc_id", X.surface_norm(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
+    phrases = items.select("phrase").distinct().withColumn("w", F.split("phrase", " "))
+    runs = phrases.where(F.size("w") >= 4).select("phrase", F.array_join(F.slice("w", 1, 4), " ").alias("g"))
     # A shorter phrase goes by its rarest word, so that frequent words are no keys.
-    words = items.where(F.size("w") < 4).select("item_id", F.explode(F.array_distinct("w")).alias("g"))
-    held = body.select(F.explode(F.array_distinct(F.split("body", " "))).alias("g")).join(words.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rarest = words.join(held, "g").groupBy("item_id").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    words = phrases.where(F.size("w") < 4).select("phrase", F.explode(F.array_distinct("w")).alias("g"))
+    short = _few(words.select("g"))
+    rarest = words.select("phrase", "g", F.lit(0).alias("df"))
+    if short is None or short:
+        met = F.array_distinct("w" if short is None else F.filter("w", lambda g: g.isin(short)))
+        held = body.select(F.explode(met).alias("g")).join(words.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+        rarest = words.join(held, "g")
+    rarest = rarest.groupBy("phrase").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
     keys = keep(runs.unionByName(rarest))
     # The words are a column of their own: inside a lambda an expression would run again for each element.
-    grams = F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 3)), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))
-    every = F.array_union(grams, F.col("w"))
-    listed = [r.g for r in keys.select("g").distinct().limit(MOST_KEYS + 1).collect()]
-    if len(listed) <= MOST_KEYS:  # few keys sort out a document's runs before they become rows
-        every = F.filter(every, lambda g: g.isin(listed))
-    parts = body.withColumn("w", F.split("body", " ")).select("doc_id", F.explode(every).alias("g"))
-    met = parts.join(keys, "g").select("doc_id", "item_id").distinct()  # only rows of keys go on, without texts
-    return met.join(body, "doc_id").join(items.select("item_id", "phrase"), "item_id").where(X.contains_phrase(F.col("phrase"), F.col("body"))).select("item_id", "doc_id")
+    gram = lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3))
+    listed = _few(keys.select("g"))
+    if listed is None:
+        grams = F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 3)), gram)
+        parts = body.select("doc_id", F.explode(F.array_union(grams, F.col("w"))).alias("g"))
+        met = parts.join(keys, "g").select("doc_id", "phrase").distinct()  # only rows of keys go on, without texts
+        found = met.join(body, "doc_id").where(X.contains_phrase(F.col("phrase"), F.col("body")))
+    else:  # few keys: a run is made only where its first word is one's, and a text meets them where it was read
+        long, single = ([g for g in listed if (" " in g) == many] for many in (True, False))
+        first = F.transform("w", lambda x, i: F.when(x.isin(sorted({g.split(" ")[0] for g in long})), gram(x, i)))
+        own = [F.filter(first, lambda g: g.isin(long))] * bool(long) + [F.filter("w", lambda g: g.isin(single))] * bool(single)
+        if not own:
+            return items.join(body, F.lit(False)).select("item_id", "doc_id")
+        parts = body.select("doc_id", "body", F.explode(F.array_distinct(F.concat(*own))).alias("g"))
+        found = parts.join(F.broadcast(keys), "g").where(X.contains_phrase(F.col("phrase"), F.col("body")))
+    return found.select("doc_id", "phrase").join(items, "phrase").select("item_id", "doc_id")
 
 
 @query(

@@ -68,3 +68,12 @@ def test_claims_are_judged_in_their_own_rows(spark):
     claims = [(1, "Where does Ann live?", "Rome", None), (2, "Where does Ann live?", "Rome", "Ann never lived in Rome. Ann lives in Paris."), (2, "Where does Ann live?", "Rome", "Ann lived in Rome."), (3, "How many sons does Ann have?", "two", "Ann has 3 sons."), (4, "Why?", "Rome", "")]
     got = grammar.check(spark.createDataFrame(claims, "claim_id int, question string, answer string, text string")).collect()
     assert {r.claim_id: (r.status, r.reason) for r in got} == {2: ("supported", "form"), 3: ("contradicted", "other_value"), 4: ("unknown", "relation_not_known")}
+
+
+def test_texts_meet_phrases_where_they_are_read(spark, monkeypatch):
+    found = text_queries.phrase_containment(spark, SMALL)
+    plan = _plan(found)
+    assert plan.count("Relation [doc_id") == 1 and plan.count("regexp_replace") <= 4
+    rows = sorted(found.collect())
+    monkeypatch.setattr(text_queries, "MOST_KEYS", 0)  # the way of many keys gives the same rows
+    assert rows == sorted(text_queries.phrase_containment(spark, SMALL).collect()) != []
