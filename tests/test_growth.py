@@ -77,3 +77,20 @@ def test_texts_meet_phrases_where_they_are_read(spark, monkeypatch):
     rows = sorted(found.collect())
     monkeypatch.setattr(text_queries, "MOST_KEYS", 0)  # the way of many keys gives the same rows
     assert rows == sorted(text_queries.phrase_containment(spark, SMALL).collect()) != []
+
+
+def test_products_leave_a_task_in_parts():
+    import numpy as np
+    import pyarrow as pa
+    from hopweave.operators import graph as G
+
+    rng = np.random.default_rng(4)
+    matrix, rows = rng.normal(size=(300, 8)), rng.normal(size=(3000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(list(rows), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    names = ["query_id", "vec_id", "raw", "low", "high"]
+    parts = list(G._products(list(range(300)), matrix, 1000, names)([batch]))
+    assert max(p.num_rows for p in parts) <= 100_000 and sum(p.num_rows for p in parts) == 300_000
+    got = pa.Table.from_batches(parts).to_pydict()
+    want = np.round(matrix @ rows.T, 6)
+    assert np.array_equal(got["raw"], -np.sort(-want, axis=1)[:, :1000].ravel()) and got["query_id"] == list(np.repeat(range(300), 1000))
+    assert np.array_equal(got["low"][::1000], want.min(axis=1))
