@@ -94,3 +94,14 @@ def test_products_leave_a_task_in_parts():
     want = np.round(matrix @ rows.T, 6)
     assert np.array_equal(got["raw"], -np.sort(-want, axis=1)[:, :1000].ravel()) and got["query_id"] == list(np.repeat(range(300), 1000))
     assert np.array_equal(got["low"][::1000], want.min(axis=1))
+
+
+def test_token_lists_are_sorted_a_few_rows_at_a_time():
+    import pyarrow as pa
+    from hopweave.operators import evaluation as E
+
+    lists = pa.array([[1, 1, 2], [3], []] * 300, pa.list_(pa.int64()))
+    other = pa.array([[1, 2, 2, 9], [], [4]] * 300, pa.list_(pa.int64()))
+    parts = list(E._same_tokens([pa.RecordBatch.from_arrays([pa.array(range(900)), lists, other], names=["query_id", "g", "p"])]))
+    assert max(p.num_rows for p in parts) <= 256
+    assert pa.Table.from_batches(parts).to_pydict() == {"query_id": list(range(900)), "f1": [4 / 7, 0.0, 0.0] * 300}
