@@ -50,11 +50,14 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def spread(df: DataFrame, *keys: str, rows: int = 0, most_rows: int = 500_000) -> DataFrame:
-    """The rows of df by a hash of keys, over as many tasks as an exchange has, and at most about ``most_rows`` of ``rows`` a
-    task: small files and large ones are both read in few tasks."""
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """The rows of df by a hash of keys, over as many tasks as an exchange has, and more where ``rows`` would be over
+    TASK_ROWS a task: small files and large ones are both read in few tasks."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, -(-rows // most_rows)), *keys)
+    return df.repartition(max(n, -(-rows // TASK_ROWS)), *keys)
 
 
 def bucketed(df: DataFrame, column: str, exchange: bool = True) -> DataFrame:

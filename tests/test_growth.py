@@ -105,3 +105,17 @@ def test_token_lists_are_sorted_a_few_rows_at_a_time():
     parts = list(E._same_tokens([pa.RecordBatch.from_arrays([pa.array(range(900)), lists, other], names=["query_id", "g", "p"])]))
     assert max(p.num_rows for p in parts) <= 256
     assert pa.Table.from_batches(parts).to_pydict() == {"query_id": list(range(900)), "f1": [4 / 7, 0.0, 0.0] * 300}
+
+
+def test_a_pool_is_trimmed_by_tasks_of_bounded_size(spark, monkeypatch):
+    from hopweave.operators import ranking
+    from hopweave.plans import graph_queries
+    from hopweave.sources import shared
+
+    rows = sorted(graph_queries.trim_pool(spark, SMALL).collect())
+    monkeypatch.setattr(shared, "TASK_ROWS", 200)
+    monkeypatch.setattr(ranking, "TASK_ROWS", 200)
+    small = graph_queries.trim_pool(spark, SMALL)
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert _plan(small).count(f", {-(-lines // 200)}\n") == 3  # tasks by the number of rows
+    assert sorted(small.collect()) == rows
