@@ -119,3 +119,16 @@ def test_a_pool_is_trimmed_by_tasks_of_bounded_size(spark, monkeypatch):
     lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert _plan(small).count(f", {-(-lines // 200)}\n") == 3  # tasks by the number of rows
     assert sorted(small.collect()) == rows
+
+
+def test_overwritten_edges_are_counted_from_their_own_triples(spark):
+    from hopweave.operators import graph as G
+    from hopweave.plans import graph_queries
+    from hopweave.sources.tables import star_triples
+
+    found = graph_queries.synonym_overwrite(spark, SMALL)
+    below = _plan(found).split("Join FullOuter")[1].split("Aggregate")
+    assert any("customer 1)" in part for part in below[2:])  # a filter of triples, below the sum
+    edges = G.fact_edges(star_triples(spark, SMALL))
+    every = G.merge_edges(edges, edges.where("src LIKE 'customer 1%'").withColumn("weight", F.lit(0.5)))
+    assert sorted(found.collect()) == sorted(every.collect())
