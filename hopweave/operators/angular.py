@@ -8,7 +8,8 @@ one another all stay candidates at wide radii, clusters do not.
 
 For a threshold, r is the same for all. For the k nearest, a first pass over each vector's own cell finds k neighbours;
 the worst of them is its r. Pivots are a bounded sample; cells and the vectors sent to them are dealt out in blocks of
-about BLOCK_ROWS on either side, however full a cell is.
+about BLOCK_ROWS on either side, however full a cell is. Where nearly all vectors would be sent to nearly all cells, vectors
+are not copied: blocks of them meet where they are read, and a task passes on only the k best of each asker.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from hopweave.sources.shared import keep
 BLOCK_ROWS = 2048
 SENT_ROWS, SENT_BYTES = 2048, 16 << 20  # vectors looked at, and bytes of their copies that leave a task, at a time
 MOST_PIVOTS, CELL_ROWS = 256, 256
+MOST_COPIES, MOST_SHARE = 8, 0.25  # of a vector, and of all pairs that meet: beyond both, nothing is sent to cells
+MET_BYTES = 128 << 20  # of vectors that a task reads again for each block of askers
 SLACK = 2e-6  # scores are rounded to six places; angles near 0 and pi are the most sensitive to that
 
 
@@ -123,6 +126,78 @@ def _nearest(k: int, n_pivots: int):
     return run
 
 
+def _packed(batches):
+    """Rows (id, unit, bound) as rows of up to BLOCK_ROWS vectors each."""
+    import pyarrow as pa
+
+    for batch in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, whole.num_rows, BLOCK_ROWS)):
+        lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.concat_arrays([batch.column(c)])) for c in ("id", "bound")]
+        yield pa.RecordBatch.from_arrays([lists[0], pa.array([b"".join(batch.column("unit").to_pylist())], pa.binary()), lists[1]], names=["ids", "units", "bounds"])
+
+
+def _best(k: int, id_kind):
+    """The k best of each asker among the blocks that its own block meets in this task; a block's rows come together."""
+    import numpy as np
+    import pyarrow as pa
+
+    def cut(found):
+        i, names, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((names, -score, i))  # ties go to the smaller id
+        i, names, score = i[order], names[order], score[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[best], names[best], score[best]
+
+    def ids_of(row):
+        return row.values.to_numpy(zero_copy_only=False)
+
+    def out(asker, found):
+        i, names, score = cut(found) if found else ([], [], [])
+        for at in range(0, len(i), 100_000):
+            some = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(asker[i[some]], id_kind), pa.array(names[some], id_kind), pa.array(score[some])], names=["src", "dst", "score"])
+
+    def run(batches):
+        now, asker, found, pending = None, None, [], 0
+        for batch in batches:
+            block, ids, units, bounds, others, far = (batch.column(c) for c in ("block", "ids", "units", "bounds", "others", "far"))
+            for n in range(batch.num_rows):
+                if block[n].as_py() != now:
+                    yield from out(asker, found)
+                    now, found, pending = block[n].as_py(), [], 0
+                    asker, bound = ids_of(ids[n]), ids_of(bounds[n]).copy()
+                    q = np.frombuffer(units[n].as_py()).reshape(len(asker), -1)
+                names = ids_of(others[n])
+                w = np.frombuffer(far[n].as_py()).reshape(len(names), -1)
+                for at in range(0, len(q), step := max(1, 500_000 // len(w))):
+                    own = slice(at, at + step)
+                    score = np.round(q[own] @ w.T, 6)
+                    i, j = np.nonzero(score >= bound[own, None])
+                    other = asker[own][i] != names[j]
+                    i, j = i[other], j[other]
+                    found.append((at + i, names[j], score[i, j]))
+                    pending += len(i)
+                if pending > 500_000:
+                    found, pending = [cut(found)], 0
+                    i, _, score = found[0]
+                    full = np.flatnonzero(np.bincount(i, minlength=len(bound)) == k)
+                    bound[full] = np.maximum(bound[full], score[np.searchsorted(i, full, side="right") - 1])
+        yield from out(asker, found)
+
+    return run
+
+
+def _all_met(asked: DataFrame, members: DataFrame, n_asked: int, n: int, size: int, k: int, schema: str, id_type: str) -> DataFrame:
+    """The k best of each asker in each part of MET_BYTES of the members, by a Cartesian product of blocks."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    pack = lambda df: df.mapInArrow(_packed, f"ids array<{id_type}>, units binary, bounds array<double>")
+    tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_asked // BLOCK_ROWS))
+    left = pack(asked.select("id", "unit", "bound").repartition(tasks)).withColumn("block", F.monotonically_increasing_id())
+    right = pack(members.select("id", "unit", F.lit(0.0).alias("bound")).repartition(max(1, -(-n * size // MET_BYTES))))
+    both = keep(left).repartition(tasks, "block").crossJoin(keep(right).select(F.col("ids").alias("others"), F.col("units").alias("far")).repartition(max(1, -(-n * size // MET_BYTES))).hint("shuffle_replicate_nl"))
+    return both.mapInArrow(_best(k, to_arrow_type(members.schema["id"].dataType)), schema)
+
+
 def _joined(sent_from: DataFrame, members: DataFrame, cells: dict, pivots, k: int, own_only: bool, schema: str, id_type: str, report: Callable[[dict], None] | None, total: int) -> DataFrame:
     import numpy as np
 
@@ -135,6 +210,10 @@ def _joined(sent_from: DataFrame, members: DataFrame, cells: dict, pivots, k: in
     if report:
         met = sum(n_left(c) * n_right(c) for c in range(len(pivots) + 1))
         report({"pivots": len(pivots), "share_met": met / max(1, total)})
+    copies = sum(n_left(c) * max(1, -(-n_right(c) // BLOCK_ROWS)) for c in range(len(pivots) + 1))
+    n_asked = total // max(1, sum(n_right(c) for c in range(len(pivots) + 1)))
+    if not own_only and copies > MOST_COPIES * n_asked and sum(n_left(c) * n_right(c) for c in range(len(pivots) + 1)) > MOST_SHARE * total:
+        return _all_met(sent_from, members, n_asked, sum(map(n_right, range(len(pivots) + 1))), pivots[0].nbytes, k, schema, id_type)
     spread = lambda df, n: F.explode(F.sequence(F.lit(0), per_cell(n) - 1))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), per_cell(n)).cast("int")
     q = sent_from.mapInArrow(_sent(pivots, low, high, own_only, False), f"id {id_type}, unit binary, bound double, cell int, angle double")

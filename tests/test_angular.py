@@ -46,3 +46,26 @@ def test_empty_and_missing_vectors(spark):
     frame = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.8, 0.6])], "vec_id long, embedding array<double>")
     assert [(r.src, r.dst, r.score) for r in A.neighbours(frame, 3, 0.5).orderBy("src").collect()] == [(2, 3, 0.8), (3, 2, 0.8)]
     assert A.neighbours(frame.limit(0), 3, 0.5).count() == 0 and A.neighbours(frame.where("vec_id = 2"), 3).count() == 0
+
+
+def test_vectors_that_all_meet_are_not_copied(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(700, 8))
+    vectors[13] = 0.0
+    vectors[20:24] = vectors[30]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.where(size > 0, size, 1.0)
+    score = np.round(unit @ unit.T, 6)
+    monkeypatch.setattr(A, "MOST_COPIES", 1)
+    monkeypatch.setattr(A, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(A, "MET_BYTES", 20_000)
+    got = A.neighbours(frame, 9, 0.1)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.src, []).append((r["rank"], r.dst, pytest.approx(r.score, abs=2e-6)))
+    for i in range(len(vectors)):
+        best = sorted((-score[i, j], j) for j in range(len(vectors)) if j != i and score[i, j] >= 0.1)[:9]
+        assert sorted(found.get(i, []), key=lambda x: x[0]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
